@@ -34,4 +34,5 @@ def uniform_edges(low: float, high: float, n_bins: int) -> list[float]:
 
 def lookup_literal(index: Column, values: Sequence[float]) -> Column:
     """Element of a short literal list by 0-based index; null index gives null."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int"))
+    # element_at over a literal array is planned as never null, so the null index is kept apart
+    return F.when(index.isNotNull(), F.element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int")))

@@ -20,7 +20,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.rows import local_table
@@ -139,12 +139,12 @@ def _spec(name: str) -> ModelSpec:
     return MODELS[name]
 
 
-def _side_by_side(tasks: Sequence[Callable], parallelism: int) -> list:
+def _side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
     """Results of driver-side tasks, in order; each starts Spark jobs of its own."""
     if parallelism <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
     with ThreadPoolExecutor(min(parallelism, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
 
 
 # -- fit, score, explain ----------------------------------------------------------
@@ -228,7 +228,7 @@ def train(
                 return name, e, 0.0
         return run
 
-    for name, model, took in _side_by_side([task(n) for n in models], parallelism):
+    for name, model, took in _side_by_side(df.sparkSession, [task(n) for n in models], parallelism):
         if isinstance(model, Exception):
             failures[name] = str(model)
         else:
@@ -251,6 +251,7 @@ def out_of_fold(
     rows = table.count()
     held = lambda i: F.col(fold) == i
     fits = _side_by_side(
+        table.sparkSession,
         [lambda i=i: spec.build(params, rows * (k - 1) // k, label, seed).fit(table.filter(~held(i))) for i in range(k)], parallelism)
     out = None
     for i, model in enumerate(fits):

@@ -60,6 +60,8 @@ def binarize_target(
     4. over 80 % of rows read as numbers: above the median, null gives 0;
     5. not the most common value, and null gives 1.
     """
+    if out != col and out in df.columns:
+        raise ValueError(f"column {out!r} already exists")
     facts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(col).isNull()).alias("nulls"),
