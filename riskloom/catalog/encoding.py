@@ -119,14 +119,14 @@ _WOE_OUT = f"""feature, kind, bin, {r('lower')} AS lower, {r('upper')} AS upper,
 
 
 def _fit_shipments(spark, folder, features):
-    return WOEEncoder().fit(shipments(spark, folder), features, "y")
+    return WOEEncoder(persist_input=True).fit(shipments(spark, folder), features, "y")
 
 
 @query("woe_routing", ["E0"], f"""WITH {SHIPMENTS} {' UNION ALL '.join(
     f"SELECT '{c}' AS feature, CASE WHEN count(DISTINCT {c}) < 10 OR {str(c in ('priority', 'type', 'brand')).lower()} THEN 'categorical' ELSE 'numeric' END AS kind FROM ship"
     for c in SHIP_NUMERIC + SHIP_CATEGORICAL)}""")
 def woe_routing(spark, folder):
-    kinds, _ = WOEEncoder().route(shipments(spark, folder), SHIP_NUMERIC + SHIP_CATEGORICAL)
+    kinds = WOEEncoder().route(shipments(spark, folder), SHIP_NUMERIC + SHIP_CATEGORICAL)
     return local_table(spark, kinds.items(), "feature string, kind string")
 
 

@@ -79,7 +79,7 @@ SELECT "column", CASE WHEN null_count > 0.3 * row_count THEN 'high_nulls' ELSE '
     ELSE 'Column has only one unique value.' END AS description
 FROM facts WHERE null_count > 0.3 * row_count OR cardinality = 1""")
 def quality_issues(spark, folder):
-    return P.quality_issues(P.profile(patchy(spark, folder), samples=0))
+    return P.quality_issues(P.profile(patchy(spark, folder), samples=0, exact=False))
 
 
 GUESS_TABLES = {"labels": ["doc_id", "quality", "toxic"],
@@ -103,7 +103,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER B
 def _guess_profiles(spark, folder):
     for t, cols in GUESS_TABLES.items():
         df = patchy(spark, folder) if t == "patchy" else table(spark, folder, "orders" if t == "keys" else t).select(*cols)
-        yield t, P.profile(df, samples=0)
+        yield t, P.profile(df, samples=0, exact=False)
 
 
 def _stack(parts):

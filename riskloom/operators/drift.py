@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -308,7 +309,7 @@ class DriftMonitor:
         """All checks against the current baseline; none yet gives no rows."""
         try:
             table = self.spark.read.schema(self.HISTORY).parquet(self.path)
-        except Exception:  # the folder appears with the first check
+        except AnalysisException:  # the folder appears with the first check
             return local_table(self.spark, [], self.HISTORY)
         return table.filter(F.col("baseline_version") == self.version)
 

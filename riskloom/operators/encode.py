@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import iv_strength
 from ..functions.bins import bin_left_closed, distinct_edges, lookup_literal
-from ..plans.quantiles import as_number, exact_quantiles
-from ..plans.rows import BROADCAST_ROWS, attach, chunked, local_table
+from ..plans.quantiles import as_number, exact_quantiles, facts_columns, read_facts
+from ..plans.rows import BROADCAST_ROWS, attach, chunked, local_table, reused
 from ..session import settle
 from .preprocess import MISSING, levels_of, modes
 from .roles import is_numeric
@@ -26,29 +26,29 @@ from .target import folds as plain_folds
 MAP_LITERAL = 64
 
 
-def cardinalities(df: DataFrame, cols: Sequence[str], exact_to: int) -> dict[str, int]:
-    """Distinct non-null values per column: exact up to ``exact_to``, a sketch beyond."""
-    dtypes = dict(df.dtypes)
+def _value(df: DataFrame, c: str) -> Column:
+    dtype = dict(df.dtypes)[c]
+    return as_number(F.col(c), dtype) if dtype in ("double", "float") else F.col(c)
 
-    def value(c):
-        return as_number(F.col(c), dtypes[c]) if dtypes[c] in ("double", "float") else F.col(c)
 
+def exact_few(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Exact distinct counts of columns that a sketch has shown to have few values."""
     found: dict[str, int] = {}
     for part in chunked(list(cols)):
-        row = df.agg(*[F.approx_count_distinct(value(c), 0.02).alias(f"d{i}") for i, c in enumerate(part)]).first()
-        found |= {c: row[f"d{i}"] for i, c in enumerate(part)}
-    near = [c for c in cols if found[c] <= 2 * exact_to + 50]
-    if near:
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), value(c).cast("string").alias("v")) for i, c in enumerate(near)])
-        rows = (
-            df.select(F.explode(cells).alias("e")).select("e.i", "e.v").filter(F.col("v").isNotNull()).distinct()
-            .groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
-        )
-        found |= {c: 0 for c in near}
-        found |= {near[r["i"]]: r["n"] for r in rows}
+        row = df.agg(*[F.size(F.collect_set(_value(df, c))).alias(f"n{i}") for i, c in enumerate(part)]).first()
+        found |= {c: row[f"n{i}"] for i, c in enumerate(part)}
     return found
 
 
+def cardinalities(df: DataFrame, cols: Sequence[str], exact_to: int) -> dict[str, int]:
+    """Distinct non-null values per column: exact up to ``exact_to``, a sketch beyond."""
+    found: dict[str, int] = {}
+    for part in chunked(list(cols)):
+        row = df.agg(*[F.approx_count_distinct(_value(df, c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
+        found |= {c: row[f"d{i}"] for i, c in enumerate(part)}
+    return found | exact_few(df, [c for c in cols if exact_to and found[c] <= 2 * exact_to + 50])
+
+
 def _woe_columns(counts: DataFrame, total_events: int, total_others: int, r: float) -> DataFrame:
     e = (F.col("events") + r) / (total_events + r)
     n = (F.col("non_events") + r) / (total_others + r)
@@ -131,30 +131,53 @@ class WOEEncoder:
     numbers by exact quantile bins that are closed on the left.
     """
 
-    def __init__(self, n_bins: int = 10, regularization: float = 0.5, handle_missing: str = "separate", **quantile_options):
+    def __init__(
+        self, n_bins: int = 10, regularization: float = 0.5, handle_missing: str = "separate", persist_input: bool = False,
+        **quantile_options,
+    ):
         self.n_bins = n_bins
         self.regularization = regularization
         self.handle_missing = handle_missing
+        self.persist_input = persist_input
         self.quantile_options = quantile_options
 
-    def route(self, df: DataFrame, features: Sequence[str]) -> tuple[dict[str, str], dict[str, int]]:
-        sizes = cardinalities(df, features, self.n_bins)
-        kinds = {
-            f: "categorical"
-            if not is_numeric(df.schema[f].dataType) or sizes[f] < self.n_bins else "numeric"
-            for f in features
-        }
-        return kinds, sizes
+    def _survey(self, df: DataFrame, features: Sequence[str], label: str | None):
+        """One pass for the facts of every feature and the class totals; then the routing."""
+        numbers = [f for f in features if is_numeric(df.schema[f].dataType)]
+        dtypes = dict(df.dtypes)
+        facts, sizes, totals = {}, {}, (0, 0)
+        for at, part in enumerate(chunked(list(features))):
+            aggs = []
+            for i, f in enumerate(part):
+                aggs += (facts_columns(as_number(F.col(f), dtypes[f]), f"f{i}_") if f in numbers
+                         else [F.approx_count_distinct(f).alias(f"f{i}_d")])
+            if at == 0 and label is not None:
+                aggs += [F.count_if(F.col(label) == 1).alias("e"), F.count_if(F.col(label) == 0).alias("n")]
+            row = df.agg(*aggs).first()
+            if at == 0 and label is not None:
+                totals = row["e"], row["n"]
+            facts |= {f: read_facts(row, f"f{i}_") for i, f in enumerate(part) if f in numbers}
+            sizes |= {f: row[f"f{i}_d"] for i, f in enumerate(part)}
+        sizes |= exact_few(df, [f for f in numbers if sizes[f] <= 2 * self.n_bins + 50])
+        kinds = {f: "numeric" if f in numbers and sizes[f] >= self.n_bins else "categorical" for f in features}
+        return kinds, sizes, facts, totals
+
+    def route(self, df: DataFrame, features: Sequence[str]) -> dict[str, str]:
+        """How each feature is taken: numeric or categorical."""
+        return self._survey(df, features, None)[0]
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> WOEModel:
-        df = df.select(*dict.fromkeys([*features, label]))
+        with reused(df.select(*dict.fromkeys([*features, label])), self.persist_input) as narrow:
+            return self._fit(narrow, features, label)
+
+    def _fit(self, df: DataFrame, features: Sequence[str], label: str) -> WOEModel:
         dtypes = dict(df.dtypes)
-        kinds, sizes = self.route(df, features)
+        kinds, sizes, facts, totals = self._survey(df, features, label)
         numeric = [f for f in features if kinds[f] == "numeric"]
         categorical = [f for f in features if kinds[f] == "categorical"]
         separate = self.handle_missing == "separate"
         steps = [Fraction(i, self.n_bins) for i in range(self.n_bins + 1)]
-        quantiles = exact_quantiles(df, numeric, steps, **self.quantile_options) if numeric else {}
+        quantiles = exact_quantiles(df, numeric, steps, known=facts, **self.quantile_options) if numeric else {}
         edges = {f: distinct_edges(q) for f, q in quantiles.items()}
         fills = {} if separate else {c: v or "UNKNOWN" for c, v in modes(df, categorical).items()}
 
@@ -176,8 +199,6 @@ class WOEEncoder:
                 F.count_if(F.col("y") == 0).alias("non_events"),
             )
         )
-        sums = df.agg(F.count_if(y == 1).alias("e"), F.count_if(y == 0).alias("n")).first()
-
         order = {f: i for i, f in enumerate(features)}
         spine = [
             (order[f], str(b), lower, upper)
@@ -188,7 +209,7 @@ class WOEEncoder:
         # every numeric bin has a row, also an empty one: smoothing gives it a weight
         binned = counts.join(F.broadcast(frame), ["i", "bin"], "full_outer")
         zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("count", "events", "non_events")}
-        table = _woe_columns(binned.withColumns(zero), sums["e"], sums["n"], self.regularization)
+        table = _woe_columns(binned.withColumns(zero), *totals, self.regularization)
         names = F.array(*[F.lit(f) for f in features])
         kind = F.array(*[F.lit(kinds[f]) for f in features])
         table = table.withColumns({

@@ -16,6 +16,7 @@ from .profile import value_counts
 from .roles import roles
 
 MISSING = "__MISSING__"
+MAX_LEVELS = 10_000
 
 
 def fill_missing(col: Column, value: str = MISSING) -> Column:
@@ -86,7 +87,7 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     })
 
 
-def levels_of(df: DataFrame, col: str, limit: int = 10_000) -> list[str]:
+def levels_of(df: DataFrame, col: str, limit: int = MAX_LEVELS) -> list[str]:
     """Sorted levels of a column that is known to have few."""
     rows = df.select(F.col(col).cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
@@ -102,9 +103,18 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _check_levels(df: DataFrame, cols: Sequence[str], limit: int) -> None:
+    """Refuse a column whose levels would all have to go through the driver."""
+    for part in chunked(list(cols)):
+        row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(part)]).first()
+        wide = [c for i, c in enumerate(part) if row[f"d{i}"] > limit]
+        if wide:
+            raise ValueError(f"columns of over {limit} levels: {wide}; encode them first, see SmartEncoder")
+
+
 def fit_preprocessor(
     df: DataFrame, numeric: Sequence[str] | None = None, categorical: Sequence[str] | None = None,
-    exclude: Sequence[str] = (), out: str = "features",
+    exclude: Sequence[str] = (), out: str = "features", max_levels: int = MAX_LEVELS,
 ) -> PipelineModel:
     """Numeric block then categorical block as one vector.
 
@@ -114,6 +124,7 @@ def fit_preprocessor(
     found = roles(df, exclude)
     numeric = found.numeric if numeric is None else list(numeric)
     categorical = found.categorical if categorical is None else list(categorical)
+    _check_levels(df, categorical, max_levels)
     state = fit_numeric(df, numeric)
     tops = modes(df, categorical)
     exprs = []

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.hashcuts import block_of, hash_cuts
+from ..plans.hashcuts import assign_blocks, hash_cuts
 from ..plans.quantiles import exact_quantiles, medians
 
 SPLITS = ("train", "test", "oot", "etrc")
@@ -127,8 +127,8 @@ def stratified_split(
         raise ValueError("split sizes must sum to 1")
     bounds = [sum(shares[: i + 1]) for i in range(3)]
     cuts = hash_cuts(df, keys, seed, F.col(target), lambda n: [math.floor(n * b + Fraction(1, 2)) for b in bounds], **kw)
-    block = block_of(keys, seed, F.col(target), cuts)
-    return df.withColumn(out, F.element_at(F.array(*[F.lit(s) for s in SPLITS]), block + 1))
+    names = F.array(*[F.lit(s) for s in SPLITS])
+    return assign_blocks(df, keys, seed, F.col(target), cuts, out).withColumn(out, F.element_at(names, F.col(out) + 1))
 
 
 def stratified_folds(
@@ -136,13 +136,13 @@ def stratified_folds(
 ) -> DataFrame:
     """Fold 0..k-1 per row; within each class fold sizes differ by at most one."""
     cuts = hash_cuts(df, keys, seed, F.col(target), lambda n: [n * i // k for i in range(1, k)], **kw)
-    return df.withColumn(out, block_of(keys, seed, F.col(target), cuts))
+    return assign_blocks(df, keys, seed, F.col(target), cuts, out)
 
 
 def folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold", **kw) -> DataFrame:
     """Plain folds, without strata."""
     cuts = hash_cuts(df, keys, seed, F.lit("all"), lambda n: [n * i // k for i in range(1, k)], **kw)
-    return df.withColumn(out, block_of(keys, seed, F.lit("all"), cuts))
+    return assign_blocks(df, keys, seed, F.lit("all"), cuts, out)
 
 
 def split_by_time(df: DataFrame, ts: str, cut: str | None = None, recent: float = 0.1, out: str = "split") -> DataFrame:

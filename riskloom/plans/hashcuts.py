@@ -19,6 +19,8 @@ DIGITS = 3
 ROWS_PER_TASK = 1_000_000
 MAX_STRATA = 1_000
 
+_HASH = "__hash"
+
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
@@ -88,15 +90,17 @@ def _descend(s, i, prefix, rank, counts):
     raise AssertionError(f"rank {rank} lies beyond {prefix or 'the stratum'}")
 
 
-def block_of(keys: Sequence[str], seed: int, stratum: Column, cuts: dict) -> Column:
-    """The 0-based block of a row: how many of its stratum's cuts lie at or below its hash."""
-    h = row_hash(keys, seed)
-    out = None
-    for s, (_n, thresholds) in cuts.items():
-        block = F.lit(0)
-        for t in thresholds:
-            if t is not None:
-                block = block + (h >= F.lit(t)).cast("int")
-        cond = stratum.cast("string").eqNullSafe(F.lit(s))
-        out = F.when(cond, block) if out is None else out.when(cond, block)
-    return out if out is not None else F.lit(0)
+def assign_blocks(df: DataFrame, keys: Sequence[str], seed: int, stratum: Column, cuts: dict, out: str) -> DataFrame:
+    """Add the 0-based block of each row: how many of its stratum's cuts lie at or below its hash."""
+    block = F.lit(0)
+    if cuts:
+        block = None
+        for s, (_n, thresholds) in cuts.items():
+            at = F.lit(0)
+            for t in thresholds:
+                if t is not None:
+                    at = at + (F.col(_HASH) >= F.lit(t)).cast("int")
+            here = stratum.cast("string").eqNullSafe(F.lit(s))
+            block = F.when(here, at) if block is None else block.when(here, at)
+    # a column of its own, so that the hash is computed once per row and not once per cut
+    return df.withColumn(_HASH, row_hash(keys, seed)).withColumn(out, block).drop(_HASH)

@@ -50,19 +50,36 @@ def _as_fraction(p) -> Fraction:
     return p if isinstance(p, Fraction) else Fraction(str(p)).limit_denominator(10**9)
 
 
-def _first_brackets(df, cols, wanted):
-    out, sizes = [], {}
-    for part in chunked(cols):
-        row = df.agg(
-            *[f(c).alias(f"{tag}{i}") for i, c in enumerate(part)
-              for tag, f in (("n", F.count), ("d", F.approx_count_distinct), ("a", F.min), ("b", F.max))]
-        ).first()
-        for i, c in enumerate(part):
-            n = sizes[c] = row[f"n{i}"]
-            if n:
-                for ranks in wanted(n):
-                    out.append(_Bracket(c, ranks, row[f"a{i}"], row[f"b{i}"], 0, n, row[f"d{i}"]))
-    return out, sizes
+@dataclass(frozen=True)
+class ColumnFacts:
+    """What one pass tells about a column of numbers."""
+
+    rows: int
+    distinct: int
+    low: float | None
+    high: float | None
+
+
+def facts_columns(col: Column, tag: str) -> list[Column]:
+    """Aggregates that ``read_facts`` turns into facts; they fit into any wider pass."""
+    return [F.count(col).alias(f"{tag}n"), F.approx_count_distinct(col).alias(f"{tag}d"),
+            F.min(col).alias(f"{tag}a"), F.max(col).alias(f"{tag}b")]
+
+
+def read_facts(row, tag: str) -> ColumnFacts:
+    return ColumnFacts(row[f"{tag}n"], row[f"{tag}d"], row[f"{tag}a"], row[f"{tag}b"])
+
+
+def _first_brackets(df, cols, wanted, known):
+    facts = dict(known or {})
+    for part in chunked([c for c in cols if c not in facts]):
+        row = df.agg(*[a for i, c in enumerate(part) for a in facts_columns(F.col(c), f"c{i}_")]).first()
+        facts |= {c: read_facts(row, f"c{i}_") for i, c in enumerate(part)}
+    out = [
+        _Bracket(c, ranks, f.low, f.high, 0, f.rows, f.distinct)
+        for c in cols for f in [facts[c]] if f.rows for ranks in wanted(f.rows)
+    ]
+    return out, {c: facts[c].rows for c in cols}
 
 
 def _narrow(df, brackets, accuracy):
@@ -148,9 +165,12 @@ def exact_quantiles(
     *,
     max_distinct: int = MAX_DISTINCT,
     accuracy: int = SKETCH_ACCURACY,
+    known: dict[str, ColumnFacts] | None = None,
 ) -> dict[str, list[float] | None]:
     """``{column: [quantile per probability]}``; a column without values maps to None.
 
+    ``known`` holds facts that an earlier pass over the same rows has found.
+
     Positions are ``p * (n - 1)`` in exact rational arithmetic, so an edge that falls on
     a data point is that data point, to the bit.
     """
@@ -167,7 +187,7 @@ def exact_quantiles(
             groups.append((low, low + 1) if pos != low else (low,))
         return list(dict.fromkeys(groups))
 
-    brackets, sizes = _first_brackets(values, cols, wanted)
+    brackets, sizes = _first_brackets(values, cols, wanted, known)
     for _ in range(MAX_PASSES):
         wide = [b for b in brackets if not b.done(max_distinct)]
         if not wide:

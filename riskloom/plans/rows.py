@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,23 @@ def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str | T.S
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
+@contextmanager
+def reused(df: DataFrame, on: bool):
+    """Keep a narrow input while several passes read it.
+
+    Worth it where the rows come out of joins; a plain scan is cheaper read again. A lost
+    block is computed anew from its source.
+    """
+    if not on:
+        yield df
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def chunked(items: Sequence, size: int = COLUMNS_PER_PASS):
     for i in range(0, len(items), size):
         yield items[i : i + size]

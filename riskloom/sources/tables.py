@@ -28,6 +28,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rebalance a scan that has fewer splits than the cluster has slots.
+
+    A table of many files, as any large one is, comes back as it is. Hashing a key needs
+    no sort, unlike a round-robin that has to come out the same when retried.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
     if partition_by:
