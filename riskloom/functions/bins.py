@@ -13,14 +13,20 @@ def _count(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [t.cast("int") for t in terms], F.lit(0))
 
 
-def bin_left_closed(x: Column, inner: Sequence[float]) -> Column:
-    """0-based bin: the number of inner edges <= x. Null stays null."""
-    return F.when(x.isNotNull(), _count([x >= F.lit(float(e)) for e in inner]))
+def _binned(col: Column, edges: Sequence[float], passes) -> Column:
+    x = col.cast("double")
+    # the guard stands outside, so that each edge costs one plain comparison
+    return F.when(x.isNotNull() & ~F.isnan(x), _count([passes(x, F.lit(float(e))) for e in edges]))
 
 
-def bin_right_closed(x: Column, inner: Sequence[float]) -> Column:
-    """0-based bin: the number of inner edges < x. Null stays null."""
-    return F.when(x.isNotNull(), _count([x > F.lit(float(e)) for e in inner]))
+def bin_left_closed(col: Column, inner: Sequence[float]) -> Column:
+    """0-based bin: the number of inner edges <= x. Null and NaN have no bin."""
+    return _binned(col, inner, lambda x, e: x >= e)
+
+
+def bin_right_closed(col: Column, inner: Sequence[float]) -> Column:
+    """0-based bin: the number of inner edges < x. Null and NaN have no bin."""
+    return _binned(col, inner, lambda x, e: x > e)
 
 
 def distinct_edges(edges: Sequence[float] | None) -> list[float]:

@@ -112,9 +112,8 @@ def fit_baseline(
 
 def binned_rows(df: DataFrame, inner: dict[str, list[float]], by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, bin), a row per row and feature; null values have a null bin."""
-    dtypes = dict(df.dtypes)
     cells = F.array(*[
-        F.struct(F.lit(f).alias("feature"), bin_left_closed(as_number(F.col(f), dtypes[f]), e).alias("bin"))
+        F.struct(F.lit(f).alias("feature"), bin_left_closed(F.col(f), e).alias("bin"))
         for f, e in inner.items()
     ])
     return df.select(*by, F.explode(cells).alias("__e")).select(*by, "__e.feature", "__e.bin")
@@ -130,14 +129,20 @@ def bin_counts(df: DataFrame, inner: dict[str, list[float]], by: Sequence[str] =
     return binned_rows(df, inner, by).groupBy(*by, "feature").agg(counters(width))
 
 
-def score_counts(counts: DataFrame, baseline: Baseline, by: Sequence[str] = (), details: bool = False) -> DataFrame:
+def score_counts(
+    counts: DataFrame, baseline: Baseline, by: Sequence[str] = (), details: bool = False, features: Sequence[str] | None = None
+) -> DataFrame:
     """PSI of counted bins against the baseline, whose table is as small as the feature list."""
     spark = counts.sparkSession
     base = baseline.table(spark).drop("rows")
+    if not by:  # a feature without any current rows still has its row, with null PSI
+        known = base.filter(F.col("feature").isin(features)) if features is not None else base
+        joined = known.join(F.broadcast(counts), "feature", "left")
+    else:
+        joined = counts.join(F.broadcast(base), "feature")
     own = F.slice("counts", 1, F.size("expected"))
     rows = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    joined = counts.join(F.broadcast(base), "feature")
-    shaped = joined.withColumn("rows", rows).withColumn(
+    shaped = joined.withColumn("rows", F.coalesce(rows, F.lit(0))).withColumn(
         "actual", F.when(F.col("rows") > 0, F.transform(own, lambda c: _clip_share(c / F.col("rows")))))
     parts = F.zip_with("actual", "expected", lambda a, e: (a - e) * F.log(a / e))
     shaped = shaped.withColumn("parts", parts)
@@ -163,7 +168,8 @@ def _shared(baseline: Baseline, current: DataFrame) -> dict[str, list[float]]:
 
 def psi_against(baseline: Baseline, current: DataFrame, by: Sequence[str] = (), details: bool = False) -> DataFrame:
     """PSI of each baseline feature that ``current`` has; one row per feature and group."""
-    return score_counts(bin_counts(current, _shared(baseline, current), by), baseline, by, details)
+    shared = _shared(baseline, current)
+    return score_counts(bin_counts(current, shared, by), baseline, by, details, list(shared))
 
 
 def psi(

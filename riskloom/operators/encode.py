@@ -86,7 +86,6 @@ class WOEModel:
 
     def transform(self, df: DataFrame, suffix: str = "_woe") -> DataFrame:
         """Add one WOE column per fitted feature; an unknown category gives 0."""
-        dtypes = dict(df.dtypes)
         here = [f for f in self.kinds if f in df.columns]
         small = self.table_rows <= BROADCAST_ROWS
         rows: dict[str, dict[str, float]] = {f: {} for f in here}
@@ -99,9 +98,8 @@ class WOEModel:
             if self.kinds[f] == "numeric":
                 edges = self.edges[f]
                 woe = rows[f] if small else self._few(f)
-                x = as_number(F.col(f), dtypes[f])
                 values = [woe.get(str(i), 0.0) for i in range(max(len(edges) - 1, 1))]
-                binned = lookup_literal(bin_left_closed(x, edges[1:-1]), values)
+                binned = lookup_literal(bin_left_closed(F.col(f), edges[1:-1]), values)
                 out[f + suffix] = F.coalesce(binned, F.lit(woe.get(MISSING, 0.0)))
             elif small and len(rows[f]) <= MAP_LITERAL:
                 pairs = [F.lit(v) for kv in rows[f].items() for v in kv]
@@ -171,7 +169,6 @@ class WOEEncoder:
             return self._fit(narrow, features, label)
 
     def _fit(self, df: DataFrame, features: Sequence[str], label: str) -> WOEModel:
-        dtypes = dict(df.dtypes)
         kinds, sizes, facts, totals = self._survey(df, features, label)
         numeric = [f for f in features if kinds[f] == "numeric"]
         categorical = [f for f in features if kinds[f] == "categorical"]
@@ -184,7 +181,7 @@ class WOEEncoder:
         keys = []
         for f in features:
             if kinds[f] == "numeric":
-                b = bin_left_closed(as_number(F.col(f), dtypes[f]), edges[f][1:-1]).cast("string")
+                b = bin_left_closed(F.col(f), edges[f][1:-1]).cast("string")
                 keys.append((f, F.coalesce(b, F.lit(MISSING)) if separate else b))
             else:
                 keys.append((f, F.coalesce(F.col(f).cast("string"), F.lit(fills.get(f, MISSING)))))

@@ -279,11 +279,9 @@ def cv_leaderboard(fold_scores: DataFrame, extras: DataFrame | None = None) -> D
 
 def best_model(board: DataFrame, results: DataFrame) -> DataFrame:
     """Result rows of the first model of the board; if it has none, those of the first model."""
-    top = board.filter(F.col("rank") == 1).select(F.col("model").alias("__top"))
-    names = results.agg(F.min("model").alias("__first"), F.collect_set("model").alias("__all"))
-    pick = names.join(F.broadcast(top), F.array_contains("__all", F.col("__top")), "left").select(
-        F.coalesce("__top", "__first").alias("model"))
-    return results.join(F.broadcast(pick), "model")
+    names = results.select("model").distinct().join(board.select("model", "rank"), "model", "left")
+    first = F.struct(F.coalesce(F.col("rank"), F.lit(2)) > 1, F.col("model"))
+    return results.join(F.broadcast(names.agg(F.min_by("model", first).alias("model"))), "model")
 
 
 def lights(metrics: DataFrame, by: Sequence[str] = ("model", "split"), names: Sequence[str] = ("roc_auc", "f1", "precision", "recall")) -> DataFrame:

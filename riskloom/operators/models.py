@@ -219,8 +219,9 @@ def train(
 
     def task(name):
         def run():
-            spec, start = _spec(name), time.monotonic()
+            start = time.monotonic()
             try:
+                spec = _spec(name)
                 chosen = {**spec.live, **((params or {}).get(name) or {})}
                 return name, spec.build(chosen, rows, label, seed).fit(part), time.monotonic() - start
             except Exception as e:  # one bad model must not lose the others

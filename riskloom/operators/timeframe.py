@@ -132,7 +132,7 @@ def percentile_position(df: DataFrame, col: str, id: str, out: str, rows_per_buc
 def quantile_bins(df: DataFrame, col: str, out: str, q: int = 10, **kw) -> DataFrame:
     """0-based quantile bin, closed on the right, lowest included, equal edges merged."""
     edges = distinct_edges(exact_quantiles(df, [col], [Fraction(i, q) for i in range(q + 1)], **kw)[col])
-    return df.withColumn(out, bin_right_closed(as_number(F.col(col), dict(df.dtypes)[col]), edges[1:-1]))
+    return df.withColumn(out, bin_right_closed(F.col(col), edges[1:-1]))
 
 
 def population_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -89,14 +89,12 @@ def attach(
     total = table.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) > total * hot_share
     hot = table.filter(is_hot).select(*keys, *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias(_SIDE))
-    cold = table.filter(~is_hot).select(*keys, *values, F.lit(0).alias(_SALT))
-    with_hot = df.join(F.broadcast(hot), list(keys), "left")
+    cold = table.filter(~is_hot).select(
+        *[F.col(k).alias(f"__ck_{k}") for k in keys], *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(0).alias("__cold"))
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int") + 1
-    salted = with_hot.withColumn(_SALT, F.when(F.col(_SIDE) | any_null, spread).otherwise(F.lit(0)))
-    on = reduce(lambda a, b: a & b, [salted[k] == cold[k] for k in keys], salted[_SALT] == cold[_SALT])
-    joined = salted.join(cold, on, "left")
-    return joined.select(
-        *[salted[c] for c in df.columns],
-        *[F.when(salted[_SIDE], salted[f"__h_{v}"]).otherwise(cold[v]).alias(v) for v in values],
-    )
+    salted = df.join(F.broadcast(hot), list(keys), "left").withColumn(
+        _SALT, F.when(F.col(_SIDE) | any_null, spread).otherwise(F.lit(0)))
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__ck_{k}") for k in keys], F.col(_SALT) == F.col("__cold"))
+    return salted.join(cold, on, "left").select(
+        *df.columns, *[F.when(F.col(_SIDE), F.col(f"__h_{v}")).otherwise(F.col(f"__c_{v}")).alias(v) for v in values])
