@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .rows import join_null_safe, local_table
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_SPLITS = 20_000
+MAX_SPLITS = 4_096
+FAN = 16
 GROUPS_ON_DRIVER = 10_000
 
 BUCKET = "__bucket"
@@ -50,7 +51,7 @@ class Order:
     cuts: DataFrame | None = None
     sub_cuts: DataFrame | None = None
     tiebreak: str | None = None
-    literal_cuts: list[float] | None = None
+    literal_cuts: dict[str, list[float]] | None = None
     _key: str = field(default="__pos")
 
     def with_totals(self, df: DataFrame) -> DataFrame:
@@ -62,21 +63,46 @@ class Order:
     def with_bucket(self, df: DataFrame) -> DataFrame:
         if self.cuts is None:
             return df.withColumns({BUCKET: F.lit(0), SUB: F.lit(0)})
-        dtype = dict(df.dtypes)[self.column]
-        pos = sortable(F.col(self.column), dtype)
-        out = df.withColumn(self._key, pos)
+        dtypes = dict(df.dtypes)
+        out = df.withColumn(self._key, sortable(F.col(self.column), dtypes[self.column]))
         if self.by:
             out = join_null_safe(out, self.cuts, self.by, "left", True)
         else:
-            out = out.withColumn(_CUTS, F.array(*[F.lit(c) for c in self.literal_cuts]))
-        here = F.size(F.filter(_CUTS, lambda c: c <= F.col(self._key)))
-        out = out.withColumn(BUCKET, F.when(F.col(_CUTS).isNull(), 0).otherwise(here)).drop(_CUTS)
+            out = out.withColumns({n: F.array(*[F.lit(c) for c in v]) for n, v in self.literal_cuts.items()})
+        out = _cuts_at_or_below(out, F.col(self._key), self.cuts, BUCKET)
         if self.sub_cuts is None:
             return out.withColumn(SUB, F.lit(0)).drop(self._key)
         out = join_null_safe(out, self.sub_cuts, [*self.by, self._key], "left", True)
-        tie = sortable(F.col(self.tiebreak), dict(df.dtypes)[self.tiebreak])
-        inner = F.size(F.filter(_CUTS, lambda c: c <= tie))
-        return out.withColumn(SUB, F.when(F.col(_CUTS).isNull(), 0).otherwise(inner)).drop(_CUTS, self._key)
+        tie = sortable(F.col(self.tiebreak), dtypes[self.tiebreak])
+        return _cuts_at_or_below(out, tie, self.sub_cuts, SUB).drop(self._key)
+
+
+def _levels(cuts: Sequence[float]) -> list[list[float]]:
+    """The sorted cuts, and every FAN-th of them, and so on; the coarsest first."""
+    levels = [list(cuts)]
+    while len(levels[0]) > FAN:
+        levels.insert(0, levels[0][FAN - 1 :: FAN])
+    return levels
+
+
+def _level_columns(depth: int) -> list[str]:
+    return [f"{_CUTS}{i}" for i in range(depth)]
+
+
+def _padded(cuts: Sequence[float], depth: int) -> list[list[float]]:
+    levels = _levels(cuts)
+    return [[]] * (depth - len(levels)) + levels
+
+
+def _cuts_at_or_below(df: DataFrame, x: Column, cuts: DataFrame, out: str) -> DataFrame:
+    """Count the cuts <= x by descending the levels: FAN comparisons each, however many cuts."""
+    names = [c for c in cuts.columns if c.startswith(_CUTS)]
+    df = df.withColumn(out, F.lit(0))
+    for name in names:  # a column per step, so that no step is computed twice
+        part = F.filter(F.slice(name, F.col(out) * FAN + 1, FAN), lambda c: c <= x)
+        df = df.withColumn(out, F.col(out) * FAN + F.size(part))
+    missing = F.col(names[-1]).isNull() | x.isNull()
+    return df.withColumn(out, F.when(missing, 0).otherwise(F.col(out))).drop(*names)
 
 
 def plan_order(
@@ -135,28 +161,38 @@ def plan_order(
         cut_rows.append((*key, sorted(set(distinct + after))))
         heavy += [(*key, v) for v in twice]
     by_fields = [grouped.schema[b] for b in by]
+    depth = max(len(_levels(r[-1])) for r in cut_rows)
+    order.cuts = _cut_table(spark, by_fields, cut_rows, depth)
     if not by:
-        order.literal_cuts = cut_rows[0][0]
-    order.cuts = local_table(spark, cut_rows, _schema(by_fields, [(_CUTS, "array<double>")]))
+        order.literal_cuts = dict(zip(_level_columns(depth), _padded(cut_rows[0][-1], depth)))
     if heavy and tiebreak:
         order.sub_cuts = _cut_ties(df, order, by_fields, heavy, pos, size, dtypes)
     return order
 
 
+def _cut_table(spark, key_fields, rows, depth):
+    names = _level_columns(depth)
+    return local_table(
+        spark, [(*r[:-1], *_padded(r[-1], depth)) for r in rows], _schema(key_fields, [(n, "array<double>") for n in names]))
+
+
 def _cut_ties(df, order, by_fields, heavy, pos, size, dtypes):
     """Cut the rows that tie on a heavy value along the tie-break column."""
     spark, by, key = df.sparkSession, order.by, order._key
     spots = local_table(spark, heavy, _schema(by_fields, [(key, "double")]))
     tied = join_null_safe(df.withColumn(key, pos), spots, [*by, key], "inner", True)
     tie = sortable(F.col(order.tiebreak), dtypes[order.tiebreak])
-    probs = [i / 1000 for i in range(1, 1000)]
+    fine = 1000
+    probs = [i / fine for i in range(1, fine)]
     cut = (
         tied.groupBy(*by, key)
         .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(tie, probs, 10_000).alias("q"))
-        .withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(1000) * size / F.col("n"))).cast("int"))
-        .select(*by, key, F.array_distinct(F.expr("filter(q, (x, i) -> i % step = 0)")).alias(_CUTS))
+        .withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(fine) * size / F.col("n"))).cast("int"))
+        .select(*by, key, F.array_distinct(F.expr("filter(q, (x, i) -> i % step = 0)")).alias("q"))
     )
-    return local_table(spark, cut.collect(), cut.schema)
+    rows = [tuple(r) for r in cut.collect()]
+    depth = max((len(_levels(r[-1])) for r in rows), default=1)
+    return _cut_table(spark, _schema(by_fields, [(key, "double")]).fields, rows, depth)
 
 
 def _next_up(x: float) -> float:

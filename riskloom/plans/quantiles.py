@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .rows import chunked, local_table
 
 MAX_DISTINCT = 1_000_000
+# Above DIRECT_ROWS, counting by value pays off only where each task meets few values.
+DIRECT_ROWS = 20_000_000
+FEW_DISTINCT = 10_000
 SKETCH_ACCURACY = 10_000
 MAX_PASSES = 6
 
@@ -43,6 +46,8 @@ class _Bracket:
     stuck: bool = False
 
     def done(self, limit: int) -> bool:
+        if self.inside > DIRECT_ROWS:
+            limit = min(limit, FEW_DISTINCT)
         return self.stuck or self.low == self.high or self.distinct * 1.1 <= limit
 
 

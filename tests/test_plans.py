@@ -106,3 +106,15 @@ def test_attach_beyond_the_broadcast_limit(spark):
     assert large.columns == small.columns == ["k", "i", "v"]
     assert sorted(large.collect(), key=str) == sorted(small.collect(), key=str)
     assert large.filter("i < 0 and v is not null").count() == 0
+
+
+def test_cut_levels(spark):
+    from riskloom.plans.ordered import _cut_table, _cuts_at_or_below, _levels
+
+    for n in (1, 16, 17, 256, 300, 5000):
+        cuts = [float(2 * i) for i in range(n)]
+        table = _cut_table(spark, [], [(cuts,)], len(_levels(cuts)))
+        xs = [-1.0, 0.0, 1.0, 33.0, float(n), 2.0 * n - 2, 9e9, None]
+        df = spark.createDataFrame([(x,) for x in xs], "x double").crossJoin(table)
+        got = {r["x"]: r["b"] for r in _cuts_at_or_below(df, F.col("x"), table, "b").collect()}
+        assert got == {x: 0 if x is None else sum(c <= x for c in cuts) for x in xs}
