@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .registry import table
 
 
@@ -19,6 +20,7 @@ def null_if(col: str, value):
 def shipments(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with order and part attributes; y marks a return."""
     li, o, p = (table(spark, folder, t) for t in ("lineitem", "orders", "part"))
+    li = spread(li, "l_orderkey")  # given as one file of one row group; several passes follow
     return (
         li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey).select(
             null_if("l_quantity", 25.0).alias("quantity"), F.col("l_extendedprice").alias("price"),
