@@ -81,6 +81,11 @@ def _luhn(digits: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _luhn_holds(digits: Column) -> Column:
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.substring(digits, F.length(digits), F.lit(1)) == _luhn(body)
+
+
 def _name(digest: Column, kind: Column, value: Column) -> Column:
     """A made-up name of three syllables and the ending of its kind, in the value's script."""
     out = None
@@ -119,12 +124,15 @@ def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
 
 
 def _kind(match: Column) -> Column:
+    """Kind of a match; ``plain`` if it only looks like one."""
     out = None
     for kind, pattern in PATTERNS.items():
         if kind != "secret":  # looks behind the match, and is what remains
             whole = match.rlike(f"^(?:{pattern})$")
+            if kind == "card":  # sixteen digits without a right check digit are some other number
+                whole = whole & _luhn_holds(F.regexp_replace(match, r"\D", ""))
             out = F.when(whole, kind) if out is None else out.when(whole, kind)
-    return out.otherwise("secret")
+    return out.when(match.rlike(f"^(?:{PATTERNS['card']})$"), "plain").otherwise("secret")
 
 
 def _units(match: Column) -> Column:
@@ -137,7 +145,8 @@ def _units(match: Column) -> Column:
     normal = (
         F.when(kind.isin("card", "phone"), F.regexp_replace(match, r"\D", "")).when(kind == "email", F.lower(match))
         .when(kind == "iban", F.regexp_replace(match, " ", "")).otherwise(match))
-    return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), normal.alias("value"))))
+    none = F.array().cast("array<struct<kind: string, value: string>>")
+    return F.when(kind == "plain", none).when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), normal.alias("value"))))
 
 
 def _rendered(match: Column, units: Column, made: Column) -> Column:
@@ -147,14 +156,14 @@ def _rendered(match: Column, units: Column, made: Column) -> Column:
         return F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(
             c.rlike(slot), F.substring(normal, F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), slot.replace("[", "[^"), "")), F.lit(1))).otherwise(c)), "")
 
-    kind = units[0]["kind"]
+    kind, first = F.get(units, F.lit(0))["kind"], F.get(made, F.lit(0))
     words = F.slice(F.split(match, " "), 2, 9)
     cased = F.zip_with(made, words, lambda s, w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(
         F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))))
     return (
         F.when(kind.isin("given_f", "given_m", "surname"), F.concat_ws(" ", F.substring_index(match, " ", 1), F.array_join(cased, " ")))
-        .when(kind.isin("card", "phone"), in_format(made[0], "[0-9]")).when(kind == "iban", in_format(made[0], "[A-Z0-9]"))
-        .when((kind == "email") & (match == F.upper(match)), F.upper(made[0])).otherwise(made[0]))
+        .when(kind.isin("card", "phone"), in_format(first, "[0-9]")).when(kind == "iban", in_format(first, "[A-Z0-9]"))
+        .when((kind == "email") & (match == F.upper(match)), F.upper(first)).when(kind.isNull(), match).otherwise(first))
 
 
 def _found(text: Column) -> Column:
@@ -215,5 +224,6 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     gaps = F.split(F.col("text"), _ANY)
     woven = F.array_join(F.flatten(F.zip_with(gaps, surrogates, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     n = F.size("__found")
-    return with_matches.withColumn("n_entities", F.when(n > 0, n).otherwise(0).cast("long")).withColumn(
+    entities = F.size(F.filter("__found", lambda m: F.size(_units(m)) > 0))
+    return with_matches.withColumn("n_entities", F.when(n > 0, entities).otherwise(0).cast("long")).withColumn(
         "text", F.when(n > 0, woven).otherwise(F.col("text"))).drop("__found", name)
