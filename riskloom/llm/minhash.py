@@ -23,7 +23,7 @@ from .common import U64, as_bytes, lists, per_batch, shingle_set
 BANDS, ROWS = 32, 5
 BITS = 2  # low bits kept of each minimum
 SIGMAS = 5.0  # a pair is dropped unread only if its estimate is so many standard deviations low
-FIRST_PIVOTS = 64
+FIRST_PIVOTS, PAIRS_PER_NODE = 8, 4
 _SEED = 20_240_601
 
 
@@ -151,6 +151,28 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
     return per_batch(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), "a binary, b binary", make, rows=64)
 
 
+def unlinkable(nodes: DataFrame, texts: DataFrame, sizes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Nodes so full of shingles that no other of ``nodes`` has, that none of them can be similar enough.
+
+    A link needs 100 |A ∩ B| >= percent |A|, and no more of A than its shared shingles lies in any B.
+    Tasks count shingles before the shuffle, so that a group of copies sends its common ones once a task.
+    """
+    def make():
+        def of(batch):
+            node = batch.column("node")
+            sets = [shingle_set(t, shingle_words) for t in batch.column("text").to_pylist()]
+            found, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first]
+            owner = pa.array(owner, pa.int64(), mask=n > 1)
+            return {"h": pa.array(found.view(np.int64)), "node": node.take(owner), "n": pa.array(n, pa.int64())}
+
+        return of
+
+    counted = per_batch(texts.join(nodes, "node", "left_semi"), "h long, node binary, n long", make)
+    own = counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return own.join(sizes.select("node", "n_shingles"), "node").filter(100 * (F.col("n_shingles") - F.col("own")) < percent * F.col("n_shingles")).select("node")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable. Labels spread along edges and jump to their label's label."""
     edges = settle(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
@@ -194,26 +216,41 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("planes").alias("planes"), F.first("bands").alias("bands")),
         "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("node"), F.max("node")).alias("leaders")).filter("n > 1")
     entries = settle(keyed.join(shared, "key"), "entries")
-    hooks = entries.filter("node <> leader").groupBy("node", "leader").count().groupBy("node").agg(
-        F.max_by("leader", F.struct("count", "leader")).alias("a")).select("a", F.col("node").alias("b"))
+    # Each node is first compared with the one or two leaders that it meets in the most buckets.
+    met = entries.select("node", F.posexplode("leaders").alias("end", "leader")).filter("node <> leader").groupBy("node", "end", "leader").count()
+    hooks = met.groupBy("node", "end").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader")).select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     bucketed = entries.select("node").distinct()
     texts = settle(texts_of(docs, nodes.join(bucketed, "node", "left_semi"), shingle_words), "texts")
     links = settle(confirm(likely(hooks, nodes, percent), texts, shingle_words, percent), "links")
     labels = settle(components(links), "labels")
 
-    # Rounds over buckets that still hold several components: a growing share of each bucket's
-    # nodes is compared with its nodes of other components, until all have been.
+    # Rounds over buckets that still hold several components. If all pairs across components are
+    # no more than PAIRS_PER_NODE times the nodes, they are compared at once. Otherwise nodes that can link
+    # with nothing are left out, and then a growing share of each bucket's nodes is compared with its
+    # nodes of other components, until all have been.
+    most = PAIRS_PER_NODE * nodes.count()
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    low, pivots = 0, FIRST_PIVOTS
+    low, pivots, prune = 0, FIRST_PIVOTS, True
     while True:
         at = entries.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_keys = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("n").alias("n")).filter(
-            (F.col("x") != F.col("y")) & (F.col("n") > low))
-        at = settle(at.join(open_keys.select("key"), "key"), "open")
-        if at.isEmpty():
+        sizes = at.groupBy("key", "comp").agg(F.count("*").alias("own"), F.max("n").alias("n")).groupBy("key").agg(
+            F.count("*").alias("comps"), F.max("n").alias("n"), F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("squares"))
+        open_keys = settle(sizes.filter((F.col("comps") > 1) & (F.col("n") > low)), "open")
+        cross = open_keys.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2)).first()[0]
+        if cross is None:
             break
+        at = at.join(open_keys.select("key"), "key")
+        if cross <= most:
+            pivots = 1 << 62
+        elif prune:
+            gone = settle(unlinkable(at.select("node").distinct(), texts, nodes, shingle_words, percent), "unlinkable")
+            prune = not gone.isEmpty()
+            if prune:
+                entries = settle(entries.join(gone, "node", "left_anti"), "entries")
+                continue
         chosen = at.filter((place >= low / F.col("n")) & (place < pivots / F.col("n"))).select(
             "key", F.col("node").alias("p"), F.col("comp").alias("cp"))
         met = at.join(chosen, "key").filter("comp <> cp")
