@@ -9,6 +9,8 @@ that two entities share, or that are themselves an entity of the corpus, are dra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from riskloom.session import settle
 MAX_DRAWS = 64
 DEFAULT_KEY = "surrogates-1"
 
-FEMALE = "Mrs|Ms|Miss|Madam|Madame|Mademoiselle|Mme|Mlle|Frau|Señora|Señorita|Sra|Signora|г-жа|госпожа|κυρία"
-MALE = "Mr|Sir|Monsieur|Herr|Señor|Sr|Signor|г-н|господин|κύριος"
+FEMALE = "Mrs|MRS|Ms|MS|Miss|Madam|Madame|Mademoiselle|Mme|Mlle|Frau|Señora|Señorita|Sra|Signora|г-жа|госпожа|κυρία"
+MALE = "Mr|MR|Sir|Monsieur|Herr|Señor|Sr|Signor|г-н|господин|κύριος"
 _NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: kind -> pattern; the first kind that fits a match counts.
@@ -31,13 +33,16 @@ PATTERNS = {
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']?)[A-Za-z0-9_/+.-]{8,}",
+    "secret": r"(?<=[=: \"'])(?=[A-Za-z0-9_/+.-]{8})(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']?)[A-Za-z0-9_/+.-]{8,}",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 }
 # One pass over a text; the card pattern's group number holds as it is the only group.
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# A text without one of these has no entity.
-_GATE = rf"@|\d\D?\d|[=:]|(?:{FEMALE}|{MALE})\.? \p{{Lu}}"
+# Every kind starts where no word character precedes.
+_ANY = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# A text in which neither is found has no entity. Both start with one class of characters, which is what makes them cheap.
+_SIGNS = r"[@=:0-9]"
+_TITLES = f"{FEMALE}|{MALE}".split("|")
+_TITLE = rf"[{''.join(sorted({t[0] for t in _TITLES}))}](?:{'|'.join(sorted({t[1:] for t in _TITLES}))})\.? \p{{Lu}}"
 # Syllables of made-up names, by script. An ending tells the gender of a given name.
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
@@ -50,6 +55,11 @@ _ENDINGS = {
 }
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digest(key: str, kind: Column, value: Column, draw: Column) -> Column:
     """128 hex digits keyed as in HMAC: key, then the digest of key and message."""
     message = F.concat_ws("\u0001", kind, value, draw.cast("string"))
@@ -103,16 +113,19 @@ def _name(digest: Column, kind: Column, value: Column) -> Column:
 
 def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
     """Normal form of the surrogate of an entity's normal form."""
-    digest = _digest(key, kind, value, draw)
+    return _let(_digest(key, kind, value, draw), lambda digest: _drawn(key, kind, value, digest))
+
+
+def _drawn(key: str, kind: Column, value: Column, digest: Column) -> Column:
     local = F.substring_index(value, "@", 1)
     # The host's surrogate depends on the host alone, so colleagues stay colleagues; it lies in a name space set apart for examples.
     host = F.substring_index(value, "@", -1)
-    label = _written(_digest(key, F.lit("host"), host, F.lit(0)), F.lpad(F.regexp_replace(F.substring_index(host, ".", 1), r"[^a-z0-9]", "a"), 8, "a"))
+    label = _let(_digest(key, F.lit("host"), host, F.lit(0)), lambda d: _written(d, F.lpad(F.regexp_replace(F.substring_index(host, ".", 1), r"[^a-z0-9]", "a"), 8, "a")))
     last = F.length(value) - 1
     middle = _written(digest, F.substring(value, F.lit(2), last - 1))
     return (
         F.when(kind == "email", F.concat(_written(digest, local), F.lit("@"), label, F.lit(".example.com")))
-        .when(kind == "card", F.concat(F.substring(value, 1, 1), middle, _luhn(F.concat(F.substring(value, 1, 1), middle))))
+        .when(kind == "card", _let(F.concat(F.substring(value, 1, 1), middle), lambda x: F.concat(x, _luhn(x))))
         .when(kind == "ssn", F.concat(F.lit("9"), _written(digest, F.substring(value, F.lit(2), F.length(value)))))
         .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i, 254) + 1).cast("string")), "."))
         .when(kind == "phone", F.concat(F.substring(value, 1, 1), _written(digest, F.substring(value, F.lit(2), F.length(value)), digits="23456789")))
@@ -137,7 +150,10 @@ def _kind(match: Column) -> Column:
 
 def _units(match: Column) -> Column:
     """The entities in a match, array<struct<kind, value>>: each word of a name, else the one."""
-    kind = _kind(match)
+    return _let(_kind(match), lambda kind: _units_of(match, kind))
+
+
+def _units_of(match: Column, kind: Column) -> Column:
     names = F.slice(F.split(match, " "), 2, 9)
     given = F.when(match.rlike(rf"^(?:{FEMALE})\.? "), F.lit("given_f")).otherwise(F.lit("given_m"))
     of_name = F.transform(names, lambda w, i: F.struct(
@@ -169,7 +185,7 @@ def _rendered(match: Column, units: Column, made: Column) -> Column:
 def _found(text: Column) -> Column:
     """Matches in text order; none for null and for texts that the gate shows to have none."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(_GATE), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
+    return F.when(text.rlike(_SIGNS) | text.rlike(_TITLE), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
 
 
 def redrawn(entities: DataFrame, key: str) -> DataFrame:
@@ -219,7 +235,8 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         draw_of = lambda u: F.coalesce(F.element_at(F.col(name), F.concat_ws("\u0001", u["kind"], u["value"])), F.lit(0))
     else:
         draw_of = lambda u: F.lit(0)
-    made = lambda m: _rendered(m, _units(m), F.transform(_units(m), lambda u: surrogate(key, u["kind"], u["value"], draw_of(u))))
+    made = lambda m: _let(_units(m), lambda units: _let(
+        F.transform(units, lambda u: surrogate(key, u["kind"], u["value"], draw_of(u))), lambda s: _rendered(m, units, s)))
     surrogates = F.transform(F.col("__found"), made)
     gaps = F.split(F.col("text"), _ANY)
     woven = F.array_join(F.flatten(F.zip_with(gaps, surrogates, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
