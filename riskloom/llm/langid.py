@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,10 @@ UND = "und"
 # Bounds of the fitting sample: rows per language, and the length of the texts preferred for it.
 SAMPLE_ROWS = 40
 SAMPLE_CHARS = (200, 4_000)
-LONGEST_SAMPLE = 200_000  # characters per language; whole texts are left out beyond it, none is cut
+LONGEST_SAMPLE = 100_000  # characters per language; whole texts are left out beyond it, none is cut
+SHARPNESS = 40.0
+_DIGIT = 48  # bits of a count
+_MASK = (1 << _DIGIT) - 1
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -80,8 +84,20 @@ class SuffixAutomaton:
 
 
 def letters(text: str) -> list[str]:
-    """Lower-case words of letters, each between blanks."""
-    return [f" {w} " for w in _WORDS.findall(text.lower())]
+    """Lower-case words of letters."""
+    return _WORDS.findall(text.lower())
+
+
+def packer(parsers) -> Callable[[str], int]:
+    """Function from a word to its length and its phrase counts, as digits of one integer, so that texts are plain sums."""
+    def of(word: str) -> int:
+        blank = f" {word} "
+        out = len(blank)
+        for i, phrases in enumerate(parsers, 1):
+            out += phrases(blank) << (_DIGIT * i)
+        return out
+
+    return of
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = LONGEST_SAMPLE) -> dict[str, str]:
@@ -98,11 +114,11 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = LONGEST_SAMPL
     taken: dict[str, int] = {}
     for row in picked.orderBy("lang", "r").filter(size <= chars).toLocalIterator():
         words = letters(row.text)
-        n = sum(map(len, words))
+        n = sum(map(len, words)) + len(words)
         if taken.get(row.lang, 0) + n <= chars:
             samples.setdefault(row.lang, []).extend(words)
             taken[row.lang] = taken.get(row.lang, 0) + n
-    return {k: "".join(v).replace("  ", " ") for k, v in sorted(samples.items())}
+    return {k: f" {' '.join(v)} " for k, v in sorted(samples.items())}
 
 
 _BUILT: dict[int, dict[str, SuffixAutomaton]] = {}
@@ -116,17 +132,16 @@ def _automata(samples: dict[str, str]) -> dict[str, SuffixAutomaton]:
     return _BUILT[key]
 
 
-def classify(words: list[str], counts) -> tuple[int, float]:
-    """Index of the language with the fewest phrases per character (the first of equals), and how clear that is.
+def classify(packed: int, languages: int) -> tuple[int, float]:
+    """Index of the language with the fewest phrases (the first of equals), and how clear that is.
 
-    The score is the posterior of the winner when a language that needs p phrases codes the text in
-    p log2(sample length) bits, tempered to the evidence of one line: 0.5 is a tie of two.
+    The score is the winner's share when each language weighs exp(-SHARPNESS x phrases per character): 1/2 is
+    a tie of two.
     """
-    totals = [sum(x) for x in zip(*map(counts, words))]
-    size = sum(map(len, words))
-    best = min(range(len(totals)), key=totals.__getitem__)
-    rates = [t / size for t in totals]
-    return best, 1.0 / sum(math.exp(-min(700.0, 40.0 * (r - rates[best]))) for r in rates)
+    size = packed & _MASK
+    totals = [(packed >> (_DIGIT * i)) & _MASK for i in range(1, languages + 1)]
+    best = min(range(languages), key=totals.__getitem__)
+    return best, 1.0 / sum(math.exp(-min(700.0, SHARPNESS * (t - totals[best]) / size)) for t in totals)
 
 
 def labelled(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -148,14 +163,13 @@ def _mapped(docs: DataFrame, keep: list[str], samples: dict[str, str]) -> DataFr
     names = sorted(samples)
 
     def make():
-        parsers = [a.phrases for a in (_automata(samples)[n] for n in names)]
-        counts = Memo(lambda w: tuple(p(w) for p in parsers)).__getitem__
+        counts = Memo(packer([_automata(samples)[n].phrases for n in names])).__getitem__
 
         def of(batch):
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
                 found = letters(text) if text and names else []
-                best, score = classify(found, counts) if found else (-1, 0.0)
+                best, score = classify(sum(map(counts, found)), len(names)) if found else (-1, 0.0)
                 langs.append(names[best] if found else UND)
                 scores.append(score)
             return {c: batch.column(c) for c in keep} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
