@@ -7,6 +7,8 @@ as a licence. A rule uses up the sentences it takes, so that longer rules come f
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,16 @@ RULES = [
     ("Unlicense", "unlicense_free"),
 ]
 # Words of which every known sentence has one; other sentences are not looked at further.
-GATE = "licen[sc]e|copyright|warrant|permission|redistribut|rights reserved|free software|unencumbered|advertising materials|neither the name|hope that it|cc0|commons"
+GATE_WORDS = (
+    "license", "licence", "copyright", "warrant", "permission", "redistribut", "rights reserved", "free software", "unencumbered",
+    "advertising materials", "neither the name", "hope that it", "cc0", "creative commons", "under cc by", "under a cc by", "under the cc by",
+)
+GATE = "|".join(GATE_WORDS)
+# The same for a whole text before it is cut: plain search is much cheaper than a pattern.
+TEXT_WORDS = (
+    "license", "licence", "copyright", "warrant", "permission", "redistribut", "rights", "software", "unencumbered", "advertising", "neither",
+    "hope", "cc0", "creative", "cc by", "cc-by",
+)
 # Ends of sentences: closing punctuation before white space, a blank line, or a line end before a capital.
 ENDS = r"[.!?;]+\s+|\n\s*\n|\n(?=[A-Z])"
 
@@ -89,7 +100,9 @@ def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order; empty for a null text."""
     gated = F.filter(F.transform(F.split(text, ENDS), normal_form), lambda s: s.rlike(GATE))
     known = F.filter(F.transform(gated, _identifier), lambda x: x.isNotNull())
-    return F.when(text.rlike(f"(?i){GATE}"), known).otherwise(F.array().cast("array<string>"))
+    lower = F.lower(text)
+    hit = reduce(lambda x, y: x | y, [F.contains(lower, F.lit(w)) for w in TEXT_WORDS])
+    return F.when(hit, known).otherwise(F.array().cast("array<string>"))
 
 
 def licences(sequence: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from .common import Memo, as_bytes, per_batch, words
 
 MARK = "▁"  # stands for the blank before a word
 UNKNOWN_PENALTY = 10.0
+_LEAST = -math.inf
 _PARTS = re.compile(f"{MARK}[^{MARK}]*")
 
 
@@ -53,6 +55,17 @@ class Counter:
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in self.found for b in range(256))
 
     def __call__(self, word: str) -> int:
+        if not self.single.issuperset(word):
+            return self._with_unknown(word)
+        best, count = [0.0] + [_LEAST] * len(word), [0] * (len(word) + 1)
+        for end, (size, score) in self.found.iter(word):
+            end += 1
+            score += best[end - size]
+            if score > best[end]:
+                best[end], count[end] = score, count[end - size] + 1
+        return count[-1]
+
+    def _with_unknown(self, word: str) -> int:
         n, single, unknown = len(word), self.single, self.unknown
         best: list[float | None] = [None] * (n + 1)
         count = [0] * (n + 1)
@@ -84,6 +97,13 @@ class Counter:
         return count[n]
 
 
+@lru_cache(maxsize=2)
+def _word_counts(path: str) -> Memo:
+    """Counts by word; the automaton is built once a worker."""
+    pieces = Counter(vocabulary(path))
+    return Memo(lambda w: sum(map(pieces, _PARTS.findall(MARK + w.decode()))))
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -94,8 +114,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     place = path or piece_path()
 
     def make():
-        pieces = Counter(vocabulary(place))
-        of_word = Memo(lambda w: sum(map(pieces, _PARTS.findall(MARK + w.decode())))).__getitem__
+        of_word = _word_counts(place).__getitem__
 
         def of(batch):
             split = [words(t) for t in batch.column("text").to_pylist()]
