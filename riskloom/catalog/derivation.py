@@ -159,6 +159,19 @@ def lagged_values_of_hot_entity(spark, folder):
     return rounded(W.with_frames(e, ["grp"], "event_id", make, 6, rows_per_block=400).drop("value"))
 
 
+@query("lags_deeper_than_blocks", ["F12", "F22"], f"""SELECT event_id, {r('lag(value, 12) OVER (ORDER BY ts, event_id)')} AS value_lag_12,
+{r('avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)')} AS value_before_30 FROM events""")
+def lags_deeper_than_blocks(spark, folder):
+    """Frames that look back over several blocks of one entity; rows of one time come in id order."""
+    e = table(spark, folder, "events").select("event_id", "ts", "value", F.lit("all").alias("grp"))
+
+    def make(w):
+        return {"value_lag_12": F.lag("value", 12).over(w), "value_before_30": F.avg("value").over(w.rowsBetween(-30, -1))}
+
+    out = W.with_frames(e, ["grp"], "ts", make, 30, rows_per_block=11, tiebreak="event_id")
+    return rounded(out.select("event_id", "value_lag_12", "value_before_30"))
+
+
 @query("trend_and_momentum", ["F13"], f"""WITH {SUPPLIER_MONTHS}, m AS (SELECT *, year(period) * 12 + month(period) AS idx FROM months)
 SELECT supplier, period, units, {', '.join(f"CAST(sign(units - avg(units) OVER {_over(k, '1 PRECEDING')}) AS INTEGER) AS units_trend_{k}" for k in (3, 6))},
 {r(f"regr_slope(units, idx) OVER {_over(5, 'CURRENT ROW')}", 4)} AS units_momentum FROM m""")
@@ -226,6 +239,23 @@ _CARD = f"""{_PERCUST}, z AS (SELECT customer, -((300 + n * 20) - 600) / CAST(50
 FROM (SELECT *, avg_price / max_price AS u, CASE WHEN a > 0 THEN avg_price END AS inc FROM per))"""
 
 
+# The published weights of the default scorecard.
+DEFAULT_CARD = [
+    X.ScorecardLine("score", fill=680, weight=-1 / 50, offset=600),
+    X.ScorecardLine("util", fill=0.3, weight=2, limit=0.8, jump=1.5),
+    X.ScorecardLine("dti", fill=0.3, weight=0.8),
+    X.ScorecardLine("a", fill=0, weight=0.6),
+    X.ScorecardLine("c", fill=0, weight=1.2),
+    X.ScorecardLine("payment", fill=80, weight=-1 / 25, offset=50),
+    X.ScorecardLine("income", fill=50_000, weight=-1 / 5, log=True),
+    X.ScorecardLine("n", fill=24, weight=-1 / 4, log=True),
+]
+# The published calendar of the shop tables.
+SHOP_CALENDAR = X.CalendarRules(
+    holiday_months=(10, 11), holiday_days=(25,), new_year_days=3, festival_months=(4, 10), term=(6, 11), payday_weeks=(0, 1),
+    seasons={"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11)})
+
+
 @query("scorecard_target", ["F19"], f"""WITH {_CARD}, p AS (SELECT customer, log_odds, 1 / (1 + exp(-log_odds)) AS probability FROM z),
 {quantile_cte('cut', 'p', 'probability', 17, 20)}
 SELECT customer, {r('log_odds')} AS log_odds, {r('probability')} AS probability, CASE WHEN probability > q THEN 1 ELSE 0 END AS flag FROM p, cut""")
@@ -235,8 +265,7 @@ def scorecard_target(spark, folder):
     c = per_customer(spark, folder).withColumns({
         "score": F.lit(300) + F.col("n") * 20, "util": F.col("avg_price") / F.col("max_price"), "dti": F.col("n") / 20,
         "payment": F.lit(100) - F.col("b"), "income": F.when(F.col("a") > 0, F.col("avg_price"))})
-    names = {"score": "score", "util": "util", "dti": "dti", "dpd30": "a", "dpd90": "c", "payment": "payment", "income": "income", "tenure": "n"}
-    scored = c.select("customer", X.scorecard_log_odds(names).alias("log_odds"))
+    scored = c.select("customer", X.scorecard(DEFAULT_CARD).alias("log_odds"))
     scored = scored.withColumn("probability", X.sigmoid("log_odds"))
     return rounded(top_quantile_flag(scored, "probability", 0.15))
 
@@ -248,7 +277,7 @@ CASE WHEN weekofyear(d) % 4 IN (0, 1) THEN 1 ELSE 0 END AS payday_week, CASE WHE
 CASE WHEN month(d) BETWEEN 6 AND 11 THEN 1 ELSE 0 END AS school_term, CAST(date_diff('day', DATE '1995-01-01', d) AS INTEGER) AS days_since_start
 FROM (SELECT o_orderkey, d, month(d) IN (10, 11) OR (month(d) = 1 AND day(d) <= 3) OR day(d) = 25 AS hol FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders))""")
 def calendar_parts(spark, folder):
-    return _orders(spark, folder).select("o_orderkey", *[c.alias(n) for n, c in X.calendar_parts("o_orderdate", "1995-01-01").items()])
+    return _orders(spark, folder).select("o_orderkey", *[c.alias(n) for n, c in X.calendar_parts("o_orderdate", "1995-01-01", SHOP_CALENDAR).items()])
 
 
 _SPINE = f"""{SUPPLIER_MONTHS}, spine AS (SELECT s_suppkey AS supplier, s_nationkey, CAST(unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH)) AS DATE) AS period FROM supplier),

@@ -166,6 +166,21 @@ def monitor_reset(spark, folder):
     return rounded(monitor.history().groupBy("baseline_version").agg(F.count(F.lit(1)).alias("n_checks"), F.max("psi").alias("psi")))
 
 
+@query("monitor_reopened", ["I9", "I10", "I18"], f"""WITH parts AS (SELECT value, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 WHEN ts < TIMESTAMP '2024-01-24' THEN 2 ELSE 3 END AS part
+FROM events WHERE ts >= TIMESTAMP '2024-01-08'), base AS (SELECT value FROM parts WHERE part = 1), last AS (SELECT value FROM parts WHERE part = 3),
+{edge_ctes('q', 'base', ['value'])}, {psi_ctes('d', 'base', 'last', ['value'], 'q_inner')}
+SELECT CAST(2 AS INTEGER) AS baseline_version, {big('1')} AS n_checks, {r('sum(part)')} AS psi, false AS is_drifting FROM d_bins""")
+def monitor_reopened(spark, folder):
+    """A monitor opened on the path of another goes on with its newest baseline and that baseline's checks."""
+    monitor = _checked(spark, folder)
+    (_, first), _, (end, last) = _thirds(spark, folder)
+    monitor.reset_baseline(I.fit_baseline(first))
+    monitor.check(last, end)
+    again = I.DriftMonitor(spark, path=monitor.root)
+    rows = again.history().groupBy("baseline_version").agg(F.count(F.lit(1)).alias("n_checks"), F.max("psi").alias("psi"))
+    return rounded(rows.withColumn("is_drifting", F.lit(again.is_drifting())))
+
+
 # -- many features ----------------------------------------------------------------
 
 @query("psi_matrix", ["I11"], f"{_PSI} SELECT {_PSI_OUT} FROM psi")

@@ -1,7 +1,8 @@
 """Queries on models and explanations.
 
-MLlib fits have no SQL twin; where a run has an exact side, such as which fold held a row
-out, that side is compared. Ensembles are kept small, the rows are not.
+Models are fitted with their published presets, 5 folds and the quick search of 20 trials x 3
+folds. Such fits have no SQL twin; where a run has an exact side, such as which fold held a row
+out, that side is compared, and fits whose optimum has a closed form are compared whole.
 """
 
 from __future__ import annotations
@@ -11,19 +12,13 @@ from pyspark.sql import functions as F
 from ..operators import explain as K
 from ..operators import models as J
 from ..operators.target import stratified_folds, stratified_split
-from ..session import fresh_path
+from ..session import fresh_path, settle
 from ..sources.artifacts import load_metadata, load_model, score_table
 from .frames import ACCOUNTS, accounts
 from .registry import query, rounded, table
 from .sql import big, hash_rank, r
 
 FEATURES = ["price", "balance", "segment", "priority", "nation"]
-SMALL = {
-    "RandomForest": {"n_estimators": 20, "max_depth": 5},
-    "GradientBoosting": {"n_estimators": 5, "max_depth": 3},
-    "XGBoost": {"n_estimators": 5, "max_depth": 3},
-    "LightGBM": {"n_estimators": 5, "num_leaves": 7},
-}
 
 
 def _accounts(spark, folder):
@@ -32,7 +27,15 @@ def _accounts(spark, folder):
 
 def _train(spark, folder, models=tuple(J.MODELS)):
     split = stratified_split(_accounts(spark, folder), "y", ["id"])
-    return J.train(split, "y", models=models, params=SMALL, keep=["id"])
+    return J.train(split, "y", models=models, keep=["id"])
+
+
+def _released(run, result):
+    """A result of a run, written out so that the run's persisted table can go."""
+    try:
+        return settle(result(run), "result")
+    finally:
+        run.release()
 
 
 _SPLIT = f"""ranked AS (SELECT id, y, {hash_rank('id', 42, 'y')} AS rk, count(*) OVER (PARTITION BY y) AS n FROM acc),
@@ -42,7 +45,7 @@ splits AS (SELECT *, CASE WHEN rk < (12 * n + 10) // 20 THEN 'train' WHEN rk < (
 
 @query("trained_model_metrics", ["J1", "J2", "J3", "J4", "J5"])
 def trained_model_metrics(spark, folder):
-    return rounded(_train(spark, folder).metrics.drop("confusion"))
+    return _released(_train(spark, folder), lambda run: rounded(run.metrics.drop("confusion")))
 
 
 @query("trained_model_support", ["J5"], f"""WITH {ACCOUNTS}, {_SPLIT}
@@ -50,24 +53,23 @@ SELECT m AS model, split, {big('count(*)')} AS n, {big('sum(y)')} AS n_positive,
 FROM splits, (SELECT unnest(['GradientBoosting', 'LightGBM', 'LogisticRegression', 'RandomForest', 'XGBoost']) AS m) GROUP BY m, split""")
 def trained_model_support(spark, folder):
     """Every model scored every row of every split once, with a probability."""
-    scored = _train(spark, folder).scored
-    return scored.groupBy("model", "split").agg(
+    return _released(_train(spark, folder), lambda run: run.scored.groupBy("model", "split").agg(
         F.countDistinct("id").alias("n"), F.sum(F.col("y").cast("bigint")).alias("n_positive"),
-        F.every(F.col("score").between(0, 1)).alias("all_scored"))
+        F.every(F.col("score").between(0, 1)).alias("all_scored")))
 
 
 @query("trained_leaderboard", ["J5"])
 def trained_leaderboard(spark, folder):
-    return rounded(_train(spark, folder, ("LogisticRegression", "RandomForest")).leaderboard())
+    return _released(_train(spark, folder, ("LogisticRegression", "RandomForest")), lambda run: rounded(run.leaderboard()))
 
 
 @query("feature_importance", ["J10"])
 def feature_importance(spark, folder):
-    return rounded(_train(spark, folder, ("LogisticRegression", "RandomForest")).importance())
+    return _released(_train(spark, folder, ("LogisticRegression", "RandomForest")), lambda run: rounded(run.importance()))
 
 
-def _folded(spark, folder):
-    acc = stratified_folds(_accounts(spark, folder), "y", ["id"], 3)
+def _folded(spark, folder, k=5):
+    acc = stratified_folds(_accounts(spark, folder), "y", ["id"], k)
     return J.assemble(acc, "y", acc, ["id", "fold"])[1]
 
 
@@ -75,21 +77,28 @@ def _folded(spark, folder):
 def cross_validation(spark, folder):
     from ..plans.rows import local_table
 
-    scores = J.cross_validate(_folded(spark, folder), "y", "LogisticRegression", {"max_iter": 50}, k=3)
+    held = _folded(spark, folder)
+    scores = J.cross_validate(held, "y", "LogisticRegression", k=5)
+    held.unpersist()
     return rounded(local_table(spark, enumerate(scores), "fold int, roc_auc double"))
 
 
 @query("out_of_fold_scores", ["J8"], f"""WITH {ACCOUNTS}, ranked AS (SELECT id, y, {hash_rank('id', 42, 'y')} AS rk, count(*) OVER (PARTITION BY y) AS n FROM acc)
-SELECT id, CAST(y AS INTEGER) AS y, CAST(CASE WHEN rk < n // 3 THEN 0 WHEN rk < n * 2 // 3 THEN 1 ELSE 2 END AS INTEGER) AS fold, true AS scored FROM ranked""")
+SELECT id, CAST(y AS INTEGER) AS y, CAST(CASE WHEN rk < n // 5 THEN 0 WHEN rk < n * 2 // 5 THEN 1 WHEN rk < n * 3 // 5 THEN 2 WHEN rk < n * 4 // 5 THEN 3 ELSE 4 END AS INTEGER) AS fold, true AS scored FROM ranked""")
 def out_of_fold_scores(spark, folder):
     """Each row once, scored by the model that did not see its fold."""
-    oof = J.out_of_fold(_folded(spark, folder), "y", "LogisticRegression", {"max_iter": 50}, k=3, keep=["id"])
-    return oof.select("id", "y", "fold", F.col("score").between(0, 1).alias("scored"))
+    held = _folded(spark, folder)
+    oof = J.out_of_fold(held, "y", "LogisticRegression", J.MODELS["LogisticRegression"].defaults, k=5, keep=["id"])
+    out = settle(oof.select("id", "y", "fold", F.col("score").between(0, 1).alias("scored")), "result")
+    held.unpersist()
+    return out
 
 
 @query("hyperparameter_search", ["J9"])
 def hyperparameter_search(spark, folder):
-    found = J.quick_tune(_folded(spark, folder), "y", "LogisticRegression", n_trials=3, k=3, fixed={"max_iter": 30})
+    held = _folded(spark, folder, 3)
+    found = J.quick_tune(held, "y", "LogisticRegression")
+    held.unpersist()
     return rounded(found.table(spark))
 
 
@@ -97,12 +106,11 @@ def hyperparameter_search(spark, folder):
 def experiment_run(spark, folder):
     acc = _accounts(spark, folder)
     split = stratified_split(acc, "y", ["id"])
-    config = J.RunConfig(models=("LogisticRegression", "RandomForest"), k=3, tuning=False,
-                         params={**SMALL, "LogisticRegression": {"max_iter": 30}}, artifact_dir=fresh_path(spark, "experiments"))
+    config = J.RunConfig(models=("LogisticRegression", "RandomForest"), tuning=False, artifact_dir=fresh_path(spark, "experiments"))
     run = J.run_experiment(split.filter(F.col("split") == "train").drop("split"), "y", ["id"], config,
                            split.filter(F.col("split") == "test").drop("split"))
     saved = load_metadata(spark, run.path).select("model", F.size("cv_scores").alias("n_folds"), F.size("feature_names").alias("n_features"))
-    return rounded(run.leaderboard.join(saved, "model").drop("training_time_s", "model_id"))
+    return _released(run, lambda run: rounded(run.leaderboard.join(saved, "model").drop("training_time_s", "model_id")))
 
 
 @query("saved_model_scores", ["A4", "A5"], f"""WITH {ACCOUNTS} SELECT id, true AS same_score FROM acc""")
@@ -115,7 +123,103 @@ def saved_model_scores(spark, folder):
     path = save_experiment(spark, fresh_path(spark, "saved"), "one", run.pipelines, [])
     loaded = score_table(load_model(path, "LogisticRegression"), acc, ["id"])
     held = run.scored.select("id", F.col("score").alias("before"))
-    return loaded.join(held, "id").select("id", (F.abs(F.col("score") - F.col("before")) < 1e-12).alias("same_score"))
+    same = loaded.join(held, "id").select("id", (F.abs(F.col("score") - F.col("before")) < 1e-12).alias("same_score"))
+    return _released(run, lambda _: same)
+
+
+@query("failed_model_row", ["J5"], """SELECT * FROM (VALUES ('LogisticRegression', 'trained', false), ('RandomForest', 'failed', true)) AS t(model, status, has_error)
+WHERE (SELECT count(*) FROM orders) > 0""")
+def failed_model_row(spark, folder):
+    """A model that cannot be trained is a row that says so."""
+    split = stratified_split(_accounts(spark, folder), "y", ["id"])
+    run = J.train(split, "y", models=("LogisticRegression", "RandomForest"), params={"RandomForest": {"max_depth": 31}}, keep=["id"])
+    return _released(run, lambda r: r.status().select("model", "status", F.col("error").isNotNull().alias("has_error")))
+
+
+# -- fits with a closed form ------------------------------------------------------
+# One 0/1 input: its small size is the subject. It makes the fitted scores the class shares of its two levels.
+
+_FLAG = """flag AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS x,
+CASE WHEN o_orderstatus = 'F' OR o_custkey % 2 = 0 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS y FROM orders)"""
+
+
+def _flagged(spark, folder):
+    o = table(spark, folder, "orders")
+    late = (F.col("o_orderstatus") == "F") | ((F.col("o_custkey") % 2 == 0) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("x"), late.cast("int").alias("y"))
+
+
+def _fit_flag(spark, folder, model, params):
+    rows = _flagged(spark, folder).withColumns({"split": F.lit("train"), "level": F.col("x")})
+    run = J.train(rows, "y", models=(model,), params={model: params}, keep=["id", "level"])
+    scores = run.scored.groupBy(F.col("level").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 3).alias("low"), F.round(F.max("score"), 3).alias("high"))
+    return _released(run, lambda _: scores)
+
+
+ONE_TREE = {"n_estimators": 1, "max_features": None, "bootstrap": False}
+_RATES = f"WITH {_FLAG} SELECT CAST(x AS INTEGER) AS x, {big('count(*)')} AS n, round(avg(y), 3) AS low, round(avg(y), 3) AS high FROM flag GROUP BY x"
+
+
+@query("saturated_logistic_scores", ["J1", "J6"], _RATES)
+def saturated_logistic_scores(spark, folder):
+    """Without a penalty, logistic regression on one 0/1 input scores each level with its class share."""
+    return _fit_flag(spark, folder, "LogisticRegression", {"penalty": None})
+
+
+@query("stump_forest_scores", ["J2"], _RATES)
+def stump_forest_scores(spark, folder):
+    """A forest of one tree on one 0/1 input scores each level with its class share, as the levels differ in their larger class."""
+    return _fit_flag(spark, folder, "RandomForest", ONE_TREE)
+
+
+@query("one_boosting_round_scores", ["J3", "J4"], f"""WITH {_FLAG}, leaf AS (SELECT x, count(*) AS n, avg(2 * y - 1) AS m FROM flag GROUP BY x)
+SELECT CAST(x AS INTEGER) AS x, {big('n')} AS n, round(1 / (1 + exp(-2 * m)), 3) AS low, round(1 / (1 + exp(-2 * m)), 3) AS high FROM leaf""")
+def one_boosting_round_scores(spark, folder):
+    """The first tree fits the labels -1 and 1 by their means; a margin m scores 1 / (1 + exp(-2 m))."""
+    return _fit_flag(spark, folder, "GradientBoosting", {"n_estimators": 1})
+
+
+_FOLD_AUC = f"""WITH {_FLAG}, ranked AS (SELECT id, x, y, {hash_rank('id', 42, 'y')} AS rk, count(*) OVER (PARTITION BY y) AS n FROM flag),
+folds AS (SELECT id, x, y, CASE WHEN rk < n // 5 THEN 0 WHEN rk < n * 2 // 5 THEN 1 WHEN rk < n * 3 // 5 THEN 2 WHEN rk < n * 4 // 5 THEN 3 ELSE 4 END AS fold FROM ranked),
+held AS (SELECT f.fold, g.x, avg(g.y) AS score FROM (SELECT DISTINCT fold FROM folds) f JOIN folds g ON g.fold <> f.fold GROUP BY f.fold, g.x),
+oof AS (SELECT o.id, o.y, o.fold, h.score FROM folds o JOIN held h ON h.fold = o.fold AND h.x = o.x),
+counts AS (SELECT fold, score, sum(y) AS p, sum(1 - y) AS q FROM oof GROUP BY fold, score),
+auc AS (SELECT a.fold, sum(CASE WHEN b.score < a.score THEN a.p * b.q WHEN b.score = a.score THEN a.p * b.q / 2.0 ELSE 0 END) / (max(t.p) * max(t.q)) AS roc_auc
+FROM counts a JOIN counts b ON a.fold = b.fold JOIN (SELECT fold, CAST(sum(p) AS DOUBLE) AS p, CAST(sum(q) AS DOUBLE) AS q FROM counts GROUP BY fold) t ON t.fold = a.fold GROUP BY a.fold)"""
+
+
+def _flag_folds(spark, folder):
+    return J.assemble(stratified_folds(_flagged(spark, folder), "y", ["id"], 5), "y", _flagged(spark, folder), ["id", "fold"])[1]
+
+
+@query("stump_out_of_fold_scores", ["J8"], f"{_FOLD_AUC} SELECT id, CAST(fold AS INTEGER) AS fold, {r('score')} AS score FROM oof")
+def stump_out_of_fold_scores(spark, folder):
+    """Each row's score is the class share of its level in the other folds: a leak of its own fold would show."""
+    held = _flag_folds(spark, folder)
+    oof = J.out_of_fold(held, "y", "RandomForest", ONE_TREE, k=5, keep=["id"])
+    out = settle(rounded(oof.select("id", "fold", "score")), "result")
+    held.unpersist()
+    return out
+
+
+@query("stump_fold_auc", ["J7", "J9"], f"{_FOLD_AUC} SELECT CAST(fold AS INTEGER) AS fold, {r('roc_auc')} AS roc_auc FROM auc")
+def stump_fold_auc(spark, folder):
+    from ..plans.rows import local_table
+
+    held = _flag_folds(spark, folder)
+    found = J.tune(held, "y", "RandomForest", n_trials=2, k=5, space={"max_depth": {"type": "int", "low": 1, "high": 3}},
+                   fixed=ONE_TREE)
+    held.unpersist()
+    return rounded(local_table(spark, enumerate(found.cv_scores), "fold int, roc_auc double"))
+
+
+@query("flag_importance", ["J10"], f"""WITH {_FLAG}, s AS (SELECT x, avg(y) AS p FROM flag GROUP BY x), sd AS (SELECT stddev_pop(x) AS sd FROM flag)
+SELECT 'x' AS feature, round((SELECT ln(p / (1 - p)) FROM s WHERE x = 1) * sd - (SELECT ln(p / (1 - p)) FROM s WHERE x = 0) * sd, 2) AS importance FROM sd""")
+def flag_importance(spark, folder):
+    """The coefficient of a standardised 0/1 input is the log odds ratio of its levels times its deviation."""
+    run = J.train(_flagged(spark, folder).withColumn("split", F.lit("train")), "y", models=("LogisticRegression",),
+                  params={"LogisticRegression": {"penalty": None}}, keep=["id"])
+    return _released(run, lambda r: r.importance().select("feature", F.round("importance", 2).alias("importance")))
 
 
 # -- explanations -----------------------------------------------------------------
@@ -181,7 +285,7 @@ SELECT p_partkey, {r('prediction')} AS prediction, {r('base_value')} AS base_val
 def model_agnostic_contributions(spark, folder):
     p = table(spark, folder, "part")
     cols = ["p_size", "p_retailprice"]
-    e = K.agnostic(p, ["p_partkey"], cols, _nonlinear, K.background(p, cols, ["p_partkey"]))
+    e = K.agnostic(p, ["p_partkey"], cols, _nonlinear, K.background(p, cols, ["p_partkey"]), method=K.EXACT)
     return rounded(e.select("p_partkey", "prediction", "base_value", F.col("contributions")[0]["contribution"].alias("size_part"),
                             F.col("contributions")[1]["contribution"].alias("price_part")))
 

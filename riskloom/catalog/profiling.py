@@ -75,8 +75,8 @@ def column_profile(spark, folder):
 @query("quality_issues", ["B2"], f"""WITH {PATCHY}, facts AS ({_profile_sql(PATCHY_TYPES, 'patchy')})
 SELECT "column", CASE WHEN null_count > 0.3 * row_count THEN 'high_nulls' ELSE 'constant_column' END AS issue_type,
   CASE WHEN null_count > 0.3 * row_count THEN 'high' ELSE 'medium' END AS severity,
-  CASE WHEN null_count > 0.3 * row_count THEN printf('%.1f%% missing values.', null_count * 100.0 / row_count)
-    ELSE 'Column has only one unique value.' END AS description
+  CASE WHEN null_count > 0.3 * row_count THEN printf('null in %.1f%% of rows', null_count * 100.0 / row_count)
+    ELSE 'one distinct value' END AS description
 FROM facts WHERE null_count > 0.3 * row_count OR cardinality = 1""")
 def quality_issues(spark, folder):
     return P.quality_issues(P.profile(patchy(spark, folder), samples=0, exact=False))
@@ -149,11 +149,19 @@ def feature_metadata(spark, folder):
 
 # -- cleaning ---------------------------------------------------------------------
 
+# Columns of dates as text: Spark's pattern, and DuckDB's to write and to read them.
+MESSY_DATES = {
+    "stamped": ("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "%Y-%m-%dT%H:%M:%S.%gZ", "%Y-%m-%dT%H:%M:%S.%gZ"),
+    "named": ("d MMM yyyy", "%-d %b %Y", "%d %b %Y"), "slashed": ("yyyy/MM/dd", "%Y/%m/%d", "%Y/%m/%d"), "monthly": ("yyyy-MM", "%Y-%m", "%Y-%m"),
+}
+
+
 def messy(spark, folder):
     """Orders with one column for each cleaning rule, and some for none."""
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_custkey"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").cast("date").cast("string").alias("placed_on"),
+        *[F.date_format("o_orderdate", f).alias(c) for c, (f, _, _) in MESSY_DATES.items()],
         F.concat(F.lit("ref "), F.col("o_orderkey").cast("string")).alias("reference"),
         F.col("o_totalprice").alias("price"), F.lit(7).alias("fixed"),
         F.when(F.col("o_custkey") % 3 == 0, "only").alias("fixed_or_null"),
@@ -161,12 +169,13 @@ def messy(spark, folder):
         F.col("o_orderpriority").alias("priority"), (F.col("o_custkey") % 7).alias("seasonal_index"))
 
 
-MESSY = """
+MESSY = f"""
 messy AS (SELECT o_orderkey AS row_id, o_custkey, o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS placed_on,
+  {", ".join(f"strftime(o_orderdate, '{w}') AS {c}" for c, (_, w, _) in MESSY_DATES.items())},
   concat('ref ', CAST(o_orderkey AS VARCHAR)) AS reference, o_totalprice AS price, 7 AS fixed,
   CASE WHEN o_custkey % 3 = 0 THEN 'only' END AS fixed_or_null, CAST(1e9 AS DOUBLE) + o_totalprice / 1e9 AS steady,
   o_orderpriority AS priority, o_custkey % 7 AS seasonal_index FROM orders)"""
-MESSY_COLS = {"row_id": 0, "o_custkey": 0, "status": 1, "placed_on": 1, "reference": 1, "price": 0, "fixed": 0,
+MESSY_COLS = {"row_id": 0, "o_custkey": 0, "status": 1, "placed_on": 1, **{c: 1 for c in MESSY_DATES}, "reference": 1, "price": 0, "fixed": 0,
               "fixed_or_null": 1, "steady": 0, "priority": 1, "seasonal_index": 0}
 
 
@@ -174,8 +183,8 @@ def _checks_sql():
     endings = "|".join(f"{e}$" for e in P.ID_ENDINGS) + "|^id$|^key$|^uuid$|^code$"
     rows = []
     for i, (c, text) in enumerate(MESSY_COLS.items()):
-        date = (f"(SELECT avg(CASE WHEN try_strptime(v, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM "
-                f"(SELECT {c} AS v FROM messy WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 20)) > 0.8") if text else "false"
+        formats = ", ".join(f"'{f}'" for f in ["%Y-%m-%d", *[x for _, _, x in MESSY_DATES.values()]])
+        date = f"coalesce(avg(CASE WHEN {c} IS NOT NULL THEN (try_strptime({c}, [{formats}]) IS NOT NULL)::INTEGER END) > 0.8, false)" if text else "false"
         spread = f"stddev_samp({c}) / (abs(avg({c})) + 1e-9) < 1e-5" if not text else "false"
         unique = f"count(DISTINCT {c}) > 0.2 * count(*)" if text else "false"
         rows.append(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END <= 1 AS is_constant,

@@ -38,6 +38,15 @@ def _metrics(spark, folder):
     return H.evaluate(scored(spark, folder), "label", "score", "pred", BY)
 
 
+@query("unscored_rows", ["H12"], f"""WITH {SCORED} SELECT model, split, {big('count(*)')} AS n, {big('count(*) FILTER (id % 10 = 0)')} AS n_unscored,
+{big('count(*) FILTER (id % 7 = 0)')} AS n_bad_labels FROM scored GROUP BY model, split""")
+def unscored_rows(spark, folder):
+    """What no metric can use; the metrics themselves fail on such rows."""
+    holes = scored(spark, folder).withColumn("score", F.when(F.col("id") % 10 != 0, F.col("score"))).withColumn(
+        "label", F.when(F.col("id") % 7 == 0, F.lit(2)).otherwise(F.col("label")))
+    return H.unscored(holes, "label", "score", BY)
+
+
 @query("confusion_matrix", ["H1"], f"WITH {SCORED}, {_COUNTS} SELECT model, split, {', '.join(f'{big(c)} AS {c}' for c in ('tn', 'fp', 'fn', 'tp'))} FROM cm")
 def confusion_matrix(spark, folder):
     return H.confusion(scored(spark, folder), "label", "pred", BY)

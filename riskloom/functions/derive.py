@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,51 +143,62 @@ def amount_if_any(count, amount, none=0) -> Column:
     return F.when(_c(count) > 0, _c(amount)).otherwise(F.lit(none))
 
 
-def scorecard_log_odds(cols: Mapping[str, str]) -> Column:
-    """Rule-based default log-odds from whichever of the known inputs are mapped.
+@dataclass(frozen=True)
+class ScorecardLine:
+    """One line of a scorecard: weight x transform(filled column - offset), plus a jump above a limit."""
 
-    Keys: score, util, dti, dpd30, dpd90, payment, income, tenure.
-    """
-    def get(key, fill):
-        return F.coalesce(F.col(cols[key]).cast("double"), F.lit(float(fill)))
+    column: str
+    fill: float
+    weight: float
+    offset: float = 0.0
+    log: bool = False
+    limit: float | None = None
+    jump: float = 0.0
+
+    def points(self) -> Column:
+        x = F.coalesce(F.col(self.column).cast("double"), F.lit(float(self.fill)))
+        y = F.log1p(x) if self.log else x - self.offset
+        out = y * self.weight
+        return out if self.limit is None else out + F.when(x > self.limit, self.jump).otherwise(0.0)
 
-    terms = {
-        "score": lambda: -(get("score", 680) - 600) / 50,
-        "util": lambda: get("util", 0.3) * 2 + F.when(get("util", 0.3) > 0.8, 1.5).otherwise(0.0),
-        "dti": lambda: get("dti", 0.3) * 0.8,
-        "dpd30": lambda: get("dpd30", 0) * 0.6,
-        "dpd90": lambda: get("dpd90", 0) * 1.2,
-        "payment": lambda: -(get("payment", 80) - 50) / 25,
-        "income": lambda: -F.log1p(get("income", 50_000)) / 5,
-        "tenure": lambda: -F.log1p(get("tenure", 24)) / 4,
-    }
-    return total(F.lit(0.0), *[make() for key, make in terms.items() if key in cols])
+
+def scorecard(lines: Sequence[ScorecardLine]) -> Column:
+    """Log-odds of a scorecard: the sum of its lines."""
+    return total(F.lit(0.0), *[line.points() for line in lines])
 
 
 # -- calendar ---------------------------------------------------------------------
 
-def calendar_parts(day, start: str) -> dict[str, Column]:
-    """Parts of a date; ``start`` is the ISO date from which days are counted."""
+@dataclass(frozen=True)
+class CalendarRules:
+    """Which days count as what. Months are 1 to 12; seasons name the months they hold."""
+
+    holiday_months: tuple[int, ...] = ()
+    holiday_days: tuple[int, ...] = ()
+    new_year_days: int = 0
+    festival_months: tuple[int, ...] = ()
+    term: tuple[int, int] = (1, 12)
+    payday_cycle: int = 4
+    payday_weeks: tuple[int, ...] = ()
+    seasons: Mapping[str, tuple[int, ...]] = field(default_factory=dict)
+
+
+def calendar_parts(day, start: str, rules: CalendarRules) -> dict[str, Column]:
+    """Parts of a date under the given rules; ``start`` is the ISO date from which days are counted."""
     d = _c(day).cast("date")
-    month, dom, week = F.month(d), F.dayofmonth(d), F.weekofyear(d)
-    dow = F.weekday(d)
-    holiday = month.isin(10, 11) | ((month == 1) & (dom <= 3)) | (dom == 25)
-    season = (
-        F.when(month.isin(12, 1, 2), "winter").when(month.isin(3, 4, 5), "spring")
-        .when(month.isin(6, 7, 8), "summer").otherwise("autumn")
-    )
+    named = {"day_of_week": F.weekday(d), "month": F.month(d), "quarter": F.quarter(d), "week_of_year": F.weekofyear(d)}
+    free = named["month"].isin(*rules.holiday_months) | F.dayofmonth(d).isin(*rules.holiday_days) | (F.dayofyear(d) <= rules.new_year_days)
+    flags = {
+        "is_weekend": named["day_of_week"].isin(5, 6),
+        "is_holiday": free,
+        "payday_week": (named["week_of_year"] % rules.payday_cycle).isin(*rules.payday_weeks),
+        "festival_period": free | named["month"].isin(*rules.festival_months),
+        "school_term": named["month"].between(*rules.term),
+    }
+    season_of = F.create_map(*[F.lit(x) for season, months in rules.seasons.items() for m in months for x in (m, season)])
     return {
-        "day_of_week": dow,
-        "month": month,
-        "quarter": F.quarter(d),
-        "week_of_year": week,
-        "is_weekend": (dow >= 5).cast("int"),
-        "is_holiday": holiday.cast("int"),
-        "season": season,
-        "payday_week": (week % 4).isin(0, 1).cast("int"),
-        "festival_period": (holiday | month.isin(4, 10)).cast("int"),
-        "school_term": month.between(6, 11).cast("int"),
-        "days_since_start": F.datediff(d, F.lit(start).cast("date")),
+        **named, **{k: v.cast("int") for k, v in flags.items()},
+        "season": F.try_element_at(season_of, named["month"]), "days_since_start": F.datediff(d, F.lit(start).cast("date")),
     }
 
 

@@ -287,20 +287,44 @@ def psi_categorical(expected: DataFrame, actual: DataFrame, column: str) -> Data
 class DriftMonitor:
     """A frozen baseline with a history table of checks.
 
-    The history lives in a parquet folder, so it outlives the session and any number of
-    jobs can append; each baseline has a version, and a reset starts a new one.
+    History and baselines live in parquet folders below ``path``, so they outlive the session and
+    any number of jobs can append. Each baseline has a version and a reset starts a new one; a
+    monitor opened on the path goes on with the newest. Outside tests name a shared path.
     """
 
+    STATE = f"version int, {BASELINE_SCHEMA}"
+
     HISTORY = "baseline_version int, checked_at timestamp, feature string, psi double, status string"
 
-    def __init__(self, spark: SparkSession, baseline: Baseline, path: str | None = None,
-                 alert_threshold: float = ALERT, warning_threshold: float = WARNING, version: int = 1):
+    def __init__(self, spark: SparkSession, baseline: Baseline | None = None, path: str | None = None,
+                 alert_threshold: float = ALERT, warning_threshold: float = WARNING):
         self.spark = spark
-        self.path = path or fresh_path(spark, "drift-history")
+        self.root = path or fresh_path(spark, "drift-monitor")
+        self.path = f"{self.root}/history"
         self.alert_threshold = alert_threshold
         self.warning_threshold = warning_threshold
-        self.version = version
-        self.baseline = baseline
+        self.version, self.baseline = self._newest()
+        if self.version == 0:
+            if baseline is None:
+                raise ValueError(f"no baseline is stored at {self.root}")
+            self.reset_baseline(baseline)
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        """The table, without rows while its folder is not there."""
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return local_table(self.spark, [], schema)
+
+    def _newest(self) -> tuple[int, Baseline | None]:
+        rows = self._read(f"{self.root}/baselines", self.STATE)
+        top = rows.agg(F.max("version")).first()[0]
+        if top is None:
+            return 0, None
+        found = rows.filter(F.col("version") == top).collect()  # one row per feature
+        return top, Baseline(*({r["feature"]: x for r in found if (x := (list(r[k]) if k != "rows" else r[k])) is not None} for k in ("inner", "expected", "rows")))
 
     def check(self, current: DataFrame, at: str | None = None) -> DataFrame:
         """Score the data, append to the history, and return this check's rows."""
@@ -313,11 +337,7 @@ class DriftMonitor:
 
     def history(self) -> DataFrame:
         """All checks against the current baseline; none yet gives no rows."""
-        try:
-            table = self.spark.read.schema(self.HISTORY).parquet(self.path)
-        except AnalysisException:  # the folder appears with the first check
-            return local_table(self.spark, [], self.HISTORY)
-        return table.filter(F.col("baseline_version") == self.version)
+        return self._read(self.path, self.HISTORY).filter(F.col("baseline_version") == self.version)
 
     def trend(self, feature: str | None = None) -> DataFrame:
         rows = self.history()
@@ -340,5 +360,7 @@ class DriftMonitor:
         return top is not None and top >= self.alert_threshold
 
     def reset_baseline(self, baseline: Baseline) -> None:
-        self.baseline = baseline
-        self.version += 1
+        """Store a baseline under the next version; earlier checks no longer count."""
+        self.version, self.baseline = self._newest()[0] + 1, baseline
+        rows = baseline.table(self.spark).select(F.lit(self.version).alias("version"), "*")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/baselines")

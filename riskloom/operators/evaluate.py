@@ -27,7 +27,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """tn, fp, fn, tp per group, in one pass."""
+    """tn, fp, fn, tp per group, in one pass; a null prediction counts as an error of its caller and fails."""
+    df = checked(df, label, pred)
     y, p = F.col(label) == 1, F.col(pred) == 1
     return df.groupBy(*by).agg(
         F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
@@ -49,8 +50,27 @@ def threshold_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] =
     return confusion(df, label, pred, by).withColumns(threshold_columns()).select(*by, *threshold_columns())
 
 
+def checked(df: DataFrame, label: str, score: str | None = None) -> DataFrame:
+    """The same rows; reading one whose score is null or NaN, or whose label is not 0 or 1, is an error."""
+    bad = ~F.coalesce(F.col(label).cast("double").isin(0.0, 1.0), F.lit(False))
+    out = {label: F.when(bad, F.raise_error(F.lit(f"labels in {label!r} must be 0 or 1")).cast(df.schema[label].dataType)).otherwise(F.col(label))}
+    if score is not None:
+        lost = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+        out[score] = F.when(lost, F.raise_error(F.lit(f"scores in {score!r} must not be null; see unscored()")).cast(df.schema[score].dataType)).otherwise(F.col(score))
+    return df.withColumns(out)
+
+
+def unscored(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per group, and how many of them no metric can use: null or NaN scores, labels other than 0 and 1."""
+    lost = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("n_unscored"),
+        F.count_if(~F.coalesce(F.col(label).cast("double").isin(0.0, 1.0), F.lit(False))).alias("n_bad_labels"))
+
+
 def _score_groups(df, label, score, by, pred=None, rows_per_bucket=ROWS_PER_BUCKET):
     """Distinct scores per group with class counts, and the order they are read in."""
+    df = checked(df, label, score)
     y = F.col(label) == 1
     totals = {"__p": F.count_if(y), "__q": F.count_if(F.col(label) == 0)}
     order = plan_order(df, by, score, totals, rows_per_bucket=rows_per_bucket)
@@ -176,6 +196,7 @@ def lift(
     The last bin takes the remainder. A bin without rows has null lift.
     """
     by = list(by)
+    df = checked(df, label, score)
     order = plan_order(df, by, score, {"__p": F.count_if(F.col(label) == 1)}, tiebreak=id, rows_per_bucket=rows_per_bucket)
     ranked = order.with_totals(row_numbers(df.select(*by, score, id, label), order, "__rn", descending=True))
     size = F.expr(f"__n div {n_bins}")
@@ -210,6 +231,7 @@ def gains(
     """Share of positives in the best-scored part of the rows, at evenly spaced parts."""
     by = list(by)
     d = n_points - 1
+    df = checked(df, label, score)
     order = plan_order(df, by, score, {"__p": F.count_if(F.col(label) == 1)}, tiebreak=id, rows_per_bucket=rows_per_bucket)
     ranked = order.with_totals(row_numbers(df.select(*by, score, id, label), order, "__rn", descending=True))
     # the first point whose cut-off floor(j * n / d) reaches this row

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.hashcuts import row_hash
 
 BACKGROUND_ROWS = 100
-EXACT_FEATURES = 10
+PERMUTATION, EXACT = "permutation", "exact"
 
 
 def background(df: DataFrame, features: Sequence[str], keys: Sequence[str], n: int = BACKGROUND_ROWS, seed: int = 42) -> list[list[float]]:
@@ -50,14 +50,16 @@ def linear(df: DataFrame, id: Sequence[str], coefficients: Mapping[str, float],
         _cells(features, [F.col(f) for f in features], parts).alias("contributions"))
 
 
-def coalition_weights(d: int, n_permutations: int, seed: int) -> dict[tuple[bool, ...], list[float]]:
+def coalition_weights(d: int, n_permutations: int, seed: int, method: str = PERMUTATION) -> dict[tuple[bool, ...], list[float]]:
     """For each set of features taken from the row, the weight of its score in each contribution.
 
-    All sets with exact Shapley weights for few features; otherwise the sets met along
-    sampled permutations and their reverses, whose weights add up per set.
+    ``permutation``: the sets met along sampled permutations and their reverses, whose weights add
+    up per set; at most ``n_permutations`` (d + 1) sets. ``exact``: all 2^d sets with Shapley weights.
     """
+    if method not in (PERMUTATION, EXACT):
+        raise ValueError(f"unknown method {method!r}")
     out: dict[tuple[bool, ...], list[float]] = {}
-    if d <= EXACT_FEATURES:
+    if method == EXACT:
         for mask in itertools.product((False, True), repeat=d):
             s = sum(mask)
             out[mask] = [
@@ -82,9 +84,12 @@ def coalition_weights(d: int, n_permutations: int, seed: int) -> dict[tuple[bool
 
 def agnostic(
     df: DataFrame, id: Sequence[str], features: Sequence[str], score: Callable[[DataFrame], DataFrame],
-    rows: Sequence[Sequence[float]], n_permutations: int = 16, seed: int = 42,
+    rows: Sequence[Sequence[float]], n_permutations: int = 16, seed: int = 42, method: str = PERMUTATION,
 ) -> DataFrame:
-    """Shapley contributions of any model.
+    """Shapley contributions of any model; the column ``method`` says how they were found.
+
+    A row unfolds into sets x background rows: 16 walks over d features give at most 16 (d + 1) sets,
+    the exact sum 2^d. The number of features never chooses between them.
 
     ``score`` receives rows with the feature columns and adds a ``score`` column, for
     instance through a pipeline's ``transform``. Each row unfolds in place into its
@@ -93,7 +98,7 @@ def agnostic(
     """
     features = list(features)
     d = len(features)
-    weights = coalition_weights(d, n_permutations, seed)
+    weights = coalition_weights(d, n_permutations, seed, method)
     masks = F.array(*[
         F.struct(F.array(*[F.lit(b) for b in m]).alias("take"), F.array(*[F.lit(float(x)) for x in w]).alias("w"),
                  F.lit(not any(m)).alias("none"), F.lit(all(m)).alias("all"))
@@ -114,7 +119,7 @@ def agnostic(
     )
     return summed.select(
         *id, "prediction", "base_value",
-        _cells(features, [F.col(f"__x{i}") for i in range(d)], [F.col(f"__c{i}") for i in range(d)]).alias("contributions"))
+        _cells(features, [F.col(f"__x{i}") for i in range(d)], [F.col(f"__c{i}") for i in range(d)]).alias("contributions"), F.lit(method).alias("method"))
 
 
 def unfold(explained: DataFrame, id: Sequence[str]) -> DataFrame:

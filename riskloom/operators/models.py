@@ -48,6 +48,12 @@ def logistic(p: Mapping, rows: int, label: str, seed: int):
     )
 
 
+def _depth(asked: int) -> int:
+    if asked > MAX_DEPTH:
+        raise ValueError(f"max_depth {asked} is beyond {MAX_DEPTH}")
+    return asked
+
+
 def _leaf(p: Mapping) -> int:
     # a node of fewer than min_samples_split rows is not split: its halves hold at least half of it
     return max(int(p.get("min_samples_leaf", 1)), math.ceil(int(p.get("min_samples_split", 2)) / 2))
@@ -57,8 +63,8 @@ def forest(p: Mapping, rows: int, label: str, seed: int):
     subset = {"sqrt": "sqrt", "log2": "log2", None: "all"}[p.get("max_features", "sqrt")]
     return RandomForestClassifier(
         featuresCol=FEATURES, labelCol=label, numTrees=int(p.get("n_estimators", 200)),
-        maxDepth=min(int(p.get("max_depth", 10)), MAX_DEPTH), minInstancesPerNode=_leaf(p),
-        featureSubsetStrategy=subset, impurity=p.get("criterion", "gini"), seed=seed,
+        maxDepth=_depth(int(p.get("max_depth", 10))), minInstancesPerNode=_leaf(p),
+        featureSubsetStrategy=subset, impurity=p.get("criterion", "gini"), bootstrap=bool(p.get("bootstrap", True)), seed=seed,
     )
 
 
@@ -70,7 +76,7 @@ def boosted(p: Mapping, rows: int, label: str, seed: int):
     columns = float(p.get("colsample_bytree", 1.0))
     return GBTClassifier(
         featuresCol=FEATURES, labelCol=label, maxIter=int(p.get("n_estimators", 100)),
-        stepSize=float(p.get("learning_rate", 0.1)), maxDepth=min(depth, MAX_DEPTH), minInstancesPerNode=int(leaf),
+        stepSize=float(p.get("learning_rate", 0.1)), maxDepth=_depth(depth), minInstancesPerNode=int(leaf),
         subsamplingRate=float(p.get("subsample", 1.0)), featureSubsetStrategy="all" if columns >= 1 else str(columns), seed=seed,
     )
 
@@ -173,6 +179,11 @@ def score_models(assembled: DataFrame, models: Mapping[str, Model], keep: Sequen
     return out.select(*keep, F.explode(F.array(*cells)).alias("e")).select(*keep, "e.*")
 
 
+def _status(spark: SparkSession, fitted: Mapping, failures: Mapping[str, str]) -> DataFrame:
+    rows = [(n, "trained", None) for n in fitted] + [(n, "failed", why) for n, why in failures.items()]
+    return local_table(spark, sorted(rows), "model string, status string, error string")
+
+
 @dataclass
 class Training:
     """Fitted pipelines with metrics per model and split."""
@@ -189,6 +200,10 @@ class Training:
     def leaderboard(self, split: str = "test") -> DataFrame:
         return leaderboard(self.metrics, split)
 
+    def status(self) -> DataFrame:
+        """One row per model asked for: trained or failed, and why."""
+        return _status(self.table.sparkSession, self.classifiers, self.failures)
+
     def importance(self, top: int = 15) -> DataFrame:
         spark = self.table.sparkSession
         rows = [(m, i + 1, f, v) for m, c in self.classifiers.items() for i, (f, v) in enumerate(importance(c, self.names, top))]
@@ -237,8 +252,12 @@ def train(
     if not fitted:
         table.unpersist()
         raise RuntimeError(f"no model could be trained: {failures}")
-    scored = score_models(table, fitted, [*keep, label])
-    metrics = evaluate(scored, label, "score", "pred", ["model", split]).withColumnRenamed(split, "split")
+    try:
+        scored = score_models(table, fitted, [*keep, label])
+        metrics = evaluate(scored, label, "score", "pred", ["model", split]).withColumnRenamed(split, "split")
+    except Exception:
+        table.unpersist()
+        raise
     pipelines = {n: PipelineModel([*prep.stages, m]) for n, m in fitted.items()}
     return Training(pipelines, fitted, feature_names(prep), scored, metrics, failures, seconds, table)
 
@@ -301,8 +320,9 @@ class Search:
     trials: list[tuple[dict, float | None]]
 
     def table(self, spark) -> DataFrame:
-        rows = [(self.model, i, str(sorted(p.items(), key=str)), s) for i, (p, s) in enumerate(self.trials)]
-        return local_table(spark, rows, "model string, trial int, params string, roc_auc double")
+        """One row per trial; a failed one has no score."""
+        rows = [(self.model, i, str(sorted(p.items(), key=str)), s, "failed" if s is None else "scored") for i, (p, s) in enumerate(self.trials)]
+        return local_table(spark, rows, "model string, trial int, params string, roc_auc double, status string")
 
 
 def tune(
@@ -382,6 +402,10 @@ class Run:
     failures: dict[str, str]
     table: DataFrame
 
+    def status(self) -> DataFrame:
+        """One row per model asked for: trained or failed, and why."""
+        return _status(self.table.sparkSession, self.pipelines, self.failures)
+
     def release(self) -> None:
         self.table.unpersist()
 

@@ -24,19 +24,25 @@ _BLOCK, _HALO, _POS = "__block", "__halo", "__rn"
 
 def with_frames(
     df: DataFrame, entity: Sequence[str], order: str, columns: Callable[[WindowSpec], dict[str, Column]], depth: int,
-    rows_per_block: int = ROWS_PER_BUCKET,
+    rows_per_block: int = ROWS_PER_BUCKET, tiebreak: str | None = None,
 ) -> DataFrame:
-    """Add window columns that look back at most ``depth`` rows within each entity."""
+    """Add window columns that look back at most ``depth`` rows within each entity.
+
+    Rows of an entity with equal ``order`` come in the order of ``tiebreak``; without one, such
+    rows have no defined sequence. A frame may look back over any number of blocks.
+    """
     entity = list(entity)
-    plan = plan_order(df, entity, order, rows_per_bucket=rows_per_block)
+    plan = plan_order(df, entity, order, tiebreak=tiebreak, rows_per_bucket=rows_per_block)
     if plan.cuts is None:
-        return df.withColumns(columns(Window.partitionBy(*entity).orderBy(order)))
+        return df.withColumns(columns(Window.partitionBy(*entity).orderBy(order, *([tiebreak] if tiebreak else []))))
     ranked = row_numbers(df, plan, _POS)
     at = F.col(_POS) - 1
     block = F.floor(at / rows_per_block)
     own = F.struct(block.alias(_BLOCK), F.lit(False).alias(_HALO))
-    tail = F.struct((block + 1).alias(_BLOCK), F.lit(True).alias(_HALO))
-    cells = F.when(at % rows_per_block >= rows_per_block - depth, F.array(own, tail)).otherwise(F.array(own))
+    # A row is carried along to every later block whose first row is at most ``depth`` rows on.
+    reach = F.floor((at + depth) / rows_per_block)
+    tails = F.transform(F.sequence(block + 1, F.greatest(reach, block + 1)), lambda b: F.struct(b.alias(_BLOCK), F.lit(True).alias(_HALO)))
+    cells = F.when(reach > block, F.concat(F.array(own), tails)).otherwise(F.array(own))
     spread = ranked.withColumn("__e", F.explode(cells)).withColumns({_BLOCK: F.col(f"__e.{_BLOCK}"), _HALO: F.col(f"__e.{_HALO}")})
     framed = spread.withColumns(columns(Window.partitionBy(*entity, _BLOCK).orderBy(_POS)))
     return framed.filter(~F.col(_HALO)).drop("__e", _BLOCK, _HALO, _POS)

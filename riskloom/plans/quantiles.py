@@ -18,10 +18,7 @@ from pyspark.sql import functions as F
 
 from .rows import chunked, local_table
 
-MAX_DISTINCT = 1_000_000
-# Above DIRECT_ROWS, counting by value pays off only where each task meets few values.
-DIRECT_ROWS = 20_000_000
-FEW_DISTINCT = 10_000
+MAX_DISTINCT = 20_000
 SKETCH_ACCURACY = 10_000
 MAX_PASSES = 6
 
@@ -46,8 +43,6 @@ class _Bracket:
     stuck: bool = False
 
     def done(self, limit: int) -> bool:
-        if self.inside > DIRECT_ROWS:
-            limit = min(limit, FEW_DISTINCT)
         return self.stuck or self.low == self.high or self.distinct * 1.1 <= limit
 
 
@@ -87,32 +82,53 @@ def _first_brackets(df, cols, wanted, known):
     return out, {c: facts[c].rows for c in cols}
 
 
+def _code(x: Column, bounds: list[float], first: int = 0) -> Column:
+    """2 i + 1 at the i-th bound and 2 i between the bounds before it and after it, by binary search."""
+    if not bounds:
+        return F.lit(2 * first)
+    mid = len(bounds) // 2
+    return (
+        F.when(x < bounds[mid], _code(x, bounds[:mid], first)).when(x == bounds[mid], 2 * (first + mid) + 1)
+        .otherwise(_code(x, bounds[mid + 1 :], first + mid + 1)))
+
+
 def _narrow(df, brackets, accuracy):
-    """One round: sketch inside each bracket, then count exactly what the sketch proposes."""
-    for part in chunked(brackets, 30):
-        inside = [F.when(F.col(b.column).between(b.low, b.high), F.col(b.column)) for b in part]
-        asks = []
-        for b in part:
-            rank_lo, rank_hi = b.ranks[0] - b.below, b.ranks[-1] - b.below
-            slack = 2.0 / accuracy
-            asks.append([max(0.0, rank_lo / b.inside - slack), min(1.0, (rank_hi + 1) / b.inside + slack)])
-        row = df.agg(
-            *[F.percentile_approx(x, a, accuracy).alias(f"q{i}") for i, (x, a) in enumerate(zip(inside, asks))]
-        ).first()
-        bounds = []
-        for b, (lo_p, hi_p), q in zip(part, asks, row):
-            bounds.append((b.low if lo_p == 0.0 else q[0], b.high if hi_p == 1.0 else q[1]))
-        aggs = []
-        for i, (b, (lo, hi)) in enumerate(zip(part, bounds)):
-            x = F.col(b.column)
-            aggs += [
-                F.count_if(x < lo).alias(f"b{i}"),
-                F.count_if(x.between(lo, hi)).alias(f"n{i}"),
-                F.approx_count_distinct(F.when(x.between(lo, hi), x)).alias(f"d{i}"),
-            ]
-        row = df.agg(*aggs).first()
-        for i, (b, (lo, hi)) in enumerate(zip(part, bounds)):
-            below, n, d = row[f"b{i}"], row[f"n{i}"], row[f"d{i}"]
+    """One round of two passes: a sketch for each range that brackets share, then one count of all that the sketches propose."""
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.column, b.low, b.high), []).append(b)
+    slack = 2.0 / accuracy
+    proposed: dict[int, tuple[float, float]] = {}
+    for part in chunked(list(shared.items())):
+        asks = [
+            [p for b in group for p in (
+                max(0.0, (b.ranks[0] - b.below) / b.inside - slack), min(1.0, (b.ranks[-1] - b.below + 1) / b.inside + slack))]
+            for _, group in part
+        ]
+        row = df.agg(*[
+            F.percentile_approx(F.when(F.col(c).between(lo, hi), F.col(c)), ask, accuracy).alias(f"q{i}")
+            for i, (((c, lo, hi), _), ask) in enumerate(zip(part, asks))]).first()
+        for (_, group), ask, q in zip(part, asks, row):
+            for j, b in enumerate(group):
+                proposed[id(b)] = (b.low if ask[2 * j] == 0.0 else q[2 * j], b.high if ask[2 * j + 1] == 1.0 else q[2 * j + 1])
+
+    columns = list(dict.fromkeys(b.column for b in brackets))
+    for part in chunked(columns):
+        bounds = {c: sorted({x for b in brackets if b.column == c for x in proposed[id(b)]}) for c in part}
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), _code(F.col(c), bounds[c]).alias("code"), F.col(c).alias("v")) for i, c in enumerate(part)])
+        counted = df.select(F.explode(cells).alias("e")).select("e.*").filter(F.col("v").isNotNull()).groupBy("c", "code").agg(
+            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d"))
+        found = {(part[r["c"]], r["code"]): (r["n"], r["d"]) for r in counted.collect()}  # at most 2 x bounds + 1 a column
+        for b in brackets:
+            if b.column not in bounds:
+                continue
+            lo, hi = proposed[id(b)]
+            at = bounds[b.column]
+            first, last = 2 * at.index(lo) + 1, 2 * at.index(hi) + 1
+            own = {k: v for (c, k), v in found.items() if c == b.column}
+            below = sum(v[0] for k, v in own.items() if k < first)
+            n = sum(v[0] for k, v in own.items() if first <= k <= last)
+            d = sum(v[1] for k, v in own.items() if first <= k <= last)
             if below <= b.ranks[0] and b.ranks[-1] < below + n and (lo, hi) != (b.low, b.high):
                 b.low, b.high, b.below, b.inside, b.distinct = lo, hi, below, n, d
             else:
@@ -143,7 +159,7 @@ def _read_off(df, brackets):
             for i, ((c, lo, hi, _), _r) in part
         ])
         counts = (
-            df.select(F.explode(cells).alias("e")).select("e.range", "e.v").filter(F.col("v").isNotNull())
+            df.select(F.explode(F.filter(cells, lambda e: e["v"].isNotNull())).alias("e")).select("e.range", "e.v")
             .groupBy("range", "v").agg(F.count(F.lit(1)).alias("n"))
         )
         w = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

@@ -131,10 +131,9 @@ def test_linear_explanation_is_additive(trained):
         explain.dependence_data(e, ["id"], "nope", names)
 
 
-@pytest.mark.parametrize("limit", [10, 1])
-def test_agnostic_explanation_of_a_forest(trained, monkeypatch, limit):
-    """Exact sets for few features, sampled permutations beyond the limit: both add up."""
-    monkeypatch.setattr(explain, "EXACT_FEATURES", limit)
+@pytest.mark.parametrize("method", [explain.EXACT, explain.PERMUTATION])
+def test_agnostic_explanation_of_a_forest(trained, method):
+    """Exact sets and sampled permutations: both add up, and say which they are."""
     names = trained.names
     from pyspark.ml.functions import vector_to_array
 
@@ -146,16 +145,17 @@ def test_agnostic_explanation_of_a_forest(trained, monkeypatch, limit):
         return forest.transform(ready).withColumn("score", vector_to_array("probability")[1])
 
     rows = explain.background(wide, names, ["id"], n=5)
-    e = explain.agnostic(wide, ["id"], names, score, rows, n_permutations=4)
+    e = explain.agnostic(wide, ["id"], names, score, rows, n_permutations=4, method=method)
+    assert e.filter(F.col("method") != method).count() == 0
     total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["contribution"])
     assert e.withColumn("gap", F.abs(total - F.col("prediction"))).filter("gap > 1e-9").count() == 0
     assert explain.global_importance(e).first()["feature"] == "num__x"
 
 
 def test_coalition_weights():
-    for d, limit in ((3, True), (12, False)):
-        w = explain.coalition_weights(d, 6, 1)
-        assert (len(w) == 2**d) == limit
+    for d, method in ((3, explain.EXACT), (12, explain.EXACT), (3, explain.PERMUTATION), (12, explain.PERMUTATION)):
+        w = explain.coalition_weights(d, 6, 1, method)
+        assert len(w) == 2**d if method == explain.EXACT else len(w) <= 6 * (d + 1)
         for j in range(d):
             assert sum(v[j] for v in w.values()) == pytest.approx(0)
         assert [sum(v) for m, v in w.items() if all(m)] == pytest.approx([1])

@@ -268,6 +268,42 @@ def test_drift_threshold_zero_is_zero(spark):
     assert drift.drifting_features(scores, 0).count() == 1 and drift.drifting_features(scores).count() == 0
 
 
+def test_monitor_goes_on_after_a_reset(spark, tmp_path):
+    near, far = (spark.range(100).select((F.col("id") + d).alias("a")) for d in (0, 500))
+    path = str(tmp_path / "monitor")
+    monitor = drift.DriftMonitor(spark, drift.fit_baseline(near), path)
+    monitor.check(far, "2024-01-01")
+    assert monitor.is_drifting() and drift.DriftMonitor(spark, path=path).is_drifting()
+    monitor.reset_baseline(drift.fit_baseline(far))
+    monitor.check(far, "2024-01-02")
+    again = drift.DriftMonitor(spark, drift.fit_baseline(near), path)
+    assert again.version == 2 and not again.is_drifting() and again.history().count() == 1
+    with pytest.raises(ValueError, match="no baseline"):
+        drift.DriftMonitor(spark, path=str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("bad", [(3, 1, None), (3, 1, float("nan")), (3, 2, 0.5), (3, None, 0.5)])
+def test_rows_that_no_metric_can_use_are_an_error(spark, bad):
+    good = [(i, i % 2, i / 40) for i in range(10, 40)]
+    df = spark.createDataFrame([*good, bad], "id int, y int, s double")
+    for run in (lambda d: evaluate.evaluate(d, "y", "s"), lambda d: evaluate.roc_curve(d, "y", "s"), lambda d: evaluate.ks_curve(d, "y", "s"),
+                lambda d: evaluate.lift(d, "y", "s", "id"), lambda d: evaluate.gains(d, "y", "s", "id")):
+        with pytest.raises(Exception, match="must (not be null|be 0 or 1)"):
+            run(df).collect()
+        assert run(df.filter("id > 3")).collect()
+    assert sum(evaluate.unscored(df, "y", "s").first()[1:]) == 1
+
+
+def test_dates_by_all_rows_and_many_formats(spark):
+    dated = ["2024-01-05T10:20:30.123Z", "2024-01-05 10:20:30+02:00", "5 Jan 2024", "March 3, 2024", "2024-01", "20240105", "05/01/2024"]
+    for text in dated:
+        assert spark.range(1).select(profile.looks_like_date(F.lit(text))).first()[0], text
+    for text in ("abc", "12", "1.5", "May be", "x" * 99, ""):
+        assert not spark.range(1).select(profile.looks_like_date(F.lit(text))).first()[0], text
+    late = spark.createDataFrame([("2024-01-05" if i < 100 else f"n{i % 9}",) for i in range(300)], "d string")
+    assert profile.date_shares(late).first()["date_share"] == pytest.approx(1 / 3)
+
+
 def test_monitor_without_checks(spark):
     monitor = drift.DriftMonitor(spark, drift.fit_baseline(spark.range(100).select(F.col("id").alias("a"))))
     assert monitor.trend().count() == 0 and monitor.is_drifting() is False
@@ -275,6 +311,12 @@ def test_monitor_without_checks(spark):
 
 # -- ordered features -------------------------------------------------------------
 
+def test_frames_deeper_than_a_block_and_ties(spark):
+    df = spark.createDataFrame([("e", i // 2, i, float(i)) for i in range(40)], "e string, t int, id int, v double").repartition(5)
+    got = timeframe.lags(df, ["e"], "t", "v", (12,), rows_per_block=5, tiebreak="id").orderBy("id").collect()
+    assert [r["v_lag_12"] for r in got] == [None] * 12 + [float(i) for i in range(28)]
+
+
 @pytest.mark.parametrize("block", [7, 1_000])
 def test_frames_across_blocks(spark, block):
     rng = np.random.default_rng(2)
