@@ -49,8 +49,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
-    known = labels.filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
 
 

@@ -282,17 +282,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Model of (doc_id, text, toxic), toxic being 0 or 1; None if a class has no text with a word.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
+    """Model of docs (doc_id, text) and labels (doc_id, toxic), toxic being 0 or 1; None if a class has no text with a word.
 
-    At most ``rows`` texts of each class, chosen by a hash, of at most SAMPLE_CHARS characters.
+    The labels of each class are ordered by a hash of the id; the first 2 x ``rows`` of them are looked up, so that at
+    most 4 x ``rows`` ids are broadcast, and at most ``rows`` texts of up to SAMPLE_CHARS characters are learned from.
     """
-    usable = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").rlike(r"\w") & (F.length("text") <= SAMPLE_CHARS))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "text")
-    picked = usable.select("text", F.col("toxic").cast("int").alias("toxic"), F.row_number().over(order).alias("r")).filter(F.col("r") <= rows)
-    texts = [(tokens(r.text), r.toxic) for r in picked.orderBy("toxic", "r").toLocalIterator()]
-    texts = [t for t in texts if t[0]]
-    return train(texts) if {y for _, y in texts} == {0, 1} else None
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    asked = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * rows)
+    usable = docs.select("doc_id", "text").filter(F.col("text").rlike(r"\w") & (F.length("text") <= SAMPLE_CHARS))
+    found = usable.join(F.broadcast(asked), "doc_id").orderBy("toxic", "r", "text")
+    texts: list[tuple[list[str], int]] = []
+    taken = [0, 0]
+    for row in found.toLocalIterator():
+        words = tokens(row.text)
+        if words and taken[row.toxic] < rows:
+            taken[row.toxic] += 1
+            texts.append((words, row.toxic))
+    return train(texts) if all(taken) else None
 
 
 def scorer(m: Model):
