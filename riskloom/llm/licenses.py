@@ -80,8 +80,8 @@ TEXT_WORDS = (
     "license", "licence", "copyright", "warrant", "permission", "redistribut", "rights", "software", "unencumbered", "advertising", "neither",
     "hope", "cc0", "creative", "cc by", "cc-by",
 )
-# Ends of sentences: closing punctuation before white space, a blank line, or a line end before a capital.
-ENDS = r"[.!?;]+\s+|\n\s*\n|\n(?=[A-Z])"
+# Ends of sentences: closing punctuation before white space, a blank line, or a line end before a capitalised word.
+ENDS = r"[.!?;]+\s+|\n\s*\n|\n(?=[A-Z][a-z])"
 
 
 def normal_form(sentence: Column) -> Column:
@@ -146,7 +146,7 @@ def duckdb_sql() -> str:
                          f"THEN list_append(found, '{name}') ELSE found END AS found FROM {steps})")
         steps = f"s{i}"
     return f"""
-WITH cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\\n([A-Z])', '. \\1', 'g'), '{ends}') AS parts FROM documents),
+WITH cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\\n([A-Z][a-z])', '. \\1', 'g'), '{ends}') AS parts FROM documents),
 normal AS (SELECT doc_id, [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) for x in coalesce(parts, [])] AS parts FROM cut),
 known AS (SELECT doc_id, [CASE {case} END for s in parts if regexp_matches(s, '{GATE}')] AS ids FROM normal),
 kept AS (SELECT doc_id, [x for x in ids if x IS NOT NULL] AS ids FROM known),

@@ -23,7 +23,7 @@ from .common import U64, as_bytes, lists, per_batch, shingle_set
 BANDS, ROWS = 32, 5
 BITS = 2  # low bits kept of each minimum
 SIGMAS = 5.0  # a pair is dropped unread only if its estimate is so many standard deviations low
-FIRST_PIVOTS, PAIRS_PER_NODE = 8, 4
+FIRST_PIVOTS, PAIRS_PER_NODE = 64, 2_000
 _SEED = 20_240_601
 
 
@@ -131,30 +131,29 @@ def texts_of(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFram
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 |A ∩ B| >= percent |A ∪ B|."""
+    """a, b, shared |A ∩ B| of full sets, and linked: whether 100 |A ∩ B| >= percent |A ∪ B|."""
 
     def make():
         def of(batch):
-            keep, last, sa = [], None, None
+            keep, inner, last, sa = [], [], None, None
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 if x != last:
                     last, sa = x, shingle_set(x, shingle_words)
                 sb = shingle_set(y, shingle_words)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
+                inner.append(both)
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both))
-            mask = pa.array(keep, pa.bool_())
-            return {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
+            return {"a": batch.column("a"), "b": batch.column("b"), "shared": pa.array(inner, pa.int64()), "linked": pa.array(keep, pa.bool_())}
 
         return of
 
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return per_batch(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), "a binary, b binary", make, rows=64)
+    return per_batch(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), "a binary, b binary, shared long, linked boolean", make, rows=64)
 
 
-def unlinkable(nodes: DataFrame, texts: DataFrame, sizes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Nodes so full of shingles that no other of ``nodes`` has, that none of them can be similar enough.
+def own_shingles(nodes: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """node, own: how many of its shingles no other of ``nodes`` has; nodes without any are left out.
 
-    A link needs 100 |A ∩ B| >= percent |A|, and no more of A than its shared shingles lies in any B.
     Tasks count shingles before the shuffle, so that a group of copies sends its common ones once a task.
     """
     def make():
@@ -169,8 +168,18 @@ def unlinkable(nodes: DataFrame, texts: DataFrame, sizes: DataFrame, shingle_wor
         return of
 
     counted = per_batch(texts.join(nodes, "node", "left_semi"), "h long, node binary, n long", make)
-    own = counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    return own.join(sizes.select("node", "n_shingles"), "node").filter(100 * (F.col("n_shingles") - F.col("own")) < percent * F.col("n_shingles")).select("node")
+    return counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def may_link(percent: int):
+    """Condition that a node with its hub, size, shingles shared with the hub and rest may link with another (p_...).
+
+    Neither shares more of the hub than the smaller share of it, nor more beyond the hub than the smaller
+    rest, which is what is neither the hub's nor its own alone. Nodes of different hubs may always.
+    """
+    best = F.least("in_hub", "p_in_hub") + F.least("rest", "p_rest")
+    known = F.coalesce(F.col("hub") == F.col("p_hub"), F.lit(False))
+    return ~known | (100 * best >= percent * (F.col("size") + F.col("p_size") - best))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,24 +225,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("planes").alias("planes"), F.first("bands").alias("bands")),
         "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("node"), F.max("node")).alias("leaders")).filter("n > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     entries = settle(keyed.join(shared, "key"), "entries")
-    # Each node is first compared with the one or two leaders that it meets in the most buckets.
-    met = entries.select("node", F.posexplode("leaders").alias("end", "leader")).filter("node <> leader").groupBy("node", "end", "leader").count()
-    hooks = met.groupBy("node", "end").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader")).select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    # The hub of a bucket is its node with the most neighbours in all; of a group of copies, one close to their
+    # origin. Each node is first compared with the hub that it meets most often.
+    weights = entries.groupBy("node").agg(F.sum("n").alias("w"))
+    hubs = entries.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("hub"))
+    hooks = entries.join(hubs, "key").filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(
+        F.max_by("hub", F.struct("count", "hub")).alias("a")).select("a", F.col("node").alias("b"))
     bucketed = entries.select("node").distinct()
     texts = settle(texts_of(docs, nodes.join(bucketed, "node", "left_semi"), shingle_words), "texts")
-    links = settle(confirm(likely(hooks, nodes, percent), texts, shingle_words, percent), "links")
-    labels = settle(components(links), "labels")
+    hooked = settle(confirm(hooks, texts, shingle_words, percent), "hooked")
+    labels = settle(components(hooked.filter("linked")), "labels")
 
-    # Rounds over buckets that still hold several components. If all pairs across components are
-    # no more than PAIRS_PER_NODE times the nodes, they are compared at once. Otherwise nodes that can link
-    # with nothing are left out, and then a growing share of each bucket's nodes is compared with its
-    # nodes of other components, until all have been.
+    # Rounds over buckets that still hold several components. First, nodes too full of shingles of their own
+    # are left out, and the others told by what they share with their hub. If the pairs across components are
+    # no more than PAIRS_PER_NODE times the nodes they are looked at in one round, otherwise for a growing
+    # share of each bucket's nodes against all, until all have been. A pair is formed only if it may link.
     most = PAIRS_PER_NODE * nodes.count()
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    low, pivots, prune = 0, FIRST_PIVOTS, True
+    told, low, pivots = None, 0, FIRST_PIVOTS
     while True:
         at = entries.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
         sizes = at.groupBy("key", "comp").agg(F.count("*").alias("own"), F.max("n").alias("n")).groupBy("key").agg(
@@ -242,20 +253,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         cross = open_keys.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2)).first()[0]
         if cross is None:
             break
-        at = at.join(open_keys.select("key"), "key")
+        entries = settle(at.join(open_keys.select("key"), "key").drop("comp"), "entries")  # a bucket of one component stays one
+        if told is None:
+            here = entries.select("node").distinct().join(hooked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "shared"), "node", "left")
+            here = settle(here, "here")
+            own = own_shingles(here.select("node").union(here.filter("hub IS NOT NULL").select("hub")).distinct(), texts, shingle_words)
+            facts = here.join(nodes.select("node", F.col("n_shingles").alias("size")), "node").join(own, "node", "left").withColumn(
+                "own", F.coalesce("own", F.lit(0))).filter(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+            told = settle(facts.join(nodes.select("node", "bands"), "node").select(
+                "node", "bands", "hub", "size", F.col("shared").alias("in_hub"), (F.col("size") - F.col("shared") - F.col("own")).alias("rest")), "told")
+            entries = settle(entries.join(told.select("node"), "node", "left_semi"), "entries")
+            continue
         if cross <= most:
             pivots = 1 << 62
-        elif prune:
-            gone = settle(unlinkable(at.select("node").distinct(), texts, nodes, shingle_words, percent), "unlinkable")
-            prune = not gone.isEmpty()
-            if prune:
-                entries = settle(entries.join(gone, "node", "left_anti"), "entries")
-                continue
+        at = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(told, "node")
         chosen = at.filter((place >= low / F.col("n")) & (place < pivots / F.col("n"))).select(
-            "key", F.col("node").alias("p"), F.col("comp").alias("cp"))
-        met = at.join(chosen, "key").filter("comp <> cp")
-        pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links = settle(confirm(likely(pairs, nodes, percent), texts, shingle_words, percent), "links")
+            *[F.col(c).alias(f"p_{c}") for c in ("key", "node", "bands", "comp", "hub", "size", "in_hub", "rest")])
+        # A pair is formed in the first band that it shares.
+        first = F.element_at(F.filter(F.zip_with("bands", "p_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+        met = at.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("comp") != F.col("p_comp")) & may_link(percent) & (first == F.col("key")))
+        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+        links = settle(confirm(likely(pairs, nodes, percent), texts, shingle_words, percent).filter("linked"), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
         low, pivots = pivots, pivots * 2

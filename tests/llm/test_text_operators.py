@@ -444,12 +444,13 @@ def test_toxicity_on_held_out(spark, duck):
 
 
 def test_toxicity_of_odd_input(spark, odd, empty):
-    mean = [(f"you are a vile fool {i}".split(), 1) for i in range(30)]
-    kind = [(f"the garden is green today {i}".split(), 0) for i in range(30)]
+    mean = [(f"the garden is green today vile fool {i}".split(), 1) for i in range(40)]
+    kind = [(f"the garden is green today {i}".split(), 0) for i in range(40)]
     model = toxicity.train(mean + kind)
     got = {r.doc_id: r for r in toxicity.score(odd, model).collect()}
     assert all(got[i].score == 0 and got[i].predicted == 0 for i in (1, 2, 3)) and toxicity.score(odd, model).count() == len(ODD)
     late = toxicity.score(docs(spark, [(1, "the garden is green " * 500 + "vile fool"), (2, "the garden is green " * 500)]), model).collect()
     assert [r.predicted for r in sorted(late, key=lambda r: r.doc_id)] == [1, 0]
     assert toxicity.score(empty, model).count() == 0 and {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
-    assert toxicity.fit(docs(spark, []).selectExpr("*", "1 AS toxic")) is None
+    assert toxicity.fit(docs(spark, []), docs(spark, ODD).selectExpr("doc_id", "1 AS toxic")) is None
+    assert toxicity.fit(docs(spark, ODD), docs(spark, ODD).selectExpr("doc_id", "1 AS toxic", "text")) is None
