@@ -159,11 +159,11 @@ def lagged_values_of_hot_entity(spark, folder):
     return rounded(W.with_frames(e, ["grp"], "event_id", make, 6, rows_per_block=400).drop("value"))
 
 
-@query("lags_deeper_than_blocks", ["F12", "F22"], f"""SELECT event_id, {r('lag(value, 12) OVER (ORDER BY ts, event_id)')} AS value_lag_12,
-{r('avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)')} AS value_before_30 FROM events""")
+@query("lags_deeper_than_blocks", ["F12", "F22"], f"""SELECT event_id, {r('lag(value, 12) OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id)')} AS value_lag_12,
+{r('avg(value) OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)')} AS value_before_30 FROM events""")
 def lags_deeper_than_blocks(spark, folder):
-    """Frames that look back over several blocks of one entity; rows of one time come in id order."""
-    e = table(spark, folder, "events").select("event_id", "ts", "value", F.lit("all").alias("grp"))
+    """Frames that look back over several blocks of large entities; rows of one time come in id order."""
+    e = table(spark, folder, "events").select("event_id", "ts", "value", (F.col("user_id") % 2).alias("grp"))
 
     def make(w):
         return {"value_lag_12": F.lag("value", 12).over(w), "value_before_30": F.avg("value").over(w.rowsBetween(-30, -1))}
