@@ -23,6 +23,7 @@ WINDOW, STRIDE = 32, 24
 DIM, HIDDEN = 16, 8
 BUCKETS = 1 << 15  # of hashed character n-grams
 GRAMS = (3, 4, 5)
+MISSED = 3  # cost of a toxic text passed over, that of a clean one flagged being 1
 LEAST_STEPS = 150  # of training in each round, however few the texts
 SAMPLE_ROWS = 3_000  # of each class, at most
 SAMPLE_CHARS = 20_000  # longer texts are not learned from
@@ -266,11 +267,11 @@ def train(texts: list[tuple[list[str], int]], seed: int = 7) -> Model:
                 m.chars[touched] -= VECTOR_RATE * moved
                 has = own[real] >= 0
                 m.words[own[real][has]] -= VECTOR_RATE * dx[shift:][has]
-    # The decision point comes from texts that taught nothing: midway in the gap with the fewest errors.
+    # The decision point comes from texts that taught nothing: midway in the gap with the least cost of errors.
     best = scorer(m)([w for w, _ in kept_back or texts])
     truth = np.array([y for _, y in kept_back or texts])[np.argsort(best, kind="stable")]
     best = np.sort(best)
-    errors = np.r_[0, np.cumsum(truth)] + np.r_[np.cumsum((truth == 0)[::-1])[::-1], 0]
+    errors = np.r_[0, MISSED * np.cumsum(truth)] + np.r_[np.cumsum((truth == 0)[::-1])[::-1], 0]
     where = np.flatnonzero(errors == errors.min())
     lo, hi = best[max(where[0] - 1, 0)], best[min(where[-1], len(best) - 1)]
     m.bo -= np.float32((lo + hi) / 2)
