@@ -4,7 +4,8 @@ Every entity has a normal form (an address in lower case, a number's digits, one
 and its surrogate is a keyed digest of kind and normal form, written in the entity's own format:
 digits for digits, letters of the same script and case for letters, a woman's name for a
 woman's name. Equal entities therefore get equal surrogates anywhere in the corpus. Surrogates
-that two entities share, or that are themselves an entity of the corpus, are drawn again.
+that two entities share, or that are themselves an entity of the corpus, are drawn again; later
+draws are longer, so that there are enough of them for any number of entities.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from riskloom.plans.rows import BROADCAST_ROWS
 from riskloom.session import settle
 
-MAX_DRAWS = 64
+# Draws in the format of the entity; each one after them is longer by one digit or octet. Names take a syllable more with every draw.
+FREE_DRAWS = 4
 DEFAULT_KEY = "surrogates-1"
 
 FEMALE = "Mrs|MRS|Ms|MS|Miss|Madam|Madame|Mademoiselle|Mme|Mlle|Frau|Señora|Señorita|Sra|Signora|г-жа|госпожа|κυρία"
@@ -33,7 +35,7 @@ PATTERNS = {
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"(?<=[=: \"'])(?=[A-Za-z0-9_/+.-]{8})(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']?)[A-Za-z0-9_/+.-]{8,}",
+    "secret": r"(?<=[=: \"'])(?=[A-Za-z0-9_/+.-]{8})(?=[_/+.-]*[A-Za-z0-9])(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']?)[A-Za-z0-9_/+.-]{8,}",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 }
 # One pass over a text; the card pattern's group number holds as it is the only group.
@@ -67,7 +69,7 @@ def _digest(key: str, kind: Column, value: Column, draw: Column) -> Column:
     return F.concat(one(0), one(1))
 
 
-def _number(digest: Column, i: Column, base: int) -> Column:
+def _number(digest: Column, i: Column, base: int | Column) -> Column:
     """A number below base from four hex digits of the digest."""
     at = F.pmod(i, F.lit(31)) * 4 + 1
     return F.conv(F.substring(digest, at, F.lit(4)), 16, 10).cast("int") % base
@@ -96,27 +98,28 @@ def _luhn_holds(digits: Column) -> Column:
     return F.substring(digits, F.length(digits), F.lit(1)) == _luhn(body)
 
 
-def _name(digest: Column, kind: Column, value: Column) -> Column:
-    """A made-up name of three syllables and the ending of its kind, in the value's script."""
-    out = None
-    for script in ("cyrillic", "greek", "latin"):
-        pool = F.array(*map(F.lit, _SYLLABLES[script]))
-        body = F.concat(*[F.element_at(pool, _number(digest, F.lit(i), len(_SYLLABLES[script])) + 1) for i in range(3)])
-        ending = F.when(kind == "given_f", _ENDINGS[script, "f"]).when(kind == "given_m", _ENDINGS[script, "m"]).otherwise(_ENDINGS[script, "s"])
-        made = F.concat(body, ending)
-        if script == "latin":
-            return out.otherwise(made)
-        test = value.rlike(r"\p{Is%s}" % script.capitalize())
-        out = F.when(test, made) if out is None else out.when(test, made)
-    return out
+def _name(digest: Column, kind: Column, value: Column, draw: Column) -> Column:
+    """A made-up name of three syllables, one more for each draw, and the ending of its kind, in the value's script."""
+    def by_script(of: Callable[[str], Column]) -> Column:
+        return (F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin")))
+
+    pool = by_script(lambda script: F.array(*map(F.lit, _SYLLABLES[script])))
+    places = F.sequence(F.lit(0), F.least(draw.cast("int"), F.lit(28)) + 2)
+    body = F.array_join(F.transform(places, lambda i: F.element_at(pool, _number(digest, i, F.size(pool)) + 1)), "")
+    ending = by_script(lambda script: F.when(kind == "given_f", _ENDINGS[script, "f"]).when(kind == "given_m", _ENDINGS[script, "m"]).otherwise(_ENDINGS[script, "s"]))
+    return F.concat(body, ending)
 
 
 def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
     """Normal form of the surrogate of an entity's normal form."""
-    return _let(_digest(key, kind, value, draw), lambda digest: _drawn(key, kind, value, digest))
+    return _let(_digest(key, kind, value, draw), lambda digest: _drawn(key, kind, value, draw, digest))
 
 
-def _drawn(key: str, kind: Column, value: Column, digest: Column) -> Column:
+def _drawn(key: str, kind: Column, value: Column, draw: Column, digest: Column) -> Column:
+    extra = F.greatest(draw.cast("int") - (FREE_DRAWS - 1), F.lit(0))
+    # Digits of a digest of their own, as those of a long value use up all of the first.
+    own = F.sha2(F.concat(F.lit(f"{key}\u0004"), F.substring(digest, 1, 128)), 512)
+    more = F.when(extra > 0, F.substring(F.translate(own, "abcdef", "024135"), F.lit(1), extra)).otherwise("")
     local = F.substring_index(value, "@", 1)
     # The host's surrogate depends on the host alone, so colleagues stay colleagues; it lies in a name space set apart for examples.
     host = F.substring_index(value, "@", -1)
@@ -124,16 +127,16 @@ def _drawn(key: str, kind: Column, value: Column, digest: Column) -> Column:
     last = F.length(value) - 1
     middle = _written(digest, F.substring(value, F.lit(2), last - 1))
     return (
-        F.when(kind == "email", F.concat(_written(digest, local), F.lit("@"), label, F.lit(".example.com")))
-        .when(kind == "card", _let(F.concat(F.substring(value, 1, 1), middle), lambda x: F.concat(x, _luhn(x))))
-        .when(kind == "ssn", F.concat(F.lit("9"), _written(digest, F.substring(value, F.lit(2), F.length(value)))))
-        .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i, 254) + 1).cast("string")), "."))
-        .when(kind == "phone", F.concat(F.substring(value, 1, 1), _written(digest, F.substring(value, F.lit(2), F.length(value)), digits="23456789")))
-        .when(kind == "key", F.concat(F.substring(value, 1, 4), _written(digest, F.substring(value, F.lit(5), F.length(value)))))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _written(digest, F.substring(value, F.lit(3), F.length(value)))))
-        .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), _written(digest, value, lower="abcdef"))
-        .when(kind == "secret", _written(digest, value))
-        .otherwise(_name(digest, kind, value)))
+        F.when(kind == "email", F.concat(_written(digest, local), more, F.lit("@"), label, F.lit(".example.com")))
+        .when(kind == "card", _let(F.concat(F.substring(value, 1, 1), middle, more), lambda x: F.concat(x, _luhn(x))))
+        .when(kind == "ssn", F.concat(F.lit("9"), _written(digest, F.substring(value, F.lit(2), F.length(value))), more))
+        .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), extra + 3), lambda i: (_number(digest, i, 254) + 1).cast("string")), "."))
+        .when(kind == "phone", F.concat(F.substring(value, 1, 1), _written(digest, F.substring(value, F.lit(2), F.length(value)), digits="23456789"), more))
+        .when(kind == "key", F.concat(F.substring(value, 1, 4), _written(digest, F.substring(value, F.lit(5), F.length(value))), more))
+        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _written(digest, F.substring(value, F.lit(3), F.length(value))), more))
+        .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.concat(_written(digest, value, lower="abcdef"), more))
+        .when(kind == "secret", F.concat(_written(digest, value), more))
+        .otherwise(_name(digest, kind, value, draw)))
 
 
 def _kind(match: Column) -> Column:
@@ -168,9 +171,10 @@ def _units_of(match: Column, kind: Column) -> Column:
 def _rendered(match: Column, units: Column, made: Column) -> Column:
     """The surrogates in the form of the match: its separators, or its title and the case of its words."""
     def in_format(normal: Column, slot: str) -> Column:
-        """Every character of the match that is a slot takes the next of the normal form."""
-        return F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(
-            c.rlike(slot), F.substring(normal, F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), slot.replace("[", "[^"), "")), F.lit(1))).otherwise(c)), "")
+        """Every character of the match that is a slot takes the next of the normal form; what is left of that follows."""
+        slots = F.length(F.regexp_replace(match, slot.replace("[", "[^"), ""))
+        return F.concat(F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(
+            c.rlike(slot), F.substring(normal, F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), slot.replace("[", "[^"), "")), F.lit(1))).otherwise(c)), ""), F.substring(normal, slots + 1, F.length(normal)))
 
     kind, first = F.get(units, F.lit(0))["kind"], F.get(made, F.lit(0))
     words = F.slice(F.split(match, " "), 2, 9)
@@ -192,13 +196,14 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, draw) of the distinct entities whose first surrogate clashes, with the draw that does not.
 
     Of entities with one surrogate the smallest keeps it; one that equals an entity of its kind is
-    kept by none. Names of all kinds share one space, as a surname can be another's given name.
+    kept by none. Names of all kinds share one space, as a surname can be another's given name. Draws
+    grow longer, so the rounds end whatever the number of entities.
     """
     space = F.when(F.col("kind").isin("given_f", "given_m", "surname"), "name").otherwise(F.col("kind"))
     base = settle(entities.withColumn("space", space), "entities")
     real = base.select("space", F.col("value").alias("made")).distinct().withColumn("real", F.lit(True))
     drawn = base.select("*", F.lit(0).alias("draw"), surrogate(key, F.col("kind"), F.col("value"), F.lit(0)).alias("made"))
-    for _ in range(MAX_DRAWS):
+    while True:
         drawn = settle(drawn, "drawn")
         owners = drawn.groupBy("space", "made").agg(F.count("*").alias("n"), F.min(F.struct("draw", "kind", "value")).alias("first"))
         owners = owners.join(real, ["space", "made"], "left").filter("n > 1 OR real")
@@ -209,7 +214,6 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
         loses = F.col("first").isNotNull() & (F.col("real") | (F.col("first") != mine))
         drawn = drawn.join(clashes, ["space", "made"], "left").withColumn("draw", F.col("draw") + F.when(loses, 1).otherwise(0)).drop("first", "real")
         drawn = drawn.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("draw")))
-    raise ValueError(f"no distinct surrogates after {MAX_DRAWS} draws: a kind has too few of them for its entities")
 
 
 def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:

@@ -84,6 +84,32 @@ def test_surrogates_depend_on_the_key(spark):
     assert _swap(spark, "a.b@c.org", key="x") != _swap(spark, "a.b@c.org", key="y") == _swap(spark, "a.b@c.org", key="y")
 
 
+def test_blank_fields_are_no_secrets(spark):
+    texts = ["Password: ________", "token: --------", 'pwd="........"', "secret=-------a", "secret=-------b"]
+    made = _swap(spark, *texts)
+    assert made[:3] == texts[:3] and made[3] != made[4] and not {made[3], made[4]} & set(texts)
+
+
+def test_surrogates_never_run_out(spark):
+    """More numbers of five digits after a plus than the 4,096 surrogates of their form."""
+    from pyspark.sql import functions as F
+
+    entities = spark.createDataFrame([("phone", f"1{i:04}") for i in range(6000)], "kind string, value string")
+    drawn = entities.join(pii.redrawn(entities, "k"), ["kind", "value"], "left").select(
+        "value", pii.surrogate("k", F.col("kind"), F.col("value"), F.coalesce("draw", F.lit(0))).alias("made")).collect()
+    assert len({r.made for r in drawn}) == 6000 and not {r.made for r in drawn} & {r.value for r in drawn}
+    match = F.lit("+1 00 00")
+    made = spark.range(1).select(pii._rendered(match, pii._units(match), F.array(F.lit("1234567"))).alias("t")).first().t
+    assert made == "+1 23 4567"
+
+
+def test_later_names_are_longer(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.range(40).select(pii.surrogate("k", F.lit("surname"), F.lit("smith"), F.col("id")).alias("s")).collect()
+    assert [len(r.s) for r in made[:29]] == [2 * (3 + i) + 1 for i in range(29)] and len({r.s for r in made}) == 40
+
+
 def test_surrogates_of_odd_input(spark, odd, empty):
     out = pii.pseudonymize(odd)
     assert sorted(out.columns) == sorted([*odd.columns, "n_entities"])
