@@ -295,6 +295,25 @@ def test_main_text_leaves_out_the_rest():
     assert text == "\n\n".join(["Café & more", long.strip(), "Short.", long.strip()])
 
 
+def _page(body):
+    return f"<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav>{body}<footer>me</footer></body></html>"
+
+
+@pytest.mark.parametrize("open_tag", [
+    "<main class='with-sidebar'>", "<div id=content class='has-sidebar'>", "<article class='post comments-open'>", "<article class='post sponsored'>",
+    "<div class='widget'><main>", "<div class='share'><article>", "<div class='related'>", "<section id='related-work'>", "<div class='left sidebar-right-none'>"])
+def test_names_of_layout_hide_no_text(open_tag):
+    long = "A long enough paragraph of plain words that says something. " * 4
+    page = _page(f"{open_tag}<h1>Top</h1><p>{long}</p><section id='related-work'><h2 id='search-algorithms'>Search algorithms</h2><p>{long}</p></section>"
+                 f"<div class='comment-list'><p>{long}</p></div><div class='share-buttons'>Share</div><p>{long}</p>")
+    assert pages.main_text(page) == "\n\n".join(["Top", long.strip(), "Search algorithms", long.strip(), long.strip()])
+
+
+def test_most_of_the_text_stays_whatever_its_name():
+    long = "A long enough paragraph of plain words that says something. " * 4
+    assert pages.main_text(_page(f"<div class='widget'><p>{long}</p><p>{long}</p></div><div class='comments'><p>{long}</p></div>")).count("enough") == 8
+
+
 def test_pages_of_odd_input(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a  b\n c"), (3, "u", "<<<>>& <p"), (3, "u", "<<<>>& <p"), (4, "u", "<p>" + LONG), (5, "u", "<nav>x</nav>")]
     got = {(r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")).collect()}
