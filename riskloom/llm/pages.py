@@ -202,14 +202,23 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     sizes = np.array([len(t) for t, *_ in lines], dtype=float)
-    near = smoothed(sizes / np.array([n for _, n, *_ in lines]))
-    content = near >= near.std()
+    ratios = np.minimum(sizes / np.array([n for _, n, *_ in lines]), ENOUGH)
+    near = smoothed(ratios)
+    cut = near.std()
+    content = near >= cut
+    own = content & (ratios >= cut)
     held: dict[int, list[float]] = {}
-    for size, yes, (_, _, c, _) in zip(sizes, content, lines):
-        own = held.setdefault(c, [0.0, 0.0])
-        own[0] += size
-        own[1] += size * yes
-    return "\n\n".join(t for t, _, c, _ in lines if 2 * held[c][1] >= held[c][0])
+    units = [unit or container for _, _, container, unit in lines]
+    for size, yes, unit in zip(sizes, content, units):
+        of = held.setdefault(unit, [0.0, 0.0])
+        of[0] += size
+        of[1] += size * yes
+    whole = {unit for unit, (size, yes) in held.items() if 2 * yes >= size}
+    # The page's longest article, or its main text if it has none, is what the page is about.
+    about = [u for u in held if u in parser.articles] or [u for u in held if u in parser.units]
+    if about:
+        whole.add(max(about, key=lambda u: held[u][0]))
+    return "\n\n".join(line[0] for line, unit, yes in zip(lines, units, own) if yes or unit in whole)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -299,6 +299,27 @@ def _page(body):
     return f"<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav>{body}<footer>me</footer></body></html>"
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_main_text_of_a_list_after_a_paragraph(outer):
+    long, items = "word " * 199 + "words", [f"item number {i:08}" for i in range(100)]
+    page = _page(f"<{outer}><p>{long}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></{outer}>")
+    assert pages.main_text(page) == "\n\n".join([long, *items])
+
+
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_main_text_of_sections_beside_a_very_long_one(outer):
+    parts = [f"Part {i}. " + "plain words " * 25 for i in range(12)]
+    parts[0] = "Start. " + "very long text " * 1333
+    page = _page(f"<{outer}>" + "".join(f"<section><h2>H{i}</h2><p>{t}</p></section>" for i, t in enumerate(parts)) + f"</{outer}>")
+    assert pages.main_text(page) == "\n\n".join(x for i, t in enumerate(parts) for x in (f"H{i}", t.strip()))
+
+
+def test_main_text_keeps_a_paragraph_in_a_container_of_links():
+    long = "A paragraph that says something. " * 20
+    page = _page(f"<div><p>{long}</p>" + "".join(f"<p><a href=x><b><i>link {i}</i></b></a></p>" for i in range(300)) + "</div>")
+    assert long.strip() in pages.main_text(page).split("\n\n")
+
+
 @pytest.mark.parametrize("open_tag", [
     "<main class='with-sidebar'>", "<div id=content class='has-sidebar'>", "<article class='post comments-open'>", "<article class='post sponsored'>",
     "<div class='widget'><main>", "<div class='share'><article>", "<div class='related'>", "<section id='related-work'>", "<div class='left sidebar-right-none'>"])
