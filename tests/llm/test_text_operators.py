@@ -270,6 +270,28 @@ def test_languages_of_odd_input(spark, odd, empty):
     assert tie.lang_pred == "a" and tie.score == pytest.approx(0.5)
 
 
+@pytest.mark.parametrize("rare", ["de", "en", "es", "fr"])
+def test_a_language_of_few_labelled_rows_keeps_its_texts(duck, rare):
+    rows = duck.execute("SELECT lang, text FROM documents WHERE length(text) BETWEEN 200 AND 4000 ORDER BY doc_id").fetchall()
+    pools = {}
+    for lang, text in rows:
+        pools.setdefault(lang, []).append(langid.letters(text))
+    samples = {k: f" {' '.join(itertools.chain(*v[: len(v) // 2]))} " for k, v in sorted(pools.items())}
+    samples[rare] = f" {' '.join(pools[rare][0][:60])} "
+    counts = langid.packer([langid.SuffixAutomaton(samples[k]).cost for k in samples])
+    names = list(samples)
+    for lang, texts in pools.items():
+        held = texts[len(texts) // 2 :]
+        right = sum(names[langid.classify(sum(map(counts, t)), len(names))[0]] == lang for t in held)
+        assert right >= 0.9 * len(held), (lang, right, len(held))
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(1, "  12 " + "lorem ipsum dolor sit " * 6000, "la", "s", 0), (2, "plain words of english", "en", "s", 0)]
+    samples = langid.fit(docs(spark, rows))
+    assert sorted(samples) == ["en", "la"] and 50_000 < len(samples["la"]) <= langid.LONGEST_SAMPLE + 2 and samples["la"].startswith(" lorem ipsum ")
+
+
 SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
