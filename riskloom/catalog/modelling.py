@@ -60,12 +60,12 @@ def trained_model_support(spark, folder):
 
 @query("trained_leaderboard", ["J5"])
 def trained_leaderboard(spark, folder):
-    return _released(_train(spark, folder, ("LogisticRegression", "RandomForest")), lambda run: rounded(run.leaderboard()))
+    return _released(_train(spark, folder), lambda run: rounded(run.leaderboard()))
 
 
 @query("feature_importance", ["J10"])
 def feature_importance(spark, folder):
-    return _released(_train(spark, folder, ("LogisticRegression", "RandomForest")), lambda run: rounded(run.importance()))
+    return _released(_train(spark, folder), lambda run: rounded(run.importance()))
 
 
 def _folded(spark, folder, k=5):
@@ -106,10 +106,13 @@ def hyperparameter_search(spark, folder):
 def experiment_run(spark, folder):
     acc = _accounts(spark, folder)
     split = stratified_split(acc, "y", ["id"])
-    config = J.RunConfig(models=("LogisticRegression", "RandomForest"), tuning=False, artifact_dir=fresh_path(spark, "experiments"))
-    run = J.run_experiment(split.filter(F.col("split") == "train").drop("split"), "y", ["id"], config,
-                           split.filter(F.col("split") == "test").drop("split"))
+    of = lambda name: split.filter(F.col("split") == name).drop("split")
+    config = J.RunConfig(tuning=False, artifact_dir=fresh_path(spark, "experiments"))
+    run = J.run_experiment(of("train"), "y", ["id"], config, of("test"), others={name: of(name) for name in ("oot", "etrc")})
     saved = load_metadata(spark, run.path).select("model", F.size("cv_scores").alias("n_folds"), F.size("feature_names").alias("n_features"))
+    for name in ("oot", "etrc"):
+        held = run.other_metrics.filter(F.col("split") == name)
+        saved = saved.join(held.select("model", *[F.col(m).alias(c.replace("test", name)) for m, c in J.TEST_COLUMNS.items()]), "model")
     return _released(run, lambda run: rounded(run.leaderboard.join(saved, "model").drop("training_time_s", "model_id")))
 
 

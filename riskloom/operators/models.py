@@ -401,6 +401,7 @@ class Run:
     path: str | None
     failures: dict[str, str]
     table: DataFrame
+    other_metrics: DataFrame | None = None
 
     def status(self) -> DataFrame:
         """One row per model asked for: trained or failed, and why."""
@@ -416,9 +417,12 @@ TEST_COLUMNS = {"roc_auc": "test_auc", "ks_statistic": "test_ks", "gini": "test_
 
 def run_experiment(
     train_df: DataFrame, label: str, keys: Sequence[str], config: RunConfig | None = None, test_df: DataFrame | None = None,
-    exclude: Sequence[str] = (),
+    exclude: Sequence[str] = (), others: Mapping[str, DataFrame] | None = None,
 ) -> Run:
-    """Search or cross-validate, fit on all training rows, score the test rows, rank, save."""
+    """Search or cross-validate, fit on all training rows, score the test rows, rank, save.
+
+    ``others`` are further rows by name, such as oot and etrc, whose metrics are ``other_metrics``.
+    """
     config = config or RunConfig()
     spark = train_df.sparkSession
     experiment = uuid.uuid4().hex[:8]
@@ -462,6 +466,10 @@ def run_experiment(
         extra = {r["model"]: {t: r[s] for s, t in TEST_COLUMNS.items()} for r in test_metrics.collect()}
         for m in meta:
             m["test_metrics"] = extra.get(m["model"])
+    other_metrics = None
+    for name, rows_of in (others or {}).items():
+        part = evaluate(score_models(prep.transform(rows_of), fitted, [label]), label, "score", "pred", ["model"]).withColumn("split", F.lit(name))
+        other_metrics = part if other_metrics is None else other_metrics.unionByName(part)
     columns = list(TEST_COLUMNS.values())
     facts = local_table(
         spark, [(m["model"], m["model_id"], m["duration_s"], *[extra.get(m["model"], {}).get(c) for c in columns]) for m in meta],
@@ -469,4 +477,4 @@ def run_experiment(
     board = cv_leaderboard(local_table(spark, folds, "model string, fold int, roc_auc double"), facts)
     pipelines = {n: PipelineModel([*prep.stages, m]) for n, m in fitted.items()}
     path = save_experiment(spark, config.artifact_dir, experiment, pipelines, meta) if config.artifact_dir else None
-    return Run(experiment, pipelines, board, oof, test_metrics, path, failures, table)
+    return Run(experiment, pipelines, board, oof, test_metrics, path, failures, table, other_metrics)

@@ -112,6 +112,14 @@ def test_experiment(spark, planted, tmp_path):
     assert load_model(run.path, "LogisticRegression").transform(part("test")).count() == part("test").count()
 
 
+def test_experiment_scores_every_split(planted):
+    split = stratified_split(planted, "y", ["id"])
+    part = lambda s: split.filter(F.col("split") == s).drop("split")
+    config = models.RunConfig(models=("LogisticRegression",), k=2, tuning=False, params={"LogisticRegression": {"max_iter": 5}})
+    run = models.run_experiment(part("train"), "y", ["id"], config, part("test"), others={s: part(s) for s in ("oot", "etrc")})
+    assert {r["split"]: r["roc_auc"] > 0.8 for r in run.other_metrics.collect()} == {"oot": True, "etrc": True}
+
+
 def test_linear_explanation_is_additive(trained):
     lr = trained.classifiers["LogisticRegression"]
     names = trained.names
