@@ -73,25 +73,27 @@ def _folded(spark, folder, k=5):
     return J.assemble(acc, "y", acc, ["id", "fold"])[1]
 
 
+def _held_out(spark, folder):
+    """Out-of-fold rows of all models."""
+    table = _folded(spark, folder)
+    try:
+        return settle(J.cross_validate_models(table, "y", k=5, keep=["id"]), "result")
+    finally:
+        table.unpersist()
+
+
 @query("cross_validation", ["J7"])
 def cross_validation(spark, folder):
-    from ..plans.rows import local_table
-
-    held = _folded(spark, folder)
-    scores = J.cross_validate(held, "y", "LogisticRegression", k=5)
-    held.unpersist()
-    return rounded(local_table(spark, enumerate(scores), "fold int, roc_auc double"))
+    scores = J.evaluate(_held_out(spark, folder), "y", "score", "pred", ["model", "fold"])
+    return rounded(scores.select("model", "fold", "roc_auc"))
 
 
 @query("out_of_fold_scores", ["J8"], f"""WITH {ACCOUNTS}, ranked AS (SELECT id, y, {hash_rank('id', 42, 'y')} AS rk, count(*) OVER (PARTITION BY y) AS n FROM acc)
-SELECT id, CAST(y AS INTEGER) AS y, CAST(CASE WHEN rk < n // 5 THEN 0 WHEN rk < n * 2 // 5 THEN 1 WHEN rk < n * 3 // 5 THEN 2 WHEN rk < n * 4 // 5 THEN 3 ELSE 4 END AS INTEGER) AS fold, true AS scored FROM ranked""")
+SELECT m AS model, id, CAST(y AS INTEGER) AS y, CAST(CASE WHEN rk < n // 5 THEN 0 WHEN rk < n * 2 // 5 THEN 1 WHEN rk < n * 3 // 5 THEN 2 WHEN rk < n * 4 // 5 THEN 3 ELSE 4 END AS INTEGER) AS fold, true AS scored
+FROM ranked, (SELECT unnest(['GradientBoosting', 'LightGBM', 'LogisticRegression', 'RandomForest', 'XGBoost']) AS m)""")
 def out_of_fold_scores(spark, folder):
-    """Each row once, scored by the model that did not see its fold."""
-    held = _folded(spark, folder)
-    oof = J.out_of_fold(held, "y", "LogisticRegression", J.MODELS["LogisticRegression"].defaults, k=5, keep=["id"])
-    out = settle(oof.select("id", "y", "fold", F.col("score").between(0, 1).alias("scored")), "result")
-    held.unpersist()
-    return out
+    """Each row once a model, scored by the fit that did not see its fold."""
+    return _held_out(spark, folder).select("model", "id", "y", "fold", F.col("score").between(0, 1).alias("scored"))
 
 
 @query("hyperparameter_search", ["J9"])
@@ -163,7 +165,7 @@ ONE_TREE = {"n_estimators": 1, "max_features": None, "bootstrap": False}
 _RATES = f"WITH {_FLAG} SELECT CAST(x AS INTEGER) AS x, {big('count(*)')} AS n, round(avg(y), 3) AS low, round(avg(y), 3) AS high FROM flag GROUP BY x"
 
 
-@query("saturated_logistic_scores", ["J1", "J6"], _RATES)
+@query("saturated_logistic_scores", ["J1"], _RATES)
 def saturated_logistic_scores(spark, folder):
     """Without a penalty, logistic regression on one 0/1 input scores each level with its class share."""
     return _fit_flag(spark, folder, "LogisticRegression", {"penalty": None})
@@ -216,6 +218,27 @@ def stump_fold_auc(spark, folder):
     return rounded(local_table(spark, enumerate(found.cv_scores), "fold int, roc_auc double"))
 
 
+@query("experiment_of_stumps", ["J6"], f"""{_FOLD_AUC}, rate AS (SELECT x, avg(y) AS p FROM flag GROUP BY x),
+whole AS (SELECT f.y, r.p FROM flag f JOIN rate r ON r.x = f.x),
+test AS (SELECT sum(CASE WHEN b.p < a.p THEN a.n * b.m WHEN b.p = a.p THEN a.n * b.m / 2.0 ELSE 0 END) / (sum(CASE WHEN b.p = a.p THEN a.n END) * sum(CASE WHEN a.p = b.p THEN b.m END)) AS auc
+FROM (SELECT p, sum(y) AS n FROM whole GROUP BY p) a, (SELECT p, sum(1 - y) AS m FROM whole GROUP BY p) b)
+SELECT 'RandomForest' AS model, {r('avg(roc_auc)')} AS cv_auc_mean, {r('stddev_pop(roc_auc)')} AS cv_auc_std, (SELECT {r('auc')} FROM test) AS test_auc,
+{big('(SELECT count(*) FROM oof)')} AS n_held_out, 2 AS trials, 'searched, resumed' AS state FROM auc""")
+def experiment_of_stumps(spark, folder):
+    """A configured run whole, search, folds, fit, test and board, twice on one ledger: the second run fits nothing."""
+    rows = _flagged(spark, folder)
+    config = J.RunConfig(models=("RandomForest",), trials=2, params={"RandomForest": ONE_TREE}, artifact_dir=fresh_path(spark, "experiments"),
+                         spaces={"RandomForest": {"max_depth": {"type": "int", "low": 1, "high": 3}}})
+    first = J.run_experiment(rows, "y", ["id"], config, rows, experiment_id="stumps")
+    again = J.run_experiment(rows, "y", ["id"], config, rows, experiment_id="stumps")
+    done = sum(again.ledger.done(f"RandomForest/trial-{i}") for i in range(9))
+    state = "searched, resumed" if first.ledger.made and not again.ledger.made else "fitted again"
+    first.release()
+    board = again.leaderboard.select("model", "cv_auc_mean", "cv_auc_std", "test_auc", F.lit(again.oof.count()).alias("n_held_out"),
+                                     F.lit(done).alias("trials"), F.lit(state).alias("state"))
+    return _released(again, lambda _: rounded(board))
+
+
 @query("flag_importance", ["J10"], f"""WITH {_FLAG}, s AS (SELECT x, avg(y) AS p FROM flag GROUP BY x), sd AS (SELECT stddev_pop(x) AS sd FROM flag)
 SELECT 'x' AS feature, round((SELECT ln(p / (1 - p)) FROM s WHERE x = 1) * sd - (SELECT ln(p / (1 - p)) FROM s WHERE x = 0) * sd, 2) AS importance FROM sd""")
 def flag_importance(spark, folder):

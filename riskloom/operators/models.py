@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.rows import local_table
+from ..session import fresh_path, shared_dir
 from ..sources.artifacts import save_experiment, with_score
+from ..sources.ledger import Ledger
 from .evaluate import cv_leaderboard, evaluate, leaderboard
 from .preprocess import feature_names, fit_preprocessor, plain_name
 from .target import stratified_folds
@@ -70,8 +73,9 @@ def forest(p: Mapping, rows: int, label: str, seed: int):
 
 def boosted(p: Mapping, rows: int, label: str, seed: int):
     depth = int(p.get("max_depth", 5))
-    if depth <= 0:  # unlimited depth: bounded by the number of leaves
-        depth = math.ceil(math.log2(int(p.get("num_leaves", 31)) + 1))
+    if depth <= 0 or "num_leaves" in p:  # trees grow by levels: so many leaves bound the depth, next to a depth that is set
+        by_leaves = math.ceil(math.log2(int(p.get("num_leaves", 31)) + 1))
+        depth = min(depth, by_leaves) if depth > 0 else by_leaves
     leaf = p.get("min_child_samples") or p.get("min_child_weight") or _leaf(p)
     columns = float(p.get("colsample_bytree", 1.0))
     return GBTClassifier(
@@ -145,12 +149,23 @@ def _spec(name: str) -> ModelSpec:
     return MODELS[name]
 
 
-def _side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
-    """Results of driver-side tasks, in order; each starts Spark jobs of its own."""
+PARALLELISM = 8
+
+
+def _side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int, pool: ThreadPoolExecutor | None = None) -> list:
+    """Results of driver-side tasks, in order; each starts Spark jobs of its own. A ``pool`` is shared with other callers."""
+    if pool is not None:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
     if parallelism <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
-    with ThreadPoolExecutor(min(parallelism, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
+    with ThreadPoolExecutor(min(parallelism, len(tasks))) as own:
+        return _side_by_side(spark, tasks, parallelism, own)
+
+
+def _cut_lineage(spark: SparkSession) -> None:
+    """Boosting cuts the lineage of its margins every ten rounds, but only where a checkpoint folder is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(fresh_path(spark, "rounds"))
 
 
 # -- fit, score, explain ----------------------------------------------------------
@@ -223,9 +238,10 @@ def assemble(df: DataFrame, label: str, fit_on: DataFrame, keep: Sequence[str],
 
 def train(
     df: DataFrame, label: str, split: str = "split", models: Sequence[str] = tuple(MODELS), params: Mapping[str, Mapping] | None = None,
-    keep: Sequence[str] = (), exclude: Sequence[str] = (), seed: int = 42, parallelism: int = 4,
+    keep: Sequence[str] = (), exclude: Sequence[str] = (), seed: int = 42, parallelism: int = PARALLELISM,
 ) -> Training:
     """Fit each model on the train split and score all splits. A model that fails is skipped."""
+    _cut_lineage(df.sparkSession)
     keep = list(dict.fromkeys([*keep, split]))
     prep, table = assemble(df, label, df.filter(F.col(split) == "train"), keep, exclude)
     part = table.filter(F.col(split) == "train")
@@ -264,20 +280,22 @@ def train(
 
 def out_of_fold(
     table: DataFrame, label: str, name: str, params: Mapping, fold: str = "fold", k: int = 5, keep: Sequence[str] = (),
-    seed: int = 42, parallelism: int = 4,
+    seed: int = 42, parallelism: int = PARALLELISM, pool: ThreadPoolExecutor | None = None, ledger: Ledger | None = None, rows: int | None = None,
 ) -> DataFrame:
-    """Score of every row by the model that did not see its fold."""
+    """Score of every row by the model that did not see its fold. A ``ledger`` keeps the scores of each fold."""
     spec = _spec(name)
-    rows = table.count()
-    held = lambda i: F.col(fold) == i
-    fits = _side_by_side(
-        table.sparkSession,
-        [lambda i=i: spec.build(params, rows * (k - 1) // k, label, seed).fit(table.filter(~held(i))) for i in range(k)], parallelism)
-    out = None
-    for i, model in enumerate(fits):
-        part = with_score(model.transform(table.filter(held(i)))).select(*dict.fromkeys([*keep, label, fold]), "score", "pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+    _cut_lineage(table.sparkSession)
+    rows = table.count() if rows is None else rows
+
+    def held(i: int) -> DataFrame:
+        model = spec.build(params, rows * (k - 1) // k, label, seed).fit(table.filter(F.col(fold) != i))
+        return with_score(model.transform(table.filter(F.col(fold) == i))).select(*dict.fromkeys([*keep, label, fold]), "score", "pred")
+
+    def task(i: int) -> Callable:
+        return (lambda: held(i)) if ledger is None else lambda: ledger.frame(f"{name}/fold-{i}", lambda: held(i))
+
+    parts = _side_by_side(table.sparkSession, [task(i) for i in range(k)], parallelism, pool)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_scores(oof: DataFrame, label: str, fold: str = "fold") -> list[float]:
@@ -291,6 +309,16 @@ def cross_validate(table: DataFrame, label: str, name: str, params: Mapping | No
     return fold_scores(out_of_fold(table, label, name, params, **kw), label, kw.get("fold", "fold"))
 
 
+def cross_validate_models(table: DataFrame, label: str, names: Sequence[str] = tuple(MODELS), parallelism: int = PARALLELISM, **kw) -> DataFrame:
+    """(model, keep, label, fold, score, pred): out-of-fold rows of several models, whose fits all share one pool."""
+    spark = table.sparkSession
+    _cut_lineage(spark)
+    with ThreadPoolExecutor(parallelism) as pool, ThreadPoolExecutor(len(names)) as models:
+        of = lambda n: out_of_fold(table, label, n, _spec(n).defaults, pool=pool, **kw).withColumn("model", F.lit(n))
+        parts = [f.result() for f in [models.submit(inheritable_thread_target(spark)(of), n) for n in names]]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- search -----------------------------------------------------------------------
 
 def sample_params(space: Mapping, rng: random.Random) -> dict:
@@ -327,18 +355,26 @@ class Search:
 
 def tune(
     table: DataFrame, label: str, name: str, n_trials: int = 50, k: int = 5, fold: str = "fold", patience: int = 10,
-    min_gain: float = 0.001, seed: int = 42, space: Mapping | None = None, fixed: Mapping | None = None, parallelism: int = 4,
-    timeout: float | None = None,
+    min_gain: float = 0.001, seed: int = 42, space: Mapping | None = None, fixed: Mapping | None = None, parallelism: int = PARALLELISM,
+    timeout: float | None = None, pool: ThreadPoolExecutor | None = None, ledger: Ledger | None = None,
 ) -> Search:
-    """Seeded random search by mean fold AUC; stops after ``patience`` trials without real gain."""
+    """Seeded random search by mean fold AUC; stops after ``patience`` trials without real gain.
+
+    Draws depend on the seed alone, so with a ``ledger`` a search that is started again draws the same trials and
+    takes the scores of those that it has.
+    """
     spec = _spec(name)
     rng = random.Random(seed)
     trials, best, idle, mark, start = [], None, 0, float("-inf"), time.monotonic()
-    for _ in range(n_trials):
+    for i in range(n_trials):
         drawn = sample_params(spec.space if space is None else space, rng)
         chosen = {**spec.defaults, **drawn, **(fixed or {})}
         try:
-            scores = cross_validate(table, label, name, chosen, fold=fold, k=k, seed=seed, parallelism=parallelism)
+            def scored(chosen=chosen):
+                return {"params": chosen, "scores": cross_validate(
+                    table, label, name, chosen, fold=fold, k=k, seed=seed, parallelism=parallelism, pool=pool)}
+
+            scores = (scored() if ledger is None else ledger.row(f"{name}/trial-{i}", scored))["scores"]
             mean = sum(scores) / len(scores)
         except Exception as e:
             log.warning("trial %s failed: %s", drawn, e)
@@ -360,14 +396,27 @@ def tune(
     return Search(name, params, mean, spread, scores, trials)
 
 
-def tune_multiple(table: DataFrame, label: str, names: Sequence[str], **kw) -> dict[str, Search]:
-    """A search per model; one that fails is skipped."""
-    out = {}
+class Searches(dict):
+    """Searches by model; ``failures`` says why the others gave none."""
+
+    failures: dict[str, str]
+
+    def status(self, spark: SparkSession) -> DataFrame:
+        """One row per model asked for: searched or failed, and why."""
+        rows = [(n, "searched", s.best_score, None) for n, s in self.items()] + [(n, "failed", None, why) for n, why in self.failures.items()]
+        return local_table(spark, sorted(rows), "model string, status string, best_score double, error string")
+
+
+def tune_multiple(table: DataFrame, label: str, names: Sequence[str], **kw) -> Searches:
+    """A search per model; one that fails is a row of ``status``."""
+    out = Searches()
+    out.failures = {}
     for name in names:
         try:
             out[name] = tune(table, label, name, **kw)
         except Exception as e:
             log.warning("search for %s failed: %s", name, e)
+            out.failures[name] = str(e)
     return out
 
 
@@ -388,7 +437,7 @@ class RunConfig:
     params: Mapping[str, Mapping] = field(default_factory=dict)
     spaces: Mapping[str, Mapping] = field(default_factory=dict)
     artifact_dir: str | None = None
-    parallelism: int = 4
+    parallelism: int = PARALLELISM
 
 
 @dataclass
@@ -402,6 +451,7 @@ class Run:
     failures: dict[str, str]
     table: DataFrame
     other_metrics: DataFrame | None = None
+    ledger: Ledger | None = None
 
     def status(self) -> DataFrame:
         """One row per model asked for: trained or failed, and why."""
@@ -417,45 +467,61 @@ TEST_COLUMNS = {"roc_auc": "test_auc", "ks_statistic": "test_ks", "gini": "test_
 
 def run_experiment(
     train_df: DataFrame, label: str, keys: Sequence[str], config: RunConfig | None = None, test_df: DataFrame | None = None,
-    exclude: Sequence[str] = (), others: Mapping[str, DataFrame] | None = None,
+    exclude: Sequence[str] = (), others: Mapping[str, DataFrame] | None = None, experiment_id: str | None = None,
 ) -> Run:
     """Search or cross-validate, fit on all training rows, score the test rows, rank, save.
 
     ``others`` are further rows by name, such as oot and etrc, whose metrics are ``other_metrics``.
+
+    Each trial's scores, each fold's out-of-fold rows and each final model are entries of a ledger below
+    ``artifact_dir`` (without it, below the shared folder) as soon as they are there. A run given the
+    ``experiment_id`` of one that was killed, with the same rows and settings, fits only what that one had not.
+    Models run side by side; all their fits share one pool of ``parallelism`` threads.
     """
     config = config or RunConfig()
     spark = train_df.sparkSession
-    experiment = uuid.uuid4().hex[:8]
+    _cut_lineage(spark)
+    experiment = experiment_id or uuid.uuid4().hex[:8]
+    ledger = Ledger(spark, f"{(config.artifact_dir or shared_dir(spark) + '/experiments').rstrip('/')}/{experiment}")
     folded = stratified_folds(train_df, label, keys, config.k, config.seed)
     keep = [*keys, "fold"]
     prep, table = assemble(folded, label, folded, keep, exclude)
     rows = table.count()
     names = feature_names(prep)
+    ledger.same({"rows": rows, "names": names, "label": label, "k": config.k, "seed": config.seed, "tuning": config.tuning,
+                 "trials": config.trials, "params": {m: dict(p) for m, p in config.params.items()}, "spaces": {m: dict(p) for m, p in config.spaces.items()}})
     fitted, meta, folds, failures, oof = {}, [], [], {}, None
-    for name in config.models:
+
+    def whole(name: str, pool: ThreadPoolExecutor):
         start = time.monotonic()
-        try:
-            spec = _spec(name)
-            fixed = config.params.get(name, {})
-            if config.tuning:
-                found = tune(table, label, name, config.trials, config.k, seed=config.seed, fixed=fixed,
-                             space=config.spaces.get(name), parallelism=config.parallelism)
-                params = found.best_params
-            else:
-                params = {**spec.defaults, **fixed}
-            held = out_of_fold(table, label, name, params, k=config.k, keep=keys, seed=config.seed, parallelism=config.parallelism)
-            scores = fold_scores(held, label)
-            fitted[name] = spec.build(params, rows, label, config.seed).fit(table)
-        except Exception as e:
-            log.warning("model %s failed: %s", name, e)
-            failures[name] = str(e)
-            continue
-        if config.oof:
-            part = held.withColumn("model", F.lit(name))
-            oof = part if oof is None else oof.unionByName(part)
-        folds += [(name, i, s) for i, s in enumerate(scores)]
-        meta.append({"model": name, "model_id": f"{experiment}_{name}", "params": params, "feature_names": names,
-                     "trained_at": datetime.now(timezone.utc), "duration_s": time.monotonic() - start, "cv_scores": scores})
+        spec = _spec(name)
+        fixed = config.params.get(name, {})
+        if config.tuning:
+            params = tune(table, label, name, config.trials, config.k, seed=config.seed, fixed=fixed, space=config.spaces.get(name),
+                          pool=pool, ledger=ledger).best_params
+        else:
+            params = {**spec.defaults, **fixed}
+        fit = lambda: ledger.model(f"{name}/final", lambda: spec.build(params, rows, label, config.seed).fit(table))
+        final = pool.submit(inheritable_thread_target(spark)(fit))
+        held = out_of_fold(table, label, name, params, k=config.k, keep=keys, seed=config.seed, pool=pool, ledger=ledger, rows=rows)
+        took = ledger.row(f"{name}/time", lambda: {"seconds": time.monotonic() - start, "at": datetime.now(timezone.utc).isoformat()})
+        return params, held, fold_scores(held, label), final.result(), took
+
+    with ThreadPoolExecutor(config.parallelism) as pool, ThreadPoolExecutor(max(1, len(config.models))) as side:
+        running = {name: side.submit(inheritable_thread_target(spark)(whole), name, pool) for name in config.models}
+        for name, future in running.items():
+            try:
+                params, held, scores, fitted[name], took = future.result()
+            except Exception as e:  # one bad model must not lose the others
+                log.warning("model %s failed: %s", name, e)
+                failures[name] = str(e)
+                continue
+            if config.oof:
+                part = held.withColumn("model", F.lit(name))
+                oof = part if oof is None else oof.unionByName(part)
+            folds += [(name, i, s) for i, s in enumerate(scores)]
+            meta.append({"model": name, "model_id": f"{experiment}_{name}", "params": params, "feature_names": names,
+                         "trained_at": datetime.fromisoformat(took["at"]), "duration_s": took["seconds"], "cv_scores": scores})
     if not fitted:
         table.unpersist()
         raise RuntimeError(f"no model could be trained: {failures}")
@@ -477,4 +543,4 @@ def run_experiment(
     board = cv_leaderboard(local_table(spark, folds, "model string, fold int, roc_auc double"), facts)
     pipelines = {n: PipelineModel([*prep.stages, m]) for n, m in fitted.items()}
     path = save_experiment(spark, config.artifact_dir, experiment, pipelines, meta) if config.artifact_dir else None
-    return Run(experiment, pipelines, board, oof, test_metrics, path, failures, table, other_metrics)
+    return Run(experiment, pipelines, board, oof, test_metrics, path, failures, table, other_metrics, ledger)
