@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import preprocess as D
 from ..operators.encode import SmartEncoder, TargetEncoder, WOEEncoder
+from ..operators.stages import TargetStage, WOEStage
 from ..plans.rows import local_table
+from ..session import fresh_path
 from .frames import ACCOUNTS, SHIP_CATEGORICAL, SHIP_NUMERIC, SHIPMENTS, accounts, shipments
 from .registry import query, rounded, table
 from .sql import big, edge_ctes, hash_rank, quantile_cte, r
@@ -184,6 +187,23 @@ def woe_transform_numeric(spark, folder):
     return rounded(model.transform(rest).select("id", "price_woe", "balance_woe"))
 
 
+_SAVED = ["segment", "priority", "customer", "price", "balance"]
+
+
+@query("saved_encoders", ["E4", "E5", "E10", "A4", "A5"], f"""WITH {ACCOUNTS}, {_SPAN}, {_woe_sql('fit', ['price', 'balance'], ['segment', 'priority', 'customer'])},
+g AS (SELECT avg(y) AS m FROM fit), te AS (SELECT customer, (sum(y) + any_value(m)) / (count(*) + 1.0) AS encoding FROM fit, g WHERE customer IS NOT NULL GROUP BY customer)
+SELECT id, {', '.join(f"{r(f'coalesce(w_{c}.woe, 0)')} AS {c}_woe" for c in _SAVED)}, {r('coalesce(te.encoding, m)')} AS customer_te
+FROM rest CROSS JOIN g {' '.join(_by_category(c) for c in _SAVED[:3])} {' '.join(_by_bin(c) for c in _SAVED[3:])} LEFT JOIN te ON te.customer = rest.customer""")
+def saved_encoders(spark, folder):
+    """Encoders fitted as stages of a pipeline, saved, loaded and applied to rows that the fit has not seen."""
+    fit, rest = _two_spans(spark, folder)
+    stages = [WOEStage(inputCols=_SAVED, labelCol="y"), TargetStage(inputCols=["customer"], labelCol="y")]
+    path = fresh_path(spark, "encoders")
+    Pipeline(stages=stages).fit(fit).write().save(path)
+    out = PipelineModel.load(path).transform(rest)
+    return rounded(out.select("id", *[f"{c}_woe" for c in _SAVED], "customer_te"))
+
+
 IV_SQL = f"""WITH {SHIPMENTS}, {_woe_sql('ship', SHIP_NUMERIC, SHIP_CATEGORICAL)}, s AS (SELECT feature, sum(iv) AS iv FROM woe GROUP BY feature)
 SELECT feature, {r('iv')} AS iv, CASE WHEN iv < 0.02 THEN 'useless' WHEN iv < 0.1 THEN 'weak' WHEN iv < 0.3 THEN 'medium'
 WHEN iv < 0.5 THEN 'strong' ELSE 'suspicious' END AS strength FROM s"""

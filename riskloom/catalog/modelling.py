@@ -7,6 +7,7 @@ out, that side is compared, and fits whose optimum has a closed form are compare
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import explain as K
@@ -316,6 +317,57 @@ def model_agnostic_contributions(spark, folder):
                             F.col("contributions")[1]["contribution"].alias("price_part")))
 
 
+LIGHT = {"LogisticRegression": {"max_iter": 20}, "RandomForest": {"n_estimators": 10, "max_depth": 5},
+         **{m: {"n_estimators": 5} for m in ("GradientBoosting", "XGBoost", "LightGBM")}}
+
+
+def _customer_orders(spark, folder):
+    """Twelve inputs of each customer with orders; y marks one whose orders are dearer than 140,000 on average."""
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    price = F.col("o_totalprice")
+    facts = o.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.max(price).alias("dearest"), F.min(price).alias("cheapest"), F.stddev_pop(price).alias("spread"),
+        *[F.avg((F.col("o_orderpriority") == p).cast("double")).alias(f"is_{p[0]}") for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")],
+        F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("finished"), F.min(F.month("o_orderdate")).cast("double").alias("month"),
+        (F.avg(price) > 140_000).cast("int").alias("y"))
+    return facts.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").alias("id"), "n", "dearest", "cheapest", "spread", "is_1", "is_2", "is_3", "finished", "month",
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"), "y", F.lit("train").alias("split"))
+
+
+@query("explained_models", ["K3"], """SELECT id, model, 12 AS n_features, 'permutation' AS method, true AS adds_up, true AS as_linear
+FROM (SELECT DISTINCT o_custkey AS id FROM orders JOIN customer ON o_custkey = c_custkey),
+(SELECT unnest(['GradientBoosting', 'LightGBM', 'LogisticRegression', 'RandomForest', 'XGBoost']) AS m) AS t(model)""")
+def explained_models(spark, folder):
+    """Contributions of twelve columns to the margin of five fitted models: with the base they add up to the prediction
+    of every row. Those to a logistic model's log-odds are coefficient x (value - background mean), summed over each column's slots."""
+    rows = _customer_orders(spark, folder)
+    run = J.train(rows, "y", params=LIGHT, keep=["id"])
+    lr = run.classifiers["LogisticRegression"]
+    groups = K.slot_groups(run.pipelines["LogisticRegression"])
+    flat = run.table.select("id", vector_to_array("features").alias("x"))
+    pool = flat.withColumn("h", K.row_hash(["id"], 42)).orderBy("h").limit(20).select("x").collect()
+    centre = K.means([list(p["x"]) for p in pool])
+    coef, at, parts = [float(v) for v in lr.coefficients], 0, []
+    for _, slots in groups:
+        parts.append(sum(((F.col("x")[i] - F.lit(centre[i])) * F.lit(coef[i]) for i in range(at, at + len(slots))), F.lit(0.0)))
+        at += len(slots)
+    linear = flat.select("id", F.array(*parts).alias("linear"))
+    out = None
+    for name in run.classifiers:
+        e = K.explain_model(run, name, ["id"], n_background=20, n_permutations=4, output="margin")
+        raw = run.classifiers[name].transform(run.table).select("id", vector_to_array("rawPrediction")[1].alias("raw"))
+        total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["contribution"])
+        near = lambda a, b: F.abs(a - b) < 1e-9
+        same = F.forall(F.zip_with("contributions", "linear", lambda c, v: F.abs(c["contribution"] - v) < 1e-9), lambda t: t)
+        part = e.join(raw, "id").join(linear, "id").select(
+            "id", F.lit(name).alias("model"), F.size("contributions").alias("n_features"), "method",
+            (near(total, F.col("prediction")) & near(F.col("raw"), F.col("prediction"))).alias("adds_up"),
+            same.alias("as_linear") if name == "LogisticRegression" else F.lit(True).alias("as_linear"))
+        out = part if out is None else out.unionByName(part)
+    return _released(run, lambda _: out)
+
+
 _IMP = "imp AS (SELECT feature, avg(abs(contribution)) AS m, row_number() OVER (ORDER BY avg(abs(contribution)) DESC, feature) AS rank FROM long GROUP BY feature)"
 
 

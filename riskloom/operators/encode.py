@@ -7,6 +7,7 @@ otherwise isolates the hot categories (see ``plans.rows.attach``).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
@@ -69,7 +70,7 @@ class WOEModel:
     bins: DataFrame
     edges: dict[str, list[float]]
     kinds: dict[str, str]
-    table_rows: int
+    sizes: dict[str, int]
     fills: dict[str, str]
 
     def iv(self) -> DataFrame:
@@ -87,39 +88,42 @@ class WOEModel:
     def transform(self, df: DataFrame, suffix: str = "_woe") -> DataFrame:
         """Add one WOE column per fitted feature; an unknown category gives 0."""
         here = [f for f in self.kinds if f in df.columns]
-        small = self.table_rows <= BROADCAST_ROWS
-        rows: dict[str, dict[str, float]] = {f: {} for f in here}
-        if small:
-            for r in self.bins.select("feature", "bin", "woe").collect():
-                if r["feature"] in rows:
-                    rows[r["feature"]][r["bin"]] = r["woe"]
-        out, joins = {}, []
-        for f in here:
+        # a numeric feature has at most n_bins + 1 rows
+        few = [f for f in here if self.kinds[f] == "numeric" or self.sizes[f] <= MAP_LITERAL]
+        rows: dict[str, dict[str, float]] = {f: {} for f in few}
+        if few:
+            for r in self.bins.filter(F.col("feature").isin(few)).select("feature", "bin", "woe").collect():
+                rows[r["feature"]][r["bin"]] = r["woe"]
+        out = {}
+        for f in few:
             if self.kinds[f] == "numeric":
                 edges = self.edges[f]
-                woe = rows[f] if small else self._few(f)
-                values = [woe.get(str(i), 0.0) for i in range(max(len(edges) - 1, 1))]
+                values = [rows[f].get(str(i), 0.0) for i in range(max(len(edges) - 1, 1))]
                 binned = lookup_literal(bin_left_closed(F.col(f), edges[1:-1]), values)
-                out[f + suffix] = F.coalesce(binned, F.lit(woe.get(MISSING, 0.0)))
-            elif small and len(rows[f]) <= MAP_LITERAL:
+                out[f + suffix] = F.coalesce(binned, F.lit(rows[f].get(MISSING, 0.0)))
+            elif not rows[f]:
+                out[f + suffix] = F.lit(0.0)
+            else:
                 pairs = [F.lit(v) for kv in rows[f].items() for v in kv]
                 key = F.coalesce(F.col(f).cast("string"), F.lit(MISSING))
                 out[f + suffix] = F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(0.0))
-            else:
-                joins.append(f)
         df = df.withColumns(out) if out else df
-        for f in joins:
+        for f in [f for f in here if f not in few]:
             table = self.bins.filter(F.col("feature") == f).select(
                 F.col("bin").alias("__k"), F.col("woe").alias(f + suffix), F.col("count").alias("__n"))
-            n = len(rows[f]) if small else self.table_rows
             keyed = df.withColumn("__k", F.coalesce(F.col(f).cast("string"), F.lit(MISSING)))
-            df = attach(keyed, table, ["__k"], table_rows=n, weight="__n").drop("__k")
+            df = attach(keyed, table, ["__k"], table_rows=self.sizes[f], weight="__n").drop("__k")
             df = df.withColumn(f + suffix, F.coalesce(F.col(f + suffix), F.lit(0.0)))
         return df
 
-    def _few(self, feature):
-        # numeric features have at most n_bins + 1 rows
-        return {r["bin"]: r["woe"] for r in self.report(feature).select("bin", "woe").collect()}
+
+def _kept(table: DataFrame, rows: int, name: str) -> tuple[DataFrame, dict[str, int]]:
+    """A fitted table, local if ``rows`` says it is small, else written by feature; and its exact rows per feature."""
+    if rows <= BROADCAST_ROWS:
+        held = table.collect()
+        return local_table(table.sparkSession, held, table.schema), dict(Counter(r["feature"] for r in held))
+    table = settle(table, name, by=("feature",))
+    return table, {r["feature"]: r["count"] for r in table.groupBy("feature").count().collect()}
 
 
 class WOEEncoder:
@@ -213,11 +217,8 @@ class WOEEncoder:
             "feature": F.element_at(names, F.col("i") + 1), "kind": F.element_at(kind, F.col("i") + 1),
         }).select(*BIN_COLUMNS)
         rows = int(sum(sizes[f] * 1.1 + 2 for f in categorical)) + len(spine) + len(numeric)
-        if rows <= BROADCAST_ROWS:
-            table = local_table(spark, table.collect(), table.schema)
-        else:
-            table = settle(table, "woe")
-        return WOEModel(table, edges, kinds, rows, fills)
+        table, held = _kept(table, rows, "woe")
+        return WOEModel(table, edges, kinds, {f: held.get(f, 0) for f in features}, fills)
 
 
 @dataclass
@@ -269,11 +270,8 @@ class TargetEncoder:
             "feature", "category", "n",
             ((F.col("s") + F.lit(mean) * self.smoothing) / (F.col("n") + self.smoothing)).alias("encoding"),
         )
-        if sum(sizes.values()) <= BROADCAST_ROWS:
-            table = local_table(df.sparkSession, table.collect(), table.schema)
-        else:
-            table = settle(table, "target")
-        return TargetModel(table, mean, features, sizes, self.separate)
+        table, held = _kept(table, sum(sizes.values()), "target")
+        return TargetModel(table, mean, features, {f: held.get(f, 0) for f in features}, self.separate)
 
     def fit_transform(
         self, df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], suffix: str = "_te",
@@ -299,13 +297,12 @@ class TargetEncoder:
             F.when(others_n > 0, (others_s + F.lit(mean) * self.smoothing) / (others_n + self.smoothing))
             .otherwise(F.lit(mean)).alias("encoding"),
         )
-        if sum(sizes.values()) * self.n_folds > BROADCAST_ROWS:
-            table = settle(table, "oof")
+        table, held = _kept(table, sum(sizes.values()) * self.n_folds, "oof")
         for f in features:
             side = table.filter(F.col("feature") == f).select(
                 F.col("category").alias("__k"), fold, F.col("encoding").alias(f + suffix), F.col("n").alias("__n"))
             df = attach(df.withColumn("__k", _key(f, self.separate)), side, ["__k", fold],
-                        table_rows=int(sizes[f] * 1.1 + 2) * self.n_folds, weight="__n").drop("__k")
+                        table_rows=held.get(f, 0), weight="__n").drop("__k")
             df = df.withColumn(f + suffix, F.coalesce(F.col(f + suffix), F.lit(mean)))
         return df.drop("__fold")
 

@@ -7,14 +7,19 @@ The result of both is one row per explained row, with an array of
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hashcuts import row_hash
+from ..session import fresh_path
+from .models import FEATURES, Training
+from .preprocess import slot_groups
 
 BACKGROUND_ROWS = 100
 PERMUTATION, EXACT = "permutation", "exact"
@@ -122,6 +127,76 @@ def agnostic(
         _cells(features, [F.col(f"__x{i}") for i in range(d)], [F.col(f"__c{i}") for i in range(d)]).alias("contributions"), F.lit(method).alias("method"))
 
 
+def explain_model(
+    training: Training, name: str, id: Sequence[str], rows: DataFrame | None = None, n_background: int = BACKGROUND_ROWS,
+    n_permutations: int = 16, seed: int = 42, method: str = PERMUTATION, output: str = "probability", background_split: str = "train",
+    chunks: int = 1,
+) -> DataFrame:
+    """Shapley contributions of each source column to what a fitted model says of a row; as from ``agnostic``.
+
+    A player is a source column: all slots that it has in the assembled vector, a number's one or a category's
+    many, come from the row or from a background row together. ``rows`` are assembled rows, of the training's own
+    table if not given; the background are at most ``n_background`` of its ``background_split`` rows. ``value`` is the standardised number, or for a
+    category the place of its level among the column's slots, null if it has none. ``output`` is "probability" or "margin",
+    the raw prediction, which for a logistic model is its log-odds.
+
+    One row unfolds into sets x background vectors, which the model scores: n_permutations (d + 1) sets at most for d
+    columns, see ``coalition_weights``. They are built, scored and summed within the task; a shuffle carries one partial row per
+    explained row. ``chunks`` explains so many hash parts of the rows one after the other, each written before the next.
+    """
+    if name not in training.classifiers:
+        raise ValueError(f"no fitted model {name!r}; fitted: {sorted(training.classifiers)}")
+    if output not in ("probability", "margin"):
+        raise ValueError(f"unknown output {output!r}")
+    model = training.classifiers[name].copy()
+    groups = slot_groups(training.pipelines[name])
+    d = len(groups)
+    player = [g for g, (_, slots) in enumerate(groups) for _ in slots]
+    weights = coalition_weights(d, n_permutations, seed, method)
+    spark = training.table.sparkSession
+    x = vector_to_array(FEATURES)
+    pool = training.table.filter(F.col(training.split) == background_split).select(row_hash(id, seed).alias("h"), x.alias("x")).orderBy("h").limit(n_background)
+    base = [list(r["x"]) for r in pool.select("x").collect()]
+    masks = [{"take": list(m), "w": w, "none": not any(m), "all": all(m)} for m, w in weights.items()]
+    # one literal each, however many slots there are
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    source = literal(player, "array<int>")
+    all_masks = literal(masks, "array<struct<take: array<boolean>, w: array<double>, none: boolean, all: boolean>>")
+    all_base = literal(base, "array<array<double>>")
+    score = vector_to_array("probability" if output == "probability" else "rawPrediction")[1]
+
+    def value(x: Column, at: int, width: int, numeric: bool) -> Column:
+        if numeric:
+            return x[at]
+        place = F.array_position(F.slice(x, at + 1, width), F.lit(1.0))
+        return F.when(place > 0, place.cast("double") - 1)
+
+    def of(part: DataFrame) -> DataFrame:
+        kept = part.select(*id, x.alias("__x"))
+        mixed = kept.withColumn("__m", F.explode(all_masks)).withColumn("__b", F.explode(all_base)).withColumn("__p", source).withColumn(
+            FEATURES, array_to_vector(F.transform("__x", lambda v, i: F.when(F.col("__m.take")[F.col("__p")[i]], v).otherwise(F.col("__b")[i]))))
+        scored = model.transform(mixed.drop("__b", "__p")).withColumn("__s", score)
+        s = F.col("__s")
+        summed = scored.groupBy(*id).agg(
+            F.first("__x").alias("__x"), *[(F.sum(s * F.col("__m.w")[i]) / len(base)).alias(f"__c{i}") for i in range(d)],
+            F.avg(F.when(F.col("__m.none"), s)).alias("base_value"), F.avg(F.when(F.col("__m.all"), s)).alias("prediction"))
+        at, values = 0, []
+        for _, slots in groups:
+            values.append(value(F.col("__x"), at, len(slots), slots[0].startswith("num__")))
+            at += len(slots)
+        return summed.select(
+            *id, "prediction", "base_value", _cells([c for c, _ in groups], values, [F.col(f"__c{i}") for i in range(d)]).alias("contributions"),
+            F.lit(method).alias("method"))
+
+    table = training.table if rows is None else rows
+    if chunks <= 1:
+        return of(table)
+    path = fresh_path(spark, "explained")
+    for i in range(chunks):
+        of(table.filter(F.pmod(F.xxhash64(*id), F.lit(chunks)) == i)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def unfold(explained: DataFrame, id: Sequence[str]) -> DataFrame:
     """(id, feature, value, contribution), one row per feature."""
     return explained.select(*id, F.explode("contributions").alias("e")).select(*id, "e.*")

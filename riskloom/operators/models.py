@@ -211,6 +211,7 @@ class Training:
     failures: dict[str, str]
     seconds: dict[str, float]
     table: DataFrame
+    split: str = "split"
 
     def leaderboard(self, split: str = "test") -> DataFrame:
         return leaderboard(self.metrics, split)
@@ -275,7 +276,7 @@ def train(
         table.unpersist()
         raise
     pipelines = {n: PipelineModel([*prep.stages, m]) for n, m in fitted.items()}
-    return Training(pipelines, fitted, feature_names(prep), scored, metrics, failures, seconds, table)
+    return Training(pipelines, fitted, feature_names(prep), scored, metrics, failures, seconds, table, split)
 
 
 def out_of_fold(

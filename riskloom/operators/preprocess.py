@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +16,11 @@ from .profile import value_counts
 from .roles import roles
 
 MISSING = "__MISSING__"
+# Up to so many levels have a slot each; a column of more is hashed into a fixed number of slots.
 MAX_LEVELS = 10_000
+HASH_SLOTS = 4_096
+# Five standard errors of the distinct-count sketch: nearer to the limit the levels are counted.
+SKETCH_ERROR = 0.05
 
 
 def fill_missing(col: Column, value: str = MISSING) -> Column:
@@ -103,28 +107,35 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _check_levels(df: DataFrame, cols: Sequence[str], limit: int) -> None:
-    """Refuse a column whose levels would all have to go through the driver."""
+def wide_columns(df: DataFrame, cols: Sequence[str], limit: int = MAX_LEVELS) -> list[str]:
+    """Columns of more than ``limit`` distinct values: by a sketch where that leaves no doubt, else counted."""
+    wide = []
     for part in chunked(list(cols)):
-        row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(part)]).first()
-        wide = [c for i, c in enumerate(part) if row[f"d{i}"] > limit]
-        if wide:
-            raise ValueError(f"columns of over {limit} levels: {wide}; encode them first, see SmartEncoder")
+        row = df.agg(*[F.approx_count_distinct(c, SKETCH_ERROR).alias(f"d{i}") for i, c in enumerate(part)]).first()
+        for i, c in enumerate(part):
+            n, doubt = row[f"d{i}"], 5 * SKETCH_ERROR
+            if n * (1 - doubt) > limit:
+                wide.append(c)
+            elif n * (1 + doubt) >= limit and df.select(c).filter(F.col(c).isNotNull()).distinct().limit(limit + 1).count() > limit:
+                wide.append(c)
+    return wide
 
 
 def fit_preprocessor(
     df: DataFrame, numeric: Sequence[str] | None = None, categorical: Sequence[str] | None = None,
-    exclude: Sequence[str] = (), out: str = "features", max_levels: int = MAX_LEVELS,
+    exclude: Sequence[str] = (), out: str = "features", max_levels: int = MAX_LEVELS, hash_slots: int = HASH_SLOTS,
 ) -> PipelineModel:
     """Numeric block then categorical block as one vector.
 
     Filling and scaling are written into a SQL stage, so that the fitted pipeline
-    saves, loads and scores with built-in expressions only.
+    saves, loads and scores with built-in expressions only. A column of more than ``max_levels``
+    levels gets ``hash_slots`` slots, in one of which each level counts; its levels stay where they are.
     """
     found = roles(df, exclude)
     numeric = found.numeric if numeric is None else list(numeric)
     categorical = found.categorical if categorical is None else list(categorical)
-    _check_levels(df, categorical, max_levels)
+    wide = wide_columns(df, categorical, max_levels)
+    narrow = [c for c in categorical if c not in wide]
     state = fit_numeric(df, numeric)
     tops = modes(df, categorical)
     exprs = []
@@ -138,31 +149,40 @@ def fit_preprocessor(
         exprs.append(f"coalesce(cast({_quote(c)} as string), {_text(tops[c] or MISSING)}) AS {_quote('cat__' + c)}")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
     inputs = [f"num__{c}" for c in numeric]
-    if categorical:
-        names = [f"cat__{c}" for c in categorical]
+    if narrow:
         # "keep" adds one slot for unknown levels; dropping the last leaves it all zero
         stages += [
-            StringIndexer(inputCols=names, outputCols=[f"ix__{c}" for c in categorical],
+            StringIndexer(inputCols=[f"cat__{c}" for c in narrow], outputCols=[f"ix__{c}" for c in narrow],
                           handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=[f"ix__{c}" for c in categorical], outputCols=[f"oh__{c}" for c in categorical],
-                          dropLast=True),
+            OneHotEncoder(inputCols=[f"ix__{c}" for c in narrow], outputCols=[f"oh__{c}" for c in narrow], dropLast=True),
         ]
-        inputs += [f"oh__{c}" for c in categorical]
+    stages += [FeatureHasher(inputCols=[f"cat__{c}"], outputCol=f"fh__{c}", numFeatures=hash_slots) for c in wide]
+    inputs += [f"fh__{c}" if c in wide else f"oh__{c}" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep"))
     return Pipeline(stages=stages).fit(df)
 
 
-def feature_names(model: PipelineModel) -> list[str]:
-    """Names of the assembled vector: ``num__x`` and ``cat__x_level``."""
-    from pyspark.ml.feature import StringIndexerModel
-
+def slot_groups(model: PipelineModel) -> list[tuple[str, list[str]]]:
+    """Slots of the assembled vector in order, by source column: ``num__x``, ``cat__x_level`` or, hashed, ``cat__x#slot``."""
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     indexer = next((s for s in model.stages if isinstance(s, StringIndexerModel)), None)
-    names = [n for n in assembler.getInputCols() if n.startswith("num__")]
-    if indexer is not None:
-        for col, labels in zip(indexer.getInputCols(), indexer.labelsArray):
-            names += [f"{col}_{v}" for v in labels]
-    return names
+    levels = dict(zip(indexer.getInputCols(), indexer.labelsArray)) if indexer is not None else {}
+    slots = {s.getInputCols()[0]: s.getNumFeatures() for s in model.stages if isinstance(s, FeatureHasher)}
+    groups = []
+    for name in assembler.getInputCols():
+        kind, column = name.split("__", 1)
+        if kind == "num":
+            groups.append((column, [name]))
+        elif kind == "oh":
+            groups.append((column, [f"cat__{column}_{v}" for v in levels[f"cat__{column}"]]))
+        else:
+            groups.append((column, [f"cat__{column}#{i}" for i in range(slots[f"cat__{column}"])]))
+    return groups
+
+
+def feature_names(model: PipelineModel) -> list[str]:
+    """Names of the assembled vector's slots."""
+    return [name for _, names in slot_groups(model) for name in names]
 
 
 def plain_name(name: str) -> str:

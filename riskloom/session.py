@@ -49,8 +49,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df, name: str = "state"):
-    """Cut lineage through a written table, which survives the loss of executors."""
+def settle(df, name: str = "state", by: tuple[str, ...] = ()):
+    """Cut lineage through a written table, which survives the loss of executors. ``by`` are columns that readers filter on."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -167,3 +167,116 @@ def test_coalition_weights():
         for j in range(d):
             assert sum(v[j] for v in w.values()) == pytest.approx(0)
         assert [sum(v) for m, v in w.items() if all(m)] == pytest.approx([1])
+
+
+def test_a_column_of_fifty_thousand_levels_trains(spark):
+    rows = spark.range(100_000).select(
+        "id", (F.col("id") % 50_000).cast("string").alias("wide"), (F.col("id") % 7).cast("double").alias("x"),
+        ((F.col("id") % 50_000) % 2).cast("int").alias("y"), F.lit("train").alias("split"))
+    run = models.train(rows, "y", models=("LogisticRegression",), params={"LogisticRegression": {"max_iter": 20}}, keep=["id"])
+    assert len(run.names) == 1 + preprocess.HASH_SLOTS and run.names[1] == "cat__wide#0"
+    assert run.metrics.first()["roc_auc"] > 0.55  # far beyond what the other column gives
+    run.release()
+
+
+def test_killed_run_takes_up_what_is_done(planted, tmp_path, monkeypatch):
+    """The first run loses a fold and the final fit; the second fits these two alone, and the board is that of a run in one go."""
+    import dataclasses
+
+    spec, fits, broken = models.MODELS["LogisticRegression"], [], [True]
+
+    def build(p, rows, label, seed):
+        fits.append(rows)
+        if broken[0] and len(fits) in (1, 3):
+            raise RuntimeError("killed")
+        return spec.build(p, rows, label, seed)
+
+    monkeypatch.setitem(models.MODELS, "LogisticRegression", dataclasses.replace(spec, build=build))
+    config = models.RunConfig(models=("LogisticRegression",), k=3, tuning=False, params={"LogisticRegression": {"max_iter": 5}}, artifact_dir=str(tmp_path), parallelism=1)
+    go = lambda **kw: models.run_experiment(planted, "y", ["id"], config, planted, **kw)
+    with pytest.raises(RuntimeError):
+        go(experiment_id="one")
+    assert len(fits) == 4
+    broken[0] = False
+    run = go(experiment_id="one")
+    assert len(fits) == 6
+    drop = ("training_time_s", "model_id")
+    assert run.leaderboard.drop(*drop).collect() == go().leaderboard.drop(*drop).collect()
+    other = dataclasses.replace(config, k=2)
+    with pytest.raises(ValueError, match="another run"):
+        models.run_experiment(planted, "y", ["id"], other, planted, experiment_id="one")
+
+
+def test_failed_search_has_a_row(planted):
+    folded = stratified_folds(planted, "y", ["id"], 2)
+    _, table = models.assemble(folded, "y", folded, ["id", "fold"])
+    found = models.tune_multiple(table, "y", ["LogisticRegression", "nonsense"], n_trials=1, k=2, fixed={"max_iter": 3})
+    rows = {r["model"]: (r["status"], r["error"] is None) for r in found.status(planted.sparkSession).collect()}
+    assert rows == {"LogisticRegression": ("searched", True), "nonsense": ("failed", False)}
+    table.unpersist()
+
+
+@pytest.mark.parametrize("params, depth", [
+    ({"max_depth": 6}, 6), ({"max_depth": -1, "num_leaves": 31}, 5), ({"max_depth": 10, "num_leaves": 15}, 4), ({"max_depth": 3, "num_leaves": 127}, 3)])
+def test_leaves_bound_the_depth(params, depth):
+    assert models.boosted(params, 100, "y", 1).getMaxDepth() == depth
+
+
+def test_boosting_parameters_reach_the_estimator():
+    for name, want in {"XGBoost": (200, 6, 0.8, "0.8", 1), "LightGBM": (200, 5, 1.0, "all", 20)}.items():
+        e = models.boosted(models.MODELS[name].live, 100, "y", 1)
+        assert (e.getMaxIter(), e.getMaxDepth(), e.getSubsamplingRate(), e.getFeatureSubsetStrategy(), e.getMinInstancesPerNode()) == want
+
+
+@pytest.mark.parametrize("kind", ["WOEStage", "TargetStage", "SmartStage"])
+def test_encoders_are_stages_of_a_saved_pipeline(spark, planted, tmp_path, kind, monkeypatch):
+    """Encoder, assembler and classifier: fitted, saved, loaded, and raw rows score alike, also with tables that are not held locally."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from riskloom.operators import stages
+
+    raw = planted.withColumn("x", F.coalesce(F.nanvl("x", F.lit(None)), F.lit(0.0))).withColumn("wide", (F.col("id") % 60).cast("string"))
+    inputs = ["c", "wide"] if kind != "WOEStage" else ["c", "x", "wide"]
+    stage = getattr(stages, kind)(inputCols=inputs, labelCol="y")
+    fitted = stage.fit(raw)
+    pipe = Pipeline(stages=[stage, VectorAssembler(inputCols=fitted.outputs(), outputCol="features"), LogisticRegression(labelCol="y", maxIter=5)])
+    pipe.write().save(str(tmp_path / "plan"))
+    model = Pipeline.load(str(tmp_path / "plan")).fit(raw)
+    model.write().save(str(tmp_path / "model"))
+    odd = raw.select("id", "x", F.when(F.col("id") % 3 > 0, F.col("c")).alias("c"), F.when(F.col("id") % 5 > 0, F.concat("wide", F.lit("z"))).otherwise(F.col("wide")).alias("wide"))
+    want = score_table(model, odd, ["id"]).orderBy("id").collect()
+    assert score_table(load_model_of(tmp_path), odd, ["id"]).orderBy("id").collect() == want
+    monkeypatch.setattr(stages, "BROADCAST_ROWS", 1)
+    assert score_table(PipelineModel.load(str(tmp_path / "model")), odd, ["id"]).orderBy("id").collect() == want
+    again = PipelineModel.load(str(tmp_path / "model")).stages[0]
+    assert again.uid == model.stages[0].uid and again.getInputCols() == inputs and again.getLabelCol() == "y"
+
+
+def load_model_of(folder):
+    import shutil
+
+    shutil.copytree(folder / "model", folder / "run" / "models" / "one")
+    return load_model(str(folder / "run"), "one")
+
+
+@pytest.mark.parametrize("name", ["LogisticRegression", "RandomForest", "LightGBM"])
+def test_fitted_models_are_explained_by_source_column(trained, name):
+    """Two numbers and one category: three players, whole slots at a time; chunks change nothing."""
+    few = trained.table.filter("id < 30")
+    e = explain.explain_model(trained, name, ["id"], few, n_background=10, n_permutations=6)
+    rows = {r["id"]: r for r in e.collect()}
+    assert len(rows) == 30
+    scores = {r["id"]: r["score"] for r in trained.scored.filter(F.col("model") == name).filter("id < 30").collect()}
+    for i, r in rows.items():
+        assert [c["feature"] for c in r["contributions"]] == ["x", "noise", "c"]
+        assert r["prediction"] == pytest.approx(scores[i])
+        assert r["base_value"] + sum(c["contribution"] for c in r["contributions"]) == pytest.approx(scores[i])
+        assert r["contributions"][2]["value"] in (0.0, 1.0, 2.0)
+    assert len({round(r["base_value"], 12) for r in rows.values()}) == 1
+    parts = explain.explain_model(trained, name, ["id"], few, n_background=10, n_permutations=6, chunks=3).collect()
+    assert {r["id"]: r["contributions"] for r in parts} == {i: r["contributions"] for i, r in rows.items()}
+    assert explain.global_importance(e).first()["feature"] == "x"
+    with pytest.raises(ValueError):
+        explain.explain_model(trained, "nonsense", ["id"])

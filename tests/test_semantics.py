@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.operators import drift, evaluate, preprocess, profile, target, timeframe
@@ -156,10 +157,17 @@ def test_all_null_column(spark):
     assert model.transform(df).count() == 20
 
 
-def test_level_limit(spark):
-    df = spark.range(300).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError):
-        preprocess.fit_preprocessor(df, [], ["c"], max_levels=100)
+@pytest.mark.parametrize("limit, slots", [(299, 64), (300, 300), (301, 300)])
+def test_wide_columns_are_hashed(spark, limit, slots):
+    """The limit holds to the level, whatever a sketch says; hashed slots have names and count each row once."""
+    df = spark.range(600).select((F.col("id") % 300).cast("string").alias("c"), F.lit("x").alias("few"), F.lit(1.0).alias("n"))
+    model = preprocess.fit_preprocessor(df, ["n"], ["c", "few"], max_levels=limit, hash_slots=64)
+    names = preprocess.feature_names(model)
+    assert len(names) == 1 + slots + 1 and names[0] == "num__n" and names[-1] == "cat__few_x"
+    assert names[1].startswith("cat__c#" if slots == 64 else "cat__c_")
+    assert [(c, len(n)) for c, n in preprocess.slot_groups(model)] == [("n", 1), ("c", slots), ("few", 1)]
+    ones = model.transform(df).select(F.aggregate(F.slice(vector_to_array("features"), 2, slots), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    assert ones.distinct().collect() == [(1.0,)]
 
 
 # -- evaluation -------------------------------------------------------------------
