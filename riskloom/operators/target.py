@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from fractions import Fraction
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.hashcuts import assign_blocks, hash_cuts
+from ..plans.hashcuts import Ranks, assign_blocks, hash_cuts
 from ..plans.quantiles import exact_quantiles, medians
 
 SPLITS = ("train", "test", "oot", "etrc")
@@ -126,7 +125,7 @@ def stratified_split(
     if abs(float(sum(shares)) - 1.0) > 1e-8:
         raise ValueError("split sizes must sum to 1")
     bounds = [sum(shares[: i + 1]) for i in range(3)]
-    cuts = hash_cuts(df, keys, seed, F.col(target), lambda n: [math.floor(n * b + Fraction(1, 2)) for b in bounds], **kw)
+    cuts = hash_cuts(df, keys, seed, F.col(target), Ranks(bounds, half_up=True), **kw)
     names = F.array(*[F.lit(s) for s in SPLITS])
     return assign_blocks(df, keys, seed, F.col(target), cuts, out).withColumn(out, F.element_at(names, F.col(out) + 1))
 
@@ -135,13 +134,13 @@ def stratified_folds(
     df: DataFrame, target: str, keys: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold", **kw
 ) -> DataFrame:
     """Fold 0..k-1 per row; within each class fold sizes differ by at most one."""
-    cuts = hash_cuts(df, keys, seed, F.col(target), lambda n: [n * i // k for i in range(1, k)], **kw)
+    cuts = hash_cuts(df, keys, seed, F.col(target), Ranks([Fraction(i, k) for i in range(1, k)]), **kw)
     return assign_blocks(df, keys, seed, F.col(target), cuts, out)
 
 
 def folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold", **kw) -> DataFrame:
     """Plain folds, without strata."""
-    cuts = hash_cuts(df, keys, seed, F.lit("all"), lambda n: [n * i // k for i in range(1, k)], **kw)
+    cuts = hash_cuts(df, keys, seed, F.lit("all"), Ranks([Fraction(i, k) for i in range(1, k)]), **kw)
     return assign_blocks(df, keys, seed, F.lit("all"), cuts, out)
 
 

@@ -1,5 +1,7 @@
 """The plan fragments: exact whatever the sketches say, and on the paths that large data takes."""
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskloom.plans.hashcuts import assign_blocks, hash_cuts
+from riskloom.operators.target import stratified_folds
+from riskloom.plans.hashcuts import DRIVER_STRATA, CutTable, Ranks, assign_blocks, hash_cuts
 from riskloom.plans.ordered import plan_order, row_numbers, running_totals
 from riskloom.plans.quantiles import exact_quantiles
 from riskloom.plans.rows import attach
@@ -96,6 +99,30 @@ def test_hash_cuts_have_exact_sizes(scores, rows_per_task):
         assert sizes == {1: n // 3, 2: n // 2 - n // 3, 3: n - n // 2}
 
 
+@pytest.mark.parametrize("rows_per_task", [3, 1_000_000])
+def test_cuts_by_table_are_those_of_the_driver(spark, rows_per_task):
+    """A hot stratum, many small ones, null; every row falls into the same block either way."""
+    df = spark.range(4_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 != 1, (F.col("id") % 37).cast("string")).alias("g"))
+    ranks = Ranks([Fraction(0), Fraction(1, 3), Fraction(1, 3), Fraction(7, 10), Fraction(1)], half_up=True)
+    of = lambda n: assign_blocks(
+        df, ["id"], 9, F.col("g"), hash_cuts(df, ["id"], 9, F.col("g"), ranks, rows_per_task=rows_per_task, driver_strata=n), "b")
+    assert isinstance(hash_cuts(df, ["id"], 9, F.col("g"), ranks, driver_strata=38), CutTable)
+    few, many = of(64), of(10)
+    assert few.columns == many.columns and sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+
+
+def test_a_hundred_thousand_strata(spark, monkeypatch):
+    """Fold sizes differ by one at most in each stratum, and no row of a stratum comes to the driver."""
+    df = spark.range(500_000).select("id", (F.col("id") % 100_000).alias("g"))
+    big = []
+    real = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: big.append(rows := real(self)) or rows)
+    out = stratified_folds(df, "g", ["id"], 5)
+    assert max(map(len, big)) <= DRIVER_STRATA * 16**3 + 1 and len(big) == 1
+    sizes = out.groupBy("g", "fold").count()
+    assert sizes.count() == 500_000 and sizes.filter("count <> 1").isEmpty()
+
+
 def test_attach_beyond_the_broadcast_limit(spark):
     """A hot key, many cold ones, an unknown one and nulls, joined by shuffle."""
     rows = [("hot" if i % 3 == 0 else f"k{i % 400}", i) for i in range(3_000)] + [(None, -1), ("unseen", -2), ("", -3)]
