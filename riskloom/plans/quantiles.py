@@ -1,9 +1,9 @@
 """Exact linear-interpolated quantiles that never hold a column in one task.
 
-A column with few distinct values is counted by value and read off its running total.
+A column with few distinct values or few rows is counted by value and read off its running total.
 Any other column is first narrowed: each wanted rank is bracketed between two sketch
 quantiles, the rows below the bracket are counted exactly, and the bracket shrinks by
-the sketch accuracy at each pass until its distinct values fit the limit. Every pass
+the sketch accuracy at each pass until the rows within it fit the limit. Every pass
 is an aggregate with map-side combine; only scalars reach the driver.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .rows import chunked, local_table
 
 MAX_DISTINCT = 20_000
+# Rows of a range that are counted by value without asking how many values they have.
+ROWS_PER_DISTINCT = 50
 SKETCH_ACCURACY = 10_000
 MAX_PASSES = 6
 
@@ -43,7 +45,7 @@ class _Bracket:
     stuck: bool = False
 
     def done(self, limit: int) -> bool:
-        return self.stuck or self.low == self.high or self.distinct * 1.1 <= limit
+        return self.stuck or self.low == self.high or self.distinct * 1.1 <= limit or self.inside <= ROWS_PER_DISTINCT * limit
 
 
 def _as_fraction(p) -> Fraction:
@@ -115,10 +117,10 @@ def _narrow(df, brackets, accuracy):
     columns = list(dict.fromkeys(b.column for b in brackets))
     for part in chunked(columns):
         bounds = {c: sorted({x for b in brackets if b.column == c for x in proposed[id(b)]}) for c in part}
-        cells = F.array(*[F.struct(F.lit(i).alias("c"), _code(F.col(c), bounds[c]).alias("code"), F.col(c).alias("v")) for i, c in enumerate(part)])
-        counted = df.select(F.explode(cells).alias("e")).select("e.*").filter(F.col("v").isNotNull()).groupBy("c", "code").agg(
-            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d"))
-        found = {(part[r["c"]], r["code"]): (r["n"], r["d"]) for r in counted.collect()}  # at most 2 x bounds + 1 a column
+        cells = F.array(*[
+            F.struct(F.lit(i).alias("c"), F.when(F.col(c).isNotNull(), _code(F.col(c), bounds[c])).alias("code")) for i, c in enumerate(part)])
+        counted = df.select(F.explode(cells).alias("e")).select("e.*").filter(F.col("code").isNotNull()).groupBy("c", "code").count()
+        found = {(part[r["c"]], r["code"]): r["count"] for r in counted.collect()}  # at most 2 x bounds + 1 a column
         for b in brackets:
             if b.column not in bounds:
                 continue
@@ -126,11 +128,10 @@ def _narrow(df, brackets, accuracy):
             at = bounds[b.column]
             first, last = 2 * at.index(lo) + 1, 2 * at.index(hi) + 1
             own = {k: v for (c, k), v in found.items() if c == b.column}
-            below = sum(v[0] for k, v in own.items() if k < first)
-            n = sum(v[0] for k, v in own.items() if first <= k <= last)
-            d = sum(v[1] for k, v in own.items() if first <= k <= last)
+            below = sum(v for k, v in own.items() if k < first)
+            n = sum(v for k, v in own.items() if first <= k <= last)
             if below <= b.ranks[0] and b.ranks[-1] < below + n and (lo, hi) != (b.low, b.high):
-                b.low, b.high, b.below, b.inside, b.distinct = lo, hi, below, n, d
+                b.low, b.high, b.below, b.inside, b.distinct = lo, hi, below, n, min(b.distinct, n)
             else:
                 b.stuck = True
 
