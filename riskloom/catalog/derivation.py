@@ -280,14 +280,16 @@ def calendar_parts(spark, folder):
     return _orders(spark, folder).select("o_orderkey", *[c.alias(n) for n, c in X.calendar_parts("o_orderdate", "1995-01-01", SHOP_CALENDAR).items()])
 
 
-_SPINE = f"""{SUPPLIER_MONTHS}, spine AS (SELECT s_suppkey AS supplier, s_nationkey, CAST(unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH)) AS DATE) AS period FROM supplier),
+_SPINE = f"""{SUPPLIER_MONTHS}, spine AS (SELECT s_suppkey AS supplier, s_nationkey, CAST(unnest(range(lo, hi + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS DATE) AS period
+FROM supplier, (SELECT min(period) AS lo, max(period) AS hi FROM months)),
 laid AS (SELECT s.supplier, s.s_nationkey, s.period, coalesce(m.units, 0) AS units FROM spine s LEFT JOIN months m ON m.supplier = s.supplier AND m.period = s.period)"""
 
 
 def _laid(spark, folder):
     sup = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
-    spine = W.entity_spine(sup, "1995-01-01", "2001-12-01")
-    return W.on_spine(spine, supplier_months(spark, folder), ["supplier", "period"])
+    months = supplier_months(spark, folder)
+    spine = W.entity_spine(sup, *W.period_bounds(months, "period"))
+    return W.on_spine(spine, months, ["supplier", "period"])
 
 
 @query("entity_period_spine", ["F21"], f"WITH {_SPINE} SELECT supplier, s_nationkey, period, {r('units')} AS units FROM laid")

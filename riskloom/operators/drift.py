@@ -7,6 +7,7 @@ the shuffle carries one row per task, feature and group.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
@@ -19,7 +20,7 @@ from ..functions.bands import psi_status
 from ..functions.bins import bin_left_closed, distinct_edges, uniform_edges
 from ..plans.quantiles import as_number, exact_quantiles
 from ..plans.rows import chunked, local_table
-from ..session import fresh_path
+from ..session import claim, fresh_path
 from .roles import roles
 
 # The floor of a share, and the alert limits.
@@ -287,8 +288,8 @@ def psi_categorical(expected: DataFrame, actual: DataFrame, column: str) -> Data
 class DriftMonitor:
     """A frozen baseline with a history table of checks.
 
-    History and baselines live in parquet folders below ``path``, so they outlive the session and
-    any number of jobs can append. Each baseline has a version and a reset starts a new one; a
+    History and baselines live in parquet folders below ``path``, one for each check and version, so they outlive
+    the session and any number of jobs can write at the same time. Each baseline has a version and a reset starts a new one; a
     monitor opened on the path goes on with the newest. Outside tests name a shared path.
     """
 
@@ -332,12 +333,13 @@ class DriftMonitor:
         rows = psi_against(self.baseline, current).select(
             F.lit(self.version).alias("baseline_version"), stamp.alias("checked_at"), "feature", "psi", "status")
         done = local_table(self.spark, rows.collect(), self.HISTORY)  # one row per feature
-        done.coalesce(1).write.mode("append").parquet(self.path)
+        done.coalesce(1).write.parquet(f"{self.path}/check={uuid.uuid4().hex}")
         return done
 
     def history(self) -> DataFrame:
         """All checks against the current baseline; none yet gives no rows."""
-        return self._read(self.path, self.HISTORY).filter(F.col("baseline_version") == self.version)
+        rows = self._read(self.path, f"{self.HISTORY}, check string").drop("check")
+        return rows.filter(F.col("baseline_version") == self.version)
 
     def trend(self, feature: str | None = None) -> DataFrame:
         rows = self.history()
@@ -360,7 +362,13 @@ class DriftMonitor:
         return top is not None and top >= self.alert_threshold
 
     def reset_baseline(self, baseline: Baseline) -> None:
-        """Store a baseline under the next version; earlier checks no longer count."""
-        self.version, self.baseline = self._newest()[0] + 1, baseline
-        rows = baseline.table(self.spark).select(F.lit(self.version).alias("version"), "*")
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/baselines")
+        """Store a baseline under the next version; earlier checks no longer count.
+
+        A version is claimed by a file that only one monitor can create, so baselines reset at the same time
+        get versions of their own, and the highest stored one counts for monitors opened later.
+        """
+        version = self._newest()[0] + 1
+        while not claim(self.spark, f"{self.root}/versions/{version}"):
+            version += 1
+        self.version, self.baseline = version, baseline
+        baseline.table(self.spark).coalesce(1).write.parquet(f"{self.root}/baselines/version={version}")

@@ -60,6 +60,13 @@ def checked(df: DataFrame, label: str, score: str | None = None) -> DataFrame:
     return df.withColumns(out)
 
 
+def scored_only(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows that metrics can use, and per group how many were left out, see ``unscored``."""
+    lost = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    usable = ~lost & F.coalesce(F.col(label).cast("double").isin(0.0, 1.0), F.lit(False))
+    return df.filter(usable), unscored(df, label, score, by)
+
+
 def unscored(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per group, and how many of them no metric can use: null or NaN scores, labels other than 0 and 1."""
     lost = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))

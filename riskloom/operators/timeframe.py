@@ -18,6 +18,7 @@ from ..functions.derive import z_score
 from ..plans.ordered import ROWS_PER_BUCKET, plan_order, row_numbers
 from ..plans.quantiles import as_number, exact_quantiles
 from ..plans.rows import chunked
+from .roles import is_numeric
 
 _BLOCK, _HALO, _POS = "__block", "__halo", "__rn"
 
@@ -122,10 +123,18 @@ def entity_spine(entities: DataFrame, start: str, end: str, step: str = "1 month
 
 
 def on_spine(spine: DataFrame, facts: DataFrame, keys: Sequence[str], fill: float = 0.0) -> DataFrame:
-    """Facts laid on the spine; a period without facts has ``fill``."""
-    values = [c for c in facts.columns if c not in keys]
-    out = spine.join(facts, list(keys), "left")
-    return out.fillna(fill, values)
+    """Facts laid on the spine; in a period without facts numbers are ``fill``. A null among the facts stays null."""
+    out = spine.join(facts.withColumn("__here", F.lit(True)), list(keys), "left")
+    filled = {
+        f.name: F.when(F.col("__here").isNull(), F.lit(fill).cast(f.dataType)).otherwise(F.col(f.name))
+        for f in facts.schema.fields if f.name not in keys and is_numeric(f.dataType)}
+    return out.withColumns(filled).drop("__here")
+
+
+def period_bounds(facts: DataFrame, period: str) -> tuple:
+    """First and last period of the facts, for a spine that leaves none of them out."""
+    row = facts.agg(F.min(period).alias("a"), F.max(period).alias("b")).first()
+    return row["a"], row["b"]
 
 
 def percentile_position(df: DataFrame, col: str, id: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

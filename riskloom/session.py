@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -45,6 +47,50 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file(spark, path)
+    return fs.exists(at)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there; of several callers, one is told that it did.
+
+    Shared file systems create without overwriting in one step; for a mounted folder the system's own exclusive
+    creation does, as Hadoop's local file system looks first and creates then.
+    """
+    at, fs = _file(spark, path)
+    fs.mkdirs(at.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    at, fs = _file(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _file(spark, path)
+    fs.delete(at, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -344,3 +344,43 @@ def test_quantile_bins_match_qcut(spark):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "id int, v double")
     got = [r["d"] for r in timeframe.quantile_bins(df, "v", "d").orderBy("id").collect()]
     assert got == list(pd.qcut(v, 10, labels=False, duplicates="drop"))
+
+
+def test_nulls_among_the_facts_stay(spark):
+    """A period without facts is filled; a null that was measured is not."""
+    spine = timeframe.entity_spine(spark.createDataFrame([(1,)], "k int"), "2024-01-01", "2024-03-01")
+    facts = spark.createDataFrame([(1, "2024-01-01", None, "a"), (1, "2024-02-01", 4.0, None)], "k int, period string, v double, s string")
+    facts = facts.withColumn("period", F.col("period").cast("date"))
+    got = timeframe.on_spine(spine, facts, ["k", "period"]).orderBy("period").select("v", "s").collect()
+    assert [tuple(r) for r in got] == [(None, "a"), (4.0, None), (0.0, None)]
+    assert [str(d) for d in timeframe.period_bounds(facts, "period")] == ["2024-01-01", "2024-02-01"]
+
+
+def test_resets_at_the_same_time_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = [drift.fit_baseline(spark.range(50 + 10 * i).select(F.col("id").cast("double").alias("value"))) for i in range(4)]
+    first = drift.DriftMonitor(spark, base[0], path=str(tmp_path))
+    others = [drift.DriftMonitor(spark, path=str(tmp_path)) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda mb: mb[0].reset_baseline(mb[1]), zip(others, base)))
+    assert first.version == 1 and sorted(m.version for m in others) == [2, 3, 4, 5]
+    last = max(others, key=lambda m: m.version)
+    again = drift.DriftMonitor(spark, path=str(tmp_path))
+    assert again.version == 5 and again.baseline == last.baseline
+
+
+def test_rows_without_score_can_be_left_out(spark):
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.2), ("a", 1, None), ("b", 0, float("nan")), ("b", None, 0.5), ("b", 1, 0.4)], "g string, y int, s double")
+    kept, left = evaluate.scored_only(df, "y", "s", ["g"])
+    assert evaluate.evaluate(kept, "y", "s").first()["roc_auc"] == 1.0
+    assert {r["g"]: (r["n"], r["n_unscored"], r["n_bad_labels"]) for r in left.collect()} == {"a": (3, 1, 0), "b": (3, 1, 1)}
+
+
+@pytest.mark.parametrize("text, is_date", [
+    ("2024-02-29", True), ("2023-02-29", False), ("2024-02-29 10:11", True), ("2024-02-29T10:11:12.123+02:00", True), ("2024-02-29 10:11:12", True),
+    ("2024/12/01", True), ("31/12/2024", True), ("12/31/2024", True), ("31-12-2024", True), ("20241231", True), ("20241331", False), ("2024-12", True),
+    ("7 Jan 2024", True), ("7 January 2024", True), ("Jan 7, 2024", True), ("7 Janus 2024", False), ("12345", False), ("2024-02-29 and more", False), ("", False)])
+def test_dates_by_shape(spark, text, is_date):
+    got = spark.createDataFrame([(text,)], "t string").select(profile.looks_like_date(F.col("t"))).first()[0]
+    assert got is is_date
