@@ -4,6 +4,11 @@ Documents of one shingle set become one node. Bands of minima put nodes in bucke
 pairs first pass a comparison of packed low bits of all minima, corrected for chance agreement,
 then of the whole shingle sets. Components grow in rounds, so that a bucket of n copies costs
 about n comparisons: a pair already known to be connected is never formed.
+
+Nodes compared with the same hub H are known by their differences from it. With d(X) the shingles of H that
+X lacks, and s the differences that A and B have in common, |A ∩ B| = |H| - d(A) - d(B) + s. So a link needs
+s >= (f(A) + f(B)) / (100 + percent) - |H|, where f(X) = (100 + percent) d(X) + percent |X|: most such pairs
+need many differences in common, and those that have them are found by their rarest ones.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.session import settle
@@ -131,11 +137,11 @@ def texts_of(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFram
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """a, b, shared |A ∩ B| of full sets, and linked: whether 100 |A ∩ B| >= percent |A ∪ B|."""
+    """a, b, shared |A ∩ B| of full sets, linked: whether 100 |A ∩ B| >= percent |A ∪ B|, and delta, the shingles that one of both has."""
 
     def make():
         def of(batch):
-            keep, inner, last, sa = [], [], None, None
+            keep, inner, apart, last, sa = [], [], [], None, None
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 if x != last:
                     last, sa = x, shingle_set(x, shingle_words)
@@ -143,12 +149,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 inner.append(both)
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both))
-            return {"a": batch.column("a"), "b": batch.column("b"), "shared": pa.array(inner, pa.int64()), "linked": pa.array(keep, pa.bool_())}
+                apart.append(np.setxor1d(sa, sb, assume_unique=True).view(np.int64))
+            return {"a": batch.column("a"), "b": batch.column("b"), "shared": pa.array(inner, pa.int64()), "linked": pa.array(keep, pa.bool_()),
+                    "delta": lists(np.concatenate(apart), [len(x) for x in apart], pa.int64())}
 
         return of
 
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return per_batch(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), "a binary, b binary, shared long, linked boolean", make, rows=64)
+    return per_batch(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"),
+                     "a binary, b binary, shared long, linked boolean, delta array<long>", make, rows=64)
 
 
 def own_shingles(nodes: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -171,15 +180,41 @@ def own_shingles(nodes: DataFrame, texts: DataFrame, shingle_words: int) -> Data
     return counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 
-def may_link(percent: int):
-    """Condition that a node with its hub, size, shingles shared with the hub and rest may link with another (p_...).
+def links_by_differences(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one hub and different components, from node, hub, size, in_hub, hub_size and delta.
 
-    Neither shares more of the hub than the smaller share of it, nor more beyond the hub than the smaller
-    rest, which is what is neither the hub's nor its own alone. Nodes of different hubs may always.
+    Any link needs at least k(A) common differences, reckoned with the least f that a partner outside A's
+    component can have: one that links with the hub has f <= 100 |H|. Two sets that share k items share one of
+    the first |delta| - k + 1 of each, in any order of items; taken by rarity, that prefix holds few common ones, and where two meet early in neither they share too few.
+    A difference that one node alone has pairs it with none. Each pair is checked on the whole differences.
     """
-    best = F.least("in_hub", "p_in_hub") + F.least("rest", "p_rest")
-    known = F.coalesce(F.col("hub") == F.col("p_hub"), F.lit(False))
-    return ~known | (100 * best >= percent * (F.col("size") + F.col("p_size") - best))
+    whole = 100 + percent
+    known = nodes.filter("hub IS NOT NULL").withColumn("f", whole * (F.col("hub_size") - F.col("in_hub")) + percent * F.col("size"))
+    known = known.withColumn("apart", F.col("f") > 100 * F.col("hub_size"))
+    least = known.groupBy("hub").agg(F.min("f").alias("least"), F.min(F.when(F.col("apart"), F.col("f"))).alias("least_apart"))
+    known = known.join(least.filter("least_apart IS NOT NULL"), "hub").withColumn(
+        "k", F.expr(f"greatest(1L, (f + if(apart, least, least_apart) + {whole - 1}) div {whole} - hub_size)"))
+    known = known.filter(F.size("delta") >= F.col("k")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = settle(known.select("node", "hub", "hub_size", "f", "k", "comp", "delta"), "known")
+    items = known.select("hub", "node", F.explode("delta").alias("x"))
+    common = items.groupBy("hub", "x").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = W.partitionBy("node")
+    ranked = items.join(common, ["hub", "x"]).withColumns({
+        "place": F.row_number().over(mine.orderBy("n", "x")), "shared": F.count("*").over(mine)})
+    side = known.select("node", "comp", "f", "hub_size", F.size("delta").alias("m"), (F.size("delta") - F.col("k") + 1).alias("prefix"))
+    # the differences that no other node has come first in the order; left is how many come from here on
+    prefix = ranked.join(side, "node").withColumn("place", F.col("place") + F.col("m") - F.col("shared")).filter("place <= prefix").select(
+        "hub", "x", "node", "comp", "f", "hub_size", (F.col("m") - F.col("place") + 1).alias("left"))
+    prefix = settle(prefix, "prefix")
+    other = prefix.select("hub", "x", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "f", "left")])
+    # at the first item that two nodes share, what is left of either bounds what they share
+    enough = whole * F.least("left", "p_left") >= F.col("f") + F.col("p_f") - whole * F.col("hub_size")
+    met = prefix.join(other, ["hub", "x"]).filter((F.col("node") < F.col("p_node")) & (F.col("comp") != F.col("p_comp")) & enough)
+    pairs = settle(met.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct(), "pairs")
+    of = lambda x: known.select(F.col("node").alias(x), F.col("f").alias(f"f{x}"), F.col("delta").alias(f"d{x}"), F.col("hub_size").alias(f"h{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    need = F.col("fa") + F.col("fb") - whole * F.col("ha")
+    return both.filter(whole * F.size(F.array_intersect("da", "db")) >= need).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,9 +274,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     labels = settle(components(hooked.filter("linked")), "labels")
 
     # Rounds over buckets that still hold several components. First, nodes too full of shingles of their own
-    # are left out, and the others told by what they share with their hub. If the pairs across components are
-    # no more than PAIRS_PER_NODE times the nodes they are looked at in one round, otherwise for a growing
-    # share of each bucket's nodes against all, until all have been. A pair is formed only if it may link.
+    # are left out, and those of one hub are linked by their differences from it. The rest are pairs of different
+    # hubs. If the pairs across components are no more than PAIRS_PER_NODE times the nodes they are looked at in one round,
+    # otherwise for a growing share of each bucket's nodes against all, until all have been.
     most = PAIRS_PER_NODE * nodes.count()
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     told, low, pivots = None, 0, FIRST_PIVOTS
@@ -255,25 +290,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             break
         entries = settle(at.join(open_keys.select("key"), "key").drop("comp"), "entries")  # a bucket of one component stays one
         if told is None:
-            here = entries.select("node").distinct().join(hooked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "shared"), "node", "left")
+            here = entries.select("node").distinct().join(hooked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "shared", "delta"), "node", "left")
             here = settle(here, "here")
             own = own_shingles(here.select("node").union(here.filter("hub IS NOT NULL").select("hub")).distinct(), texts, shingle_words)
-            facts = here.join(nodes.select("node", F.col("n_shingles").alias("size")), "node").join(own, "node", "left").withColumn(
-                "own", F.coalesce("own", F.lit(0))).filter(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
-            told = settle(facts.join(nodes.select("node", "bands"), "node").select(
-                "node", "bands", "hub", "size", F.col("shared").alias("in_hub"), (F.col("size") - F.col("shared") - F.col("own")).alias("rest")), "told")
-            entries = settle(entries.join(told.select("node"), "node", "left_semi"), "entries")
+            sized = nodes.select("node", F.col("n_shingles").alias("size"))
+            facts = here.join(sized, "node").join(own, "node", "left").filter(
+                100 * (F.col("size") - F.coalesce("own", F.lit(0))) >= percent * F.col("size"))
+            facts = facts.join(sized.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub", "left")
+            facts = settle(facts.select("node", "hub", "size", "hub_size", F.col("shared").alias("in_hub"), "delta"), "told")
+            links = settle(links_by_differences(facts, labels, percent), "links")
+            if not links.isEmpty():
+                labels = _merged(labels, links)
+            told = facts.select("node", "hub").join(nodes.select("node", "bands"), "node")
+            entries = settle(entries.join(facts.select("node"), "node", "left_semi"), "entries")
             continue
         if cross <= most:
             pivots = 1 << 62
         at = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(told, "node")
         chosen = at.filter((place >= low / F.col("n")) & (place < pivots / F.col("n"))).select(
-            *[F.col(c).alias(f"p_{c}") for c in ("key", "node", "bands", "comp", "hub", "size", "in_hub", "rest")])
-        # A pair is formed in the first band that it shares.
+            *[F.col(c).alias(f"p_{c}") for c in ("key", "node", "bands", "comp", "hub")])
+        # A pair is formed in the first band that it shares, if neither hub nor differences have told of it.
         first = F.element_at(F.filter(F.zip_with("bands", "p_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-        met = at.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("comp") != F.col("p_comp")) & may_link(percent) & (first == F.col("key")))
+        new = ~F.coalesce((F.col("hub") == F.col("p_hub")) | (F.col("hub") == F.col("p_node")) | (F.col("node") == F.col("p_hub")), F.lit(False))
+        met = at.join(chosen, (F.col("key") == F.col("p_key")) & (F.col("comp") != F.col("p_comp")) & new & (first == F.col("key")))
         pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        links = settle(confirm(likely(pairs, nodes, percent), texts, shingle_words, percent).filter("linked"), "links")
+        links = settle(confirm(likely(pairs, nodes, percent), texts, shingle_words, percent).filter("linked").select("a", "b"), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
         low, pivots = pivots, pivots * 2
