@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..operators import explain as K
 from ..operators import models as J
 from ..operators.target import stratified_folds, stratified_split
+from ..operators.workflow import TARGET, run_workflow
 from ..session import fresh_path, settle
 from ..sources.artifacts import load_metadata, load_model, score_table
 from .frames import ACCOUNTS, accounts
+from .profiling import _checks_sql, messy
 from .registry import query, rounded, table
 from .sql import big, hash_rank, r
 
@@ -368,6 +370,27 @@ def explained_models(spark, folder):
     return _released(run, lambda _: out)
 
 
+MESSY_CHECKS = _checks_sql()
+_NO_FEATURE = "is_constant OR is_date_like OR is_identifier OR is_near_zero_variance"
+_CANDIDATES = "FROM checks WHERE \"column\" NOT IN ('status', 'row_id')"
+
+
+@query("whole_run", ["B6", "B7", "B8", "C1", "C4", "H4", "J5"], MESSY_CHECKS + f""", acc AS (SELECT row_id AS id, CASE WHEN status = 'F' THEN 1 ELSE 0 END AS y FROM messy), {_SPLIT}
+SELECT m AS model, split, {big('count(*)')} AS n, {big('sum(y)')} AS n_positive, {r('avg(y)')} AS positive_share,
+{big(f'(SELECT count(*) {_CANDIDATES} AND ({_NO_FEATURE}))')} AS n_dropped, {big(f'(SELECT count(*) {_CANDIDATES} AND NOT ({_NO_FEATURE}))')} AS n_features,
+true AS curve_is_whole FROM splits, (SELECT unnest(['LogisticRegression', 'RandomForest']) AS m) GROUP BY m, split""")
+def whole_run(spark, folder):
+    """One call from raw orders to scored splits; each ROC curve runs from no row to all rows of its split."""
+    out = run_workflow(messy(spark, folder), "status", ["row_id"], positive_class="F", models=("LogisticRegression", "RandomForest"), params=LIGHT)
+    shares = out.balance_by_split.filter("class = '1'").select("split", F.col("fraction").alias("positive_share"))
+    curve = out.training.roc().groupBy("model", "split").agg(
+        ((F.min("tpr") == 0) & (F.min("fpr") == 0) & (F.max("tpr") == 1) & (F.max("fpr") == 1)).alias("curve_is_whole"))
+    scored = out.training.scored.groupBy("model", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(TARGET).cast("bigint")).alias("n_positive"))
+    facts = scored.join(shares, "split").join(curve, ["model", "split"]).withColumns({
+        "n_dropped": F.lit(len(out.dropped)).cast("bigint"), "n_features": F.lit(out.features.count()).cast("bigint")})
+    return _released(out, lambda _: rounded(facts))
+
+
 _IMP = "imp AS (SELECT feature, avg(abs(contribution)) AS m, row_number() OVER (ORDER BY avg(abs(contribution)) DESC, feature) AS rank FROM long GROUP BY feature)"
 
 

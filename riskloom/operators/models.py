@@ -28,7 +28,7 @@ from ..plans.rows import local_table
 from ..session import fresh_path, shared_dir
 from ..sources.artifacts import save_experiment, with_score
 from ..sources.ledger import Ledger
-from .evaluate import cv_leaderboard, evaluate, leaderboard
+from .evaluate import cv_leaderboard, evaluate, leaderboard, roc_curve
 from .preprocess import feature_names, fit_preprocessor, plain_name
 from .target import stratified_folds
 
@@ -212,6 +212,11 @@ class Training:
     seconds: dict[str, float]
     table: DataFrame
     split: str = "split"
+    label: str = "y"
+
+    def roc(self) -> DataFrame:
+        """Points of the ROC curve of each model on each split."""
+        return roc_curve(self.scored, self.label, "score", ["model", self.split])
 
     def leaderboard(self, split: str = "test") -> DataFrame:
         return leaderboard(self.metrics, split)
@@ -276,7 +281,7 @@ def train(
         table.unpersist()
         raise
     pipelines = {n: PipelineModel([*prep.stages, m]) for n, m in fitted.items()}
-    return Training(pipelines, fitted, feature_names(prep), scored, metrics, failures, seconds, table, split)
+    return Training(pipelines, fitted, feature_names(prep), scored, metrics, failures, seconds, table, split, label)
 
 
 def out_of_fold(

@@ -280,3 +280,21 @@ def test_fitted_models_are_explained_by_source_column(trained, name):
     assert explain.global_importance(e).first()["feature"] == "x"
     with pytest.raises(ValueError):
         explain.explain_model(trained, "nonsense", ["id"])
+
+
+def test_raw_table_to_board(planted):
+    from riskloom.operators.workflow import run_workflow
+
+    raw = planted.select("id", "x", "noise", "c", F.lit("same").alias("constant"), F.concat(F.lit("r"), "id").alias("row_code"),
+                         F.when(F.col("y") == 1, "bad").otherwise("good").alias("outcome"))
+    out = run_workflow(raw, "outcome", ["id"], positive_class="bad", models=("LogisticRegression",), params={"LogisticRegression": {"max_iter": 10}})
+    assert out.dropped == {"constant": "constant", "row_code": "identifier"}
+    assert {r["class"]: r["n"] for r in out.balance.collect()} == {str(r["y"]): r["count"] for r in planted.groupBy("y").count().collect()}
+    assert {r["column"] for r in out.features.collect()} == {"x", "noise", "c"}
+    assert out.summary.first()["n_features"] == 3 and out.summary.first()["n_rows"] == planted.count()
+    assert out.training.leaderboard().first()["roc_auc"] > 0.8
+    ends = out.training.roc().groupBy("split").agg(F.min("fpr").alias("a"), F.max("tpr").alias("b")).collect()
+    assert {(r["a"], r["b"]) for r in ends} == {(0.0, 1.0)} and len(ends) == 4
+    out.release()
+    with pytest.raises(ValueError, match="not found"):
+        run_workflow(raw, "nothing", ["id"])
