@@ -78,8 +78,10 @@ GATE = "|".join(GATE_WORDS)
 # The same for a whole text before it is cut: plain search is much cheaper than a pattern.
 TEXT_WORDS = (
     "license", "licence", "copyright", "warrant", "permission", "redistribut", "rights", "software", "unencumbered", "advertising", "neither",
-    "hope", "cc0", "creative", "cc by", "cc-by",
+    "hope", "cc0", "creative",
 )
+# Two words of a normal form may stand apart by anything but letters and digits.
+TEXT_PATTERN = "cc[^a-z0-9]+by"
 # Ends of sentences: closing punctuation before white space, a blank line, or a line end before a capitalised word.
 ENDS = r"[.!?;]+\s+|\n\s*\n|\n(?=[A-Z][a-z])"
 
@@ -101,7 +103,7 @@ def identifiers(text: Column) -> Column:
     gated = F.filter(F.transform(F.split(text, ENDS), normal_form), lambda s: s.rlike(GATE))
     known = F.filter(F.transform(gated, _identifier), lambda x: x.isNotNull())
     lower = F.lower(text)
-    hit = reduce(lambda x, y: x | y, [F.contains(lower, F.lit(w)) for w in TEXT_WORDS])
+    hit = reduce(lambda x, y: x | y, [F.contains(lower, F.lit(w)) for w in TEXT_WORDS]) | (F.contains(lower, F.lit("cc")) & lower.rlike(TEXT_PATTERN))
     return F.when(hit, known).otherwise(F.array().cast("array<string>"))
 
 

@@ -404,11 +404,12 @@ AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY
 def test_licences(spark, odd, empty):
     rows = [(1, MIT), (2, "Prose here. Licensed under the Apache License, Version 2.0.\nMore prose."), (3, "All rights reserved."),
             (4, "This work is licensed under the GNU General Public License, version 3. Released under the MIT License."), (5, "no license to speak of"),
-            (6, "Licensed under CC BY-NC 4.0."), (7, "Licensed under CC BY 4.0.")]
+            (6, "Licensed under CC BY-NC 4.0."), (7, "Licensed under CC BY 4.0."), (8, "Available under CC\nBY 4.0."), (9, "Available under CC_BY 4.0.")]
     got = {r.doc_id: r for r in licenses.recognise(docs(spark, rows)).collect()}
     assert got[1].licenses == "MIT" and got[1].sentences == "copyright_line mit_grant mit_notice asis_caps mit_liability"
     assert (got[2].licenses, got[3].status, got[4].licenses, got[5].status) == ("Apache-2.0", "unknown", "GPL-3.0 MIT", "none")
     assert (got[6].licenses, got[7].licenses) == ("CC-BY-NC-4.0", "CC-BY-4.0")
+    assert got[8].licenses == got[9].licenses == "CC-BY-4.0"  # as in the SQL, which has no gate
     assert licenses.recognise(odd).filter("status = 'none' AND n_sentences = 0 AND licenses = ''").count() == len(ODD)
     assert licenses.recognise(empty).count() == 0
 
