@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -91,8 +92,27 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+_OWNERS: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """Tables settled within go to one folder below the shared one, which is removed at the end.
+
+    Write what is to stay inside the block: a result that still reads settled tables ends with them. The
+    innermost open folder takes what any thread settles.
+    """
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _OWNERS.append(path)
+    try:
+        yield path
+    finally:
+        _OWNERS.remove(path)
+        remove(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_OWNERS[-1] if _OWNERS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df, name: str = "state", by: tuple[str, ...] = ()):

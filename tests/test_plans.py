@@ -145,3 +145,19 @@ def test_cut_levels(spark):
         df = spark.createDataFrame([(x,) for x in xs], "x double").crossJoin(table)
         got = {r["x"]: r["b"] for r in _cuts_at_or_below(df, F.col("x"), table, "b").collect()}
         assert got == {x: 0 if x is None else sum(c <= x for c in cuts) for x in xs}
+
+
+def test_settled_tables_go_with_their_run(spark, tmp_path):
+    from riskloom.session import exists, run_folder, settle
+
+    with run_folder(spark) as outer:
+        a = settle(spark.range(3), "a")
+        with run_folder(spark) as inner:
+            settle(spark.range(4), "b").write.parquet(f"{tmp_path}/kept")
+            assert exists(spark, inner)
+        assert not exists(spark, inner) and a.count() == 3
+    assert not exists(spark, outer) and spark.read.parquet(f"{tmp_path}/kept").count() == 4
+    with pytest.raises(ZeroDivisionError), run_folder(spark) as broken:
+        settle(spark.range(2))
+        raise ZeroDivisionError
+    assert not exists(spark, broken)
