@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import langid, minhash, packing, pii, tiling
 from riskloom.llm.common import read
-from riskloom.session import fresh_path, settle
+from riskloom.session import fresh_path, remove, run_folder, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,10 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """Apply the stages to documents; each result is written to the shared folder and read again.
+
+    What a stage has settled goes with it, and a stage's result once the next one is written; the last one stays.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with run_folder(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -110,8 +110,9 @@ class SuffixAutomaton:
 
 
 def letters(text: str) -> list[str]:
-    """Lower-case words of letters."""
-    return _WORDS.findall(text.lower())
+    """Lower-case words of letters; none where superscripts, fractions and the like are all that looks like one."""
+    found = _WORDS.findall(text.lower())
+    return found if any(c.isalpha() for word in found for c in word) else []
 
 
 def packer(parsers) -> Callable[[str], int]:

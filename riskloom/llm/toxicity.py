@@ -3,7 +3,8 @@
 A word enters as the sum of its own vector and the mean vector of its character n-grams. Two
 gated recurrent layers read each window of words in either direction, attention pools their
 states, and a text scores as its highest-scoring window. Training is plain numpy on the driver,
-over a bounded sample; scoring covers all overlapping windows of every text.
+over a bounded sample. Scoring covers every word of every text by windows of WINDOW words that start
+every STRIDE words, so neighbours overlap by eight words and a longer phrase may be cut by either.
 """
 
 from __future__ import annotations

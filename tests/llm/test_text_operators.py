@@ -266,6 +266,8 @@ def test_languages_of_odd_input(spark, odd, empty):
     out = langid.labelled(docs(spark, ODD), samples)
     assert out.columns == SCHEMA_NAMES + ["lang_pred", "score"] and out.filter("score BETWEEN 0 AND 1").count() == len(ODD)
     assert langid.fit(empty) == {} and {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+    marks = langid.identify(docs(spark, [(1, "² ½ ①"), (2, "hello ²")]), samples).collect()
+    assert [r.lang_pred for r in sorted(marks)] == ["und", "a"]
     tie = langid.identify(docs(spark, [(1, "zz")]), samples).first()
     assert tie.lang_pred == "a" and tie.score == pytest.approx(0.5)
 
