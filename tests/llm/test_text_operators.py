@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,8 @@ from compare import differences
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from riskloom.llm import langid, licenses, minhash, packing, pages, pii, quality, queries, tiling, toxicity, viterbi
 from riskloom.llm.common import shingle_set, words
 
@@ -448,7 +451,7 @@ def test_tiles_against_all_starts(x, y):
     assert got == _tile_slowly(x, y, 3)
 
 
-def test_reordered_passages_are_caught(spark, odd, empty, monkeypatch):
+def test_reordered_passages_are_caught(spark, odd, empty):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 4000, n))
     a, b, c = text(12), text(12), text(12)
@@ -456,12 +459,39 @@ def test_reordered_passages_are_caught(spark, odd, empty, monkeypatch):
     rows = [(1, f"{text(50)} {c.upper()}, {text(5)} {a} {text(30)} {b}"), (2, text(200)), (3, f"{text(9)} {a} {text(40)}"), (4, "a tiny item here"), (5, None), (6, "")]
     want = {(1, 1, 3), (4, 3, 1)}
     assert {(r.doc_id, r.item_id, r.n_tiles) for r in tiling.contaminated(docs(spark, rows), bench).collect()} == want
-    monkeypatch.setattr(tiling.blocks, "__defaults__", (50,))  # many blocks
-    assert {(r.doc_id, r.item_id, r.n_tiles) for r in tiling.contaminated(docs(spark, rows), bench).collect()} == want
+    assert {(r.doc_id, r.item_id, r.n_tiles) for r in tiling.contaminated(docs(spark, rows), bench, broadcast_chars=0).collect()} == want
+    assert tiling.contaminated(odd, bench, broadcast_chars=0).count() == 0
     assert tiling.contaminated(odd, bench).count() == 0 and tiling.contaminated(empty, bench).count() == 0
     assert tiling.contaminated(odd, bench.limit(0)).count() == 0
 
 
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=60), st.integers(0, 30))
+@settings(max_examples=100, deadline=None)
+def test_tiles_are_left_out_only_where_too_few_tokens_can_be_covered(x, y, need):
+    x, y = np.array(x, np.uint64), np.array(y, np.uint64)
+    whole, some = tiling.tile(x, y, 3), tiling.tile(x, y, 3, need)
+    assert some == whole or (some == [] and sum(t[2] for t in whole) < need)
+
+
+def test_repetitive_texts_are_tiled_quickly():
+    page, item = np.arange(20_000, dtype=np.uint64) % 7, np.arange(1_000, dtype=np.uint64) % 7
+    pieces = np.concatenate([np.r_[item[:n], 100 + n] for n in range(6, 200)]).astype(np.uint64)
+    begin = time.perf_counter()
+    assert tiling.tile(item, page) == [(0, 0, 1000)]
+    assert sum(t[2] for t in tiling.tile(item, pieces)) > 900
+    assert time.perf_counter() - begin < 2
+
+
+def test_join_of_seeds_finds_what_the_tasks_find(spark, folder):
+    given, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    again = given.select("doc_id", "text").unionByName(given.filter("doc_id % 3 = 0").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text"))
+    bench = bench.select("item_id", "text").unionByName(spark.createDataFrame([(None, "the of and"), (None, "the"), (-1, "")], "item_id long, text string"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    near = rows(tiling.contaminated(again, bench))
+    assert near and near == rows(tiling.contaminated(again, bench, broadcast_chars=0))
+    assert rows(tiling.contaminated(again, bench, coverage=0.2)) == rows(tiling.contaminated(again, bench, coverage=0.2, broadcast_chars=0))
+
+
 def test_planted_passages(spark, folder, duck):
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     whole = {(d, i) for d, t in duck.execute("SELECT doc_id, text FROM documents").fetchall() for i, b in items if b in t}
