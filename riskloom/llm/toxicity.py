@@ -4,7 +4,8 @@ A word enters as the sum of its own vector and the mean vector of its character
 gated recurrent layers read each window of words in either direction, attention pools their
 states, and a text scores as its highest-scoring window. Training is plain numpy on the driver,
 over a bounded sample. Scoring covers every word of every text by windows of WINDOW words that start
-every STRIDE words, so neighbours overlap by eight words and a longer phrase may be cut by either.
+every STRIDE words: each word but a text's first and last lies in two windows, and a phrase of up to
+WINDOW - STRIDE + 1 words lies whole in one.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import per_batch, windows
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 16, 8
 BUCKETS = 1 << 15  # of hashed character n-grams
 GRAMS = (3, 4, 5)
@@ -287,22 +288,22 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """Model of docs (doc_id, text) and labels (doc_id, toxic), toxic being 0 or 1; None if a class has no text with a word.
 
-    The labels of each class are ordered by a hash of the id; the first 2 x ``rows`` of them are looked up, so that at
-    most 4 x ``rows`` ids are broadcast, and at most ``rows`` texts of up to SAMPLE_CHARS characters are learned from.
+    Of each class, the labels with the smallest hashes of their ids are taken by a top-k: 2 x ``rows`` are looked up, so
+    that at most 4 x ``rows`` ids are broadcast, and at most ``rows`` texts of up to SAMPLE_CHARS characters come to the
+    driver, however often an id repeats among the documents.
     """
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    asked = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * rows)
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).distinct()
+    least = [known.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(2 * rows) for k in (0, 1)]
     usable = docs.select("doc_id", "text").filter(F.col("text").rlike(r"\w") & (F.length("text") <= SAMPLE_CHARS))
-    found = usable.join(F.broadcast(asked), "doc_id").orderBy("toxic", "r", "text")
+    found = settle(usable.join(F.broadcast(least[0].unionByName(least[1])), "doc_id"), "labelled")
     texts: list[tuple[list[str], int]] = []
-    taken = [0, 0]
-    for row in found.toLocalIterator():
-        words = tokens(row.text)
-        if words and taken[row.toxic] < rows:
-            taken[row.toxic] += 1
-            texts.append((words, row.toxic))
-    return train(texts) if all(taken) else None
+    for k in (0, 1):
+        taken = found.filter(F.col("toxic") == k).orderBy("h", "doc_id", "text").select("text").limit(rows).collect()
+        if not taken:
+            return None
+        texts += [(tokens(row.text), k) for row in taken]
+    return train(texts)
 
 
 def scorer(m: Model):

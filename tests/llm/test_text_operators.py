@@ -553,6 +553,47 @@ def test_gradients_by_differences():
             x[at] = old
 
 
+def _logit_slowly(m, many):
+    """One window, one gate at a time."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, x = toxicity.HIDDEN, [m.inputs([w])[0] @ m.wx + m.bx for w in many]
+    states = np.zeros((len(many), 2 * h))
+    for d, order in enumerate((range(len(many)), range(len(many) - 1, -1, -1))):
+        now, u = np.zeros(h), m.uh[d]
+        for t in order:
+            part = x[t][3 * h * d : 3 * h * (d + 1)]
+            z, r = sig(part[:h] + now @ u[:, :h]), sig(part[h : 2 * h] + now @ u[:, h : 2 * h])
+            now = (1 - z) * now + z * np.tanh(part[2 * h :] + (r * now) @ u[:, 2 * h :])
+            states[t, d * h : (d + 1) * h] = now
+    weight = np.exp([np.tanh(s @ m.wa) @ m.va for s in states])
+    return (weight / weight.sum()) @ states @ m.wo + m.bo[0]
+
+
+def test_scores_are_those_of_the_best_window(spark):
+    rng = np.random.default_rng(1)
+    model = toxicity.train([(f"the garden is green today vile fool {i}".split(), 1) for i in range(40)] + [(f"the garden is green today {i}".split(), 0) for i in range(40)])
+    vocab = ["garden", "green", "vile", "fool", "stranger", "the"]
+    texts = [list(rng.choice(vocab, n)) for n in (1, 2, 31, 32, 33, 48, 49, 100, 145)]
+    for text, got in zip(texts, toxicity.scorer(model)(texts)):
+        begin = {*range(0, max(len(text) - toxicity.WINDOW, 0) + 1, toxicity.STRIDE), max(len(text) - toxicity.WINDOW, 0)}
+        assert got == pytest.approx(max(_logit_slowly(model, text[b : b + toxicity.WINDOW]) for b in begin), rel=1e-3, abs=1e-3)
+    phrase = toxicity.WINDOW - toxicity.STRIDE + 1
+    for n in range(40, 90):  # every phrase lies whole in a window
+        assert all(any(s <= i and i + phrase <= s + toxicity.WINDOW for s in toxicity.starts(n)) for i in range(n - phrase + 1))
+
+
+def test_learning_sample_is_bounded_by_class(spark, monkeypatch):
+    """Repeated ids and labels neither widen the sample nor change it."""
+    given = docs(spark, [(i, f"word{i} text") for i in range(60)])
+    labels = spark.range(60).selectExpr("id AS doc_id", "id % 2 AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts: seen.append(texts))
+    toxicity.fit(given, labels, rows=10)
+    toxicity.fit(given, labels.unionByName(labels), rows=10)
+    toxicity.fit(given.unionByName(given).unionByName(given), labels, rows=10)
+    assert [Counter(y for _, y in s) for s in seen] == [{0: 10, 1: 10}] * 3 and seen[0] == seen[1]
+
+
 def test_toxicity_on_held_out(spark, duck):
     """Held-out rows of the middle table; the small one has too few."""
     folder = "/root/testdata/sf0.1"
