@@ -1,18 +1,22 @@
 """Running totals and row numbers over a global order, without a one-task window.
 
-The order is cut into buckets at sketch quantiles. A bucket is a pure function of the
-row's own values, so a retried task puts each row where it was. Totals per bucket are
-tiny; their running sum is the offset added to a window that runs inside a bucket. The
-sketch only decides balance: results are exact whatever it answers.
+The order is cut into buckets at values of the column's own type: sketch quantiles of numbers
+and times, sampled splitters of all else. Cuts are compared as the rows themselves are, so no
+two values share a place that a sort would tell apart. A bucket is a pure function of the row's
+own values, so a retried task puts each row where it was. Totals per bucket are tiny; their
+running sum is the offset added to a window that runs inside a bucket. Sketch and sample only
+decide balance: results are exact whatever they answer.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rows import join_null_safe, local_table
 
@@ -20,6 +24,9 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_SPLITS = 4_096
 FAN = 16
 GROUPS_ON_DRIVER = 10_000
+TIE_CUTS = 1_000  # of one heavy value, at most
+SAMPLED = 20  # values drawn for each splitter of a column that has no sketch
+SPLITTER_CHARS = 1_000  # a longer splitter is cut off, which only moves it
 
 BUCKET = "__bucket"
 SUB = "__sub"
@@ -27,17 +34,6 @@ _CUTS = "__cuts"
 _HEAVY = "__heavy"
 
 
-def sortable(col: Column, dtype: str) -> Column:
-    """A double that never reverses the order of ``col``."""
-    if dtype == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if dtype == "date":
-        return F.unix_date(col).cast("double")
-    return col.cast("double")
-
-
 @dataclass
 class Order:
     """How each ``by`` group of a table is cut along ``column``."""
@@ -51,7 +47,7 @@ class Order:
     cuts: DataFrame | None = None
     sub_cuts: DataFrame | None = None
     tiebreak: str | None = None
-    literal_cuts: dict[str, list[float]] | None = None
+    literal_cuts: dict[str, list] | None = None
     _key: str = field(default="__pos")
 
     def with_totals(self, df: DataFrame) -> DataFrame:
@@ -63,21 +59,20 @@ class Order:
     def with_bucket(self, df: DataFrame) -> DataFrame:
         if self.cuts is None:
             return df.withColumns({BUCKET: F.lit(0), SUB: F.lit(0)})
-        dtypes = dict(df.dtypes)
-        out = df.withColumn(self._key, sortable(F.col(self.column), dtypes[self.column]))
+        out = df.withColumn(self._key, F.col(self.column))
         if self.by:
             out = join_null_safe(out, self.cuts, self.by, "left", True)
         else:
-            out = out.withColumns({n: F.array(*[F.lit(c) for c in v]) for n, v in self.literal_cuts.items()})
-        out = _cuts_at_or_below(out, F.col(self._key), self.cuts, BUCKET)
+            kinds = {f.name: f.dataType for f in self.cuts.schema.fields}
+            out = out.withColumns({n: F.array(*[F.lit(c) for c in v]).cast(kinds[n]) for n, v in self.literal_cuts.items()})
+        out = _place(out, F.col(self._key), self.cuts, BUCKET)
         if self.sub_cuts is None:
             return out.withColumn(SUB, F.lit(0)).drop(self._key)
         out = join_null_safe(out, self.sub_cuts, [*self.by, self._key], "left", True)
-        tie = sortable(F.col(self.tiebreak), dtypes[self.tiebreak])
-        return _cuts_at_or_below(out, tie, self.sub_cuts, SUB).drop(self._key)
+        return _place(out, F.col(self.tiebreak), self.sub_cuts, SUB).drop(self._key)
 
 
-def _levels(cuts: Sequence[float]) -> list[list[float]]:
+def _levels(cuts: Sequence) -> list[list]:
     """The sorted cuts, and every FAN-th of them, and so on; the coarsest first."""
     levels = [list(cuts)]
     while len(levels[0]) > FAN:
@@ -89,20 +84,44 @@ def _level_columns(depth: int) -> list[str]:
     return [f"{_CUTS}{i}" for i in range(depth)]
 
 
-def _padded(cuts: Sequence[float], depth: int) -> list[list[float]]:
+def _padded(cuts: Sequence, depth: int) -> list[list]:
     levels = _levels(cuts)
     return [[]] * (depth - len(levels)) + levels
 
 
-def _cuts_at_or_below(df: DataFrame, x: Column, cuts: DataFrame, out: str) -> DataFrame:
-    """Count the cuts <= x by descending the levels: FAN comparisons each, however many cuts."""
+def _place(df: DataFrame, x: Column, cuts: DataFrame, out: str) -> DataFrame:
+    """Number the ranges between cuts, and each cut by itself, so that a heavy value shares its bucket with no other.
+
+    The cuts <= x are counted by descending the levels: FAN comparisons each, however many cuts.
+    """
     names = [c for c in cuts.columns if c.startswith(_CUTS)]
     df = df.withColumn(out, F.lit(0))
     for name in names:  # a column per step, so that no step is computed twice
         part = F.filter(F.slice(name, F.col(out) * FAN + 1, FAN), lambda c: c <= x)
         df = df.withColumn(out, F.col(out) * FAN + F.size(part))
     missing = F.col(names[-1]).isNull() | x.isNull()
-    return df.withColumn(out, F.when(missing, 0).otherwise(F.col(out))).drop(*names)
+    on_cut = F.coalesce(F.get(names[-1], F.col(out) - 1) == x, F.lit(False)).cast("int")
+    return df.withColumn(out, F.when(missing, 0).otherwise(2 * F.col(out) - on_cut)).drop(*names)
+
+
+def _splitters(df: DataFrame, keys: Sequence[str], column: str, fine: int, size: int) -> DataFrame:
+    """``keys``, ``q``: values that part the rows of each group evenly, ``fine`` of them in the largest group.
+
+    A value asked for more than once holds at least one step of rows. ``keys`` may be none, ``df`` holds cut groups only.
+    """
+    kind = df.schema[column].dataType
+    n = F.count(F.lit(1)).alias("__n")
+    step = F.greatest(F.lit(1), F.floor(F.lit(fine) * size / F.col("__n"))).cast("int")
+    wide = isinstance(kind, T.DecimalType) and kind.precision > 15  # more digits than the sketch's doubles
+    if not wide and isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        probs = [i / fine for i in range(1, fine)]
+        found = df.groupBy(*keys).agg(n, F.percentile_approx(column, probs, 10 * fine).alias("q"))
+        return found.withColumn("__step", step).select(*keys, F.expr("filter(q, (x, i) -> i % __step = 0)").alias("q"))
+    # No sketch tells such values apart: SAMPLED of them per splitter are drawn from every group, by its size.
+    value = F.substring(column, 1, SPLITTER_CHARS) if isinstance(kind, T.StringType) else F.col(column)
+    drawn = df.filter(F.col(column).isNotNull() & (F.rand(7) < F.lit(4.0 * SAMPLED / size)))
+    found = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("q"))
+    return found.select(*keys, F.expr(f"filter(q, (x, i) -> i % {SAMPLED} = {SAMPLED // 2})").alias("q"))
 
 
 def plan_order(
@@ -138,74 +157,46 @@ def plan_order(
     if n_max <= size:
         return order
 
-    # Only groups above ``size`` rows are cut: at most n_all / size of them.
+    # Only groups above ``size`` rows are cut: at most n_all / size of them. No other group is read again.
     fine = max(100, min(MAX_SPLITS, 4 * -(-n_max // size)))
-    dtypes = dict(df.dtypes)
-    pos = sortable(F.col(column), dtypes[column])
-    probs = [i / fine for i in range(1, fine)]
-    sketched = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(pos, probs, 10 * fine).alias("q"))
-        .filter(F.col("__n") > size)
-    )
-    step = F.greatest(F.lit(1), F.floor(F.lit(fine) * size / F.col("__n"))).cast("int")
-    raw = sketched.withColumn("step", step).select(
-        *by, F.expr("filter(q, (x, i) -> i % step = 0)").alias("q"), F.col("__n").alias("n")
-    ).collect()
+    large = df.select(*by, column, *([tiebreak] if tiebreak and tiebreak not in (*by, column) else []))
+    if by:
+        held = rows if few else grouped.filter(F.col("__n") > size).collect()
+        names_of = [tuple(r[b] for b in by) for r in held if r["__n"] > size]
+        large = join_null_safe(large, local_table(spark, names_of, T.StructType([grouped.schema[b] for b in by])), by, "inner", True)
     cut_rows, heavy = [], []
-    for r in raw:
-        key, q = tuple(r[b] for b in by), r["q"]
-        distinct = sorted(set(q))
-        # a value asked for twice holds at least one step of rows: isolate it
-        twice = sorted({v for v in distinct if q.count(v) > 1})
-        after = [_next_up(v) for v in twice]
-        cut_rows.append((*key, sorted(set(distinct + after))))
-        heavy += [(*key, v) for v in twice]
+    for r in _splitters(large, by, column, fine, size).collect():
+        q = [v for v in r["q"] or [] if v == v]
+        key, distinct = tuple(r[b] for b in by), sorted(set(q))
+        cut_rows.append((*key, distinct))
+        heavy += [(*key, v) for v, times in Counter(q).items() if times > 1]
+    if not any(r[-1] for r in cut_rows):
+        return order
     by_fields = [grouped.schema[b] for b in by]
     depth = max(len(_levels(r[-1])) for r in cut_rows)
-    order.cuts = _cut_table(spark, by_fields, cut_rows, depth)
+    order.cuts = _cut_table(spark, by_fields, cut_rows, depth, df.schema[column].dataType)
     if not by:
         order.literal_cuts = dict(zip(_level_columns(depth), _padded(cut_rows[0][-1], depth)))
     if heavy and tiebreak:
-        order.sub_cuts = _cut_ties(df, order, by_fields, heavy, pos, size, dtypes)
+        order.sub_cuts = _cut_ties(large, order, by_fields, heavy, size)
     return order
 
 
-def _cut_table(spark, key_fields, rows, depth):
-    names = _level_columns(depth)
-    return local_table(
-        spark, [(*r[:-1], *_padded(r[-1], depth)) for r in rows], _schema(key_fields, [(n, "array<double>") for n in names]))
+def _cut_table(spark, key_fields, rows, depth, kind):
+    cuts = [T.StructField(n, T.ArrayType(kind)) for n in _level_columns(depth)]
+    return local_table(spark, [(*r[:-1], *_padded(r[-1], depth)) for r in rows], T.StructType([*key_fields, *cuts]))
 
 
-def _cut_ties(df, order, by_fields, heavy, pos, size, dtypes):
+def _cut_ties(large, order, by_fields, heavy, size):
     """Cut the rows that tie on a heavy value along the tie-break column."""
-    spark, by, key = df.sparkSession, order.by, order._key
-    spots = local_table(spark, heavy, _schema(by_fields, [(key, "double")]))
-    tied = join_null_safe(df.withColumn(key, pos), spots, [*by, key], "inner", True)
-    tie = sortable(F.col(order.tiebreak), dtypes[order.tiebreak])
-    fine = 1000
-    probs = [i / fine for i in range(1, fine)]
-    cut = (
-        tied.groupBy(*by, key)
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(tie, probs, 10_000).alias("q"))
-        .withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(fine) * size / F.col("n"))).cast("int"))
-        .select(*by, key, F.array_distinct(F.expr("filter(q, (x, i) -> i % step = 0)")).alias("q"))
-    )
-    rows = [tuple(r) for r in cut.collect()]
+    spark, by, key = large.sparkSession, order.by, order._key
+    fields = [*by_fields, T.StructField(key, large.schema[order.column].dataType)]
+    spots = local_table(spark, heavy, T.StructType(fields))
+    tied = join_null_safe(large.withColumn(key, F.col(order.column)), spots, [*by, key], "inner", True)
+    cut = _splitters(tied, [*by, key], order.tiebreak, TIE_CUTS, size)
+    rows = [(*r[:-1], sorted({v for v in r["q"] or [] if v == v})) for r in cut.collect()]
     depth = max((len(_levels(r[-1])) for r in rows), default=1)
-    return _cut_table(spark, _schema(by_fields, [(key, "double")]).fields, rows, depth)
-
-
-def _next_up(x: float) -> float:
-    import math
-
-    return math.nextafter(x, math.inf)
-
-
-def _schema(fields, extra):
-    from pyspark.sql import types as T
-
-    types = {"double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType())}
-    return T.StructType([*fields, *[T.StructField(n, types[t]) for n, t in extra]])
+    return _cut_table(spark, fields, rows, depth, large.schema[order.tiebreak].dataType)
 
 
 def _sort_keys(order: Order, descending: bool):

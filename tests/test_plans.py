@@ -90,6 +90,46 @@ def test_bucketed_rows_spread_over_tasks(scores):
     assert top <= 450
 
 
+_ORDERED = {  # values that a cut by their first bytes, or as doubles, cannot tell apart
+    "string": "concat('customer-', lpad(cast(id % 2500 AS string), 8, '0'))",
+    "long": "9007199254740992 + id % 2500",
+    "decimal": "CAST(12345678901234567890 + id % 2500 AS decimal(25, 0))",
+    "date": "date_add(DATE'2020-01-01', CAST(id % 2500 AS int))",
+    "timestamp": "timestamp_micros(1700000000000000 + id % 2500)",
+    "double with nan": "CASE WHEN id % 11 = 0 THEN double('nan') ELSE id % 2500 / 7 END",
+    "hot": "CASE WHEN id % 2 = 0 THEN 'customer-hot' WHEN id % 7 <> 0 THEN concat('customer-', cast(id % 2500 AS string)) END",
+}
+
+
+@pytest.mark.parametrize("kind", _ORDERED)
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("descending", [False, True])
+def test_row_numbers_of_any_type(spark, kind, by, descending):
+    """Buckets follow the column's own order, and ties the tie-break's, whatever their types."""
+    df = spark.range(5_000).selectExpr("id % 5 > 0 AS g", f"{_ORDERED[kind]} AS v", "concat('key-number-', id * 7919 % 5000) AS k")
+    order = plan_order(df, by, "v", tiebreak="k", rows_per_bucket=100)
+    assert order.cuts is not None and (kind != "hot" or order.sub_cuts is not None)
+    w = Window.partitionBy(*by).orderBy(F.col("v").desc() if descending else F.col("v"), "k")
+    both = row_numbers(df, order, "a", descending=descending).withColumn("b", F.row_number().over(w))
+    assert both.filter("a <> b").count() == 0 and both.count() == 5_000
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "decimal", "hot"])
+def test_buckets_of_a_shared_prefix_are_balanced(spark, kind):
+    df = spark.range(50_000).selectExpr(f"{_ORDERED[kind]} AS v", "concat('key-number-', id * 7919 % 50000) AS k").filter("v IS NOT NULL")
+    if kind == "long":  # a sketch of longs works on doubles: spread them beyond their resolution
+        df = df.withColumn("v", F.col("v") * 512)
+    order = plan_order(df, [], "v", tiebreak="k", rows_per_bucket=1_000)
+    top = order.with_bucket(df).groupBy("__bucket", "__sub").count().agg(F.max("count")).first()[0]
+    assert top <= 3_000
+
+
+def test_only_oversize_groups_are_sketched(spark):
+    df = spark.range(6_000).selectExpr("CASE WHEN id < 3000 THEN 'big' ELSE CAST(id AS string) END AS g", "id AS v")
+    order = plan_order(df, ["g"], "v", rows_per_bucket=500)
+    assert [r.g for r in order.cuts.collect()] == ["big"]
+
+
 @pytest.mark.parametrize("rows_per_task", [1, 100, 1_000_000])
 def test_hash_cuts_have_exact_sizes(scores, rows_per_task):
     cuts = hash_cuts(scores, ["id"], 9, F.col("g"), lambda n: [0, n // 3, n // 2, n], rows_per_task=rows_per_task)
