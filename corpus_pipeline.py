@@ -38,9 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold half or more of a benchmark item."""
-    bad = tiling.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    """Drops documents that hold half or more of a benchmark item; the text alone decides, so ids may be null or repeat."""
+    rows = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
+    held = tiling.contaminated(rows.select(F.col("text_key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return rows.join(held.select(F.col("doc_id").alias("text_key")).distinct(), "text_key", "left_anti").select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
