@@ -48,6 +48,16 @@ def test_stages(spark, made, tmp_path):
     assert sorted(map(tuple, cp.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, five))
 
 
+def test_contamination_is_a_matter_of_text(spark, tmp_path):
+    """Rows without an id go if contaminated; a clean row that shares an id with a contaminated one stays."""
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"so {item} it is"), (1, f"and {item}"), (1, "a clean text of that id"), (None, "a clean text"), (None, None), (2, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.drop_contaminated(spark, df, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(i), str(t)) for i, t in rows[2:])
+
+
 def test_stages_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
