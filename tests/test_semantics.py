@@ -78,6 +78,18 @@ def test_uniqueness_near_the_limit_is_exact(spark):
         assert ("s" in profile.clean_features(df, "y")[1]) is dropped
 
 
+def test_sketched_counts_say_so(spark):
+    """Only columns of many values are sketched, and lie within the stated band of the exact count."""
+    df = spark.range(20_000).selectExpr("id", "id % 40 AS few", "CAST(id % 7000 AS string) AS many", "CAST(NULL AS int) AS none")
+    exact = {r["column"]: r for r in profile.profile(df, samples=0).collect()}
+    fast = {r["column"]: r for r in profile.profile(df, samples=0, exact=False).collect()}
+    assert {r["cardinality_error"] for r in exact.values()} == {0.0}
+    assert {c for c, r in fast.items() if r["cardinality_error"]} == {"id", "many"}
+    for c, r in fast.items():
+        assert abs(r["cardinality"] - exact[c]["cardinality"]) <= 6 * r["cardinality_error"] * exact[c]["cardinality"]
+
+
+
 def test_sparse_column_still_has_samples(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") > 4990, F.col("id")).alias("late"))
     got = {r["column"]: r["sample_values"] for r in profile.profile(df, ["id"]).collect()}
