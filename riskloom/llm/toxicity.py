@@ -4,7 +4,7 @@ A word enters as the sum of its own vector and the mean vector of its character
 gated recurrent layers read each window of words in either direction, attention pools their
 states, and a text scores as its highest-scoring window. Training is plain numpy on the driver,
 over a bounded sample. Scoring covers every word of every text by windows of WINDOW words that start
-every STRIDE words: each word but a text's first and last lies in two windows, and a phrase of up to
+every STRIDE words: each word but those near a text's ends lies in two windows, and a phrase of up to
 WINDOW - STRIDE + 1 words lies whole in one.
 """
 
