@@ -298,3 +298,16 @@ def test_raw_table_to_board(planted):
     out.release()
     with pytest.raises(ValueError, match="not found"):
         run_workflow(raw, "nothing", ["id"])
+
+
+def test_a_table_of_one_split_is_fitted_on_all_slots(spark):
+    one = spark.range(200_000).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 2).cast("int").alias("y")).coalesce(1)
+    _, table = models.assemble(one, "y", one, ["id"])
+    sizes = [r["n"] for r in table.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    slots = spark.sparkContext.defaultParallelism
+    assert len(sizes) == min(slots, 8) and sum(sizes) == 200_000 and max(sizes) < 2 * min(sizes)
+    table.unpersist()
+
+
+def test_rows_of_a_training_are_scored_once(trained):
+    assert trained.scored.is_cached and trained.table.is_cached
