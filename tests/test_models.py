@@ -311,3 +311,24 @@ def test_a_table_of_one_split_is_fitted_on_all_slots(spark):
 
 def test_rows_of_a_training_are_scored_once(trained):
     assert trained.scored.is_cached and trained.table.is_cached
+
+
+def test_models_of_the_same_settings_share_their_fits(planted, monkeypatch):
+    folded = stratified_folds(planted, "y", ["id"], 2)
+    _, table = models.assemble(folded, "y", folded, ["id", "fold"])
+    fits = []
+
+    def build(p, rows, label, seed):
+        made = models.boosted(p, rows, label, seed)
+        fit = made.fit
+        made.fit = lambda part: fits.append(p) or fit(part)
+        return made
+
+    presets = {"A": {"n_estimators": 2, "max_depth": 2}, "B": {"n_estimators": 2, "num_leaves": 3, "max_depth": -1}, "C": {"n_estimators": 1, "max_depth": 2}}
+    for name, defaults in presets.items():
+        monkeypatch.setitem(models.MODELS, name, models.ModelSpec(build, {}, defaults))
+    held = models.cross_validate_models(table, "y", tuple(presets), k=2, keep=["id"])
+    scores = {m: {r["id"]: r["score"] for r in held.filter(F.col("model") == m).collect()} for m in presets}
+    assert len(fits) == 4 and scores["A"] == scores["B"] != scores["C"]
+    assert all(len(s) == planted.count() for s in scores.values())
+    table.unpersist()
