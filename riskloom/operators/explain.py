@@ -141,8 +141,8 @@ def explain_model(
     the raw prediction, which for a logistic model is its log-odds.
 
     One row unfolds into sets x background vectors, which the model scores: n_permutations (d + 1) sets at most for d
-    columns, see ``coalition_weights``. They are built, scored and summed within the task; a shuffle carries one partial row per
-    explained row. ``chunks`` explains so many hash parts of the rows one after the other, each written before the next.
+    columns, see ``coalition_weights``. So many scores a row are dealt over all slots by ``id``, however few partitions hold the rows,
+    then built, scored and summed within the task. ``chunks`` explains so many hash parts of the rows one after the other, each written before the next.
     """
     if name not in training.classifiers:
         raise ValueError(f"no fitted model {name!r}; fitted: {sorted(training.classifiers)}")
@@ -171,8 +171,10 @@ def explain_model(
         place = F.array_position(F.slice(x, at + 1, width), F.lit(1.0))
         return F.when(place > 0, place.cast("double") - 1)
 
+    parts = max(4 * spark.sparkContext.defaultParallelism, training.table.rdd.getNumPartitions())
+
     def of(part: DataFrame) -> DataFrame:
-        kept = part.select(*id, x.alias("__x"))
+        kept = part.repartition(parts, *id).select(*id, x.alias("__x"))
         mixed = kept.withColumn("__m", F.explode(all_masks)).withColumn("__b", F.explode(all_base)).withColumn("__p", source).withColumn(
             FEATURES, array_to_vector(F.transform("__x", lambda v, i: F.when(F.col("__m.take")[F.col("__p")[i]], v).otherwise(F.col("__b")[i]))))
         scored = model.transform(mixed.drop("__b", "__p")).withColumn("__s", score)

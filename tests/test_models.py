@@ -332,3 +332,9 @@ def test_models_of_the_same_settings_share_their_fits(planted, monkeypatch):
     assert len(fits) == 4 and scores["A"] == scores["B"] != scores["C"]
     assert all(len(s) == planted.count() for s in scores.values())
     table.unpersist()
+
+
+def test_explained_rows_are_dealt_over_all_slots(spark, trained, planted):
+    e = explain.explain_model(trained, "LightGBM", ["id"], n_background=3, n_permutations=2)
+    assert trained.table.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism <= e.rdd.getNumPartitions()
+    assert e.count() == planted.count()
