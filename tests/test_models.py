@@ -338,3 +338,17 @@ def test_explained_rows_are_dealt_over_all_slots(spark, trained, planted):
     e = explain.explain_model(trained, "LightGBM", ["id"], n_background=3, n_permutations=2)
     assert trained.table.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism <= e.rdd.getNumPartitions()
     assert e.count() == planted.count()
+
+
+def test_forests_keep_node_ids_while_these_are_small(planted):
+    """Ids of nodes kept between levels are a matter of cost: the trees are those of a forest without them."""
+    build = models.MODELS["RandomForest"].build
+    asked = {"n_estimators": 20, "max_depth": 6}
+    kept = build(asked, 1500, "y", 7)
+    assert kept.getCacheNodeIds()
+    assert not build(asked, models.NODE_IDS // 20 + 1, "y", 7).getCacheNodeIds()  # they would outgrow their bound
+    assert not build({"n_estimators": 1}, 1500, "y", 7).getCacheNodeIds()
+    _, table = models.assemble(planted, "y", planted, ["id"])
+    trees = [e.fit(table).toDebugString.split("\n", 1)[1] for e in (kept, kept.copy({kept.cacheNodeIds: False}))]
+    assert trees[0] == trees[1]
+    table.unpersist()
