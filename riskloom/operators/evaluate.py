@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import decay_alert, traffic_light
-from ..plans.ordered import ROWS_PER_BUCKET, plan_order, row_numbers, running_totals
+from ..plans.ordered import BUCKET, ROWS_PER_BUCKET, SUB, before_buckets, bucket_totals, plan_order, row_numbers, running_totals
 from ..plans.rows import join_null_safe
 
 # Fixed value: machine epsilon of a double, to which probabilities are clipped.
@@ -96,17 +96,29 @@ def evaluate(
     """All metrics of each group. Without ``pred`` a score of 0.5 and above predicts 1."""
     by = list(by)
     groups, order = _score_groups(df, label, score, by, pred, rows_per_bucket)
-    cum = order.with_totals(running_totals(groups, order, ["pos", "neg"]))
+    cum = order.with_totals(bucket_totals(groups, order, ["pos", "neg"]))
     pos, neg = F.col("pos"), F.col("neg")
     clipped = F.greatest(F.least(F.col(score), F.lit(1 - EPS)), F.lit(EPS))
     below = (F.col("cum_neg") - neg).cast("double") + neg / 2.0
-    gap = F.abs(F.try_divide(F.col("cum_pos"), F.col("__p")) - F.try_divide(F.col("cum_neg"), F.col("__q")))
-    agg = cum.groupBy(*by).agg(
+    # what lies before a bucket moves the gap of all its rows alike, so the largest is at one of its two extremes
+    point, ahead = F.struct("cum_pos", "cum_neg"), F.col("cum_pos").cast("double") * F.col("__q") - F.col("cum_neg").cast("double") * F.col("__p")
+    parts = before_buckets(cum.groupBy(*by, BUCKET, SUB).agg(
         F.sum(pos).alias("P"), F.sum(neg).alias("N"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
         F.sum(pos * below).alias("wins"),
-        (F.max(gap) * 100).alias("ks_statistic"),
+        F.max_by(point, ahead).alias("high"), F.min_by(point, ahead).alias("low"),
+        F.first("__p").alias("__p"), F.first("__q").alias("__q"),
         F.sum(-(pos * F.log(clipped) + neg * F.log(1 - clipped))).alias("ll"),
         F.sum(pos * F.pow(1 - F.col(score), 2) + neg * F.pow(score, 2)).alias("br"),
+    ), order, ["P", "N"])
+
+    def gap(at):
+        cum_pos, cum_neg = F.col("before_P") + F.col(at)["cum_pos"], F.col("before_N") + F.col(at)["cum_neg"]
+        return F.abs(F.try_divide(cum_pos, F.col("__p")) - F.try_divide(cum_neg, F.col("__q")))
+
+    agg = parts.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("P", "N", "tp", "fp", "ll", "br")],
+        F.sum(F.col("wins") + F.col("P").cast("double") * F.col("before_N")).alias("wins"),
+        (F.max(F.greatest(gap("high"), gap("low"))) * 100).alias("ks_statistic"),
     )
     P, N = F.col("P"), F.col("N")
     auc = F.try_divide(F.col("wins"), P.cast("double") * N)

@@ -320,15 +320,23 @@ def train(
 def out_of_fold(
     table: DataFrame, label: str, name: str, params: Mapping, fold: str = "fold", k: int = 5, keep: Sequence[str] = (),
     seed: int = 42, parallelism: int = PARALLELISM, pool: ThreadPoolExecutor | None = None, ledger: Ledger | None = None, rows: int | None = None,
+    pred: bool = True,
 ) -> DataFrame:
-    """Score of every row by the model that did not see its fold. A ``ledger`` keeps the scores of each fold."""
+    """Score of every row by the model that did not see its fold. A ``ledger`` keeps the scores of each fold.
+
+    Without ``pred`` there is the score alone, which takes the features to the probability in one step.
+    """
     spec = _spec(name)
     _cut_lineage(table.sparkSession)
     rows = table.count() if rows is None else rows
 
     def held(i: int) -> DataFrame:
         model = spec.build(params, rows * (k - 1) // k, label, seed).fit(table.filter(F.col(fold) != i))
-        return with_score(model.transform(table.filter(F.col(fold) == i))).select(*dict.fromkeys([*keep, label, fold]), "score", "pred")
+        part, columns = table.filter(F.col(fold) == i), dict.fromkeys([*keep, label, fold])
+        if not pred:
+            model.setRawPredictionCol("").setPredictionCol("")
+            return model.transform(part).select(*columns, vector_to_array("probability")[1].alias("score"))
+        return with_score(model.transform(part)).select(*columns, "score", "pred")
 
     def task(i: int) -> Callable:
         return (lambda: held(i)) if ledger is None else lambda: ledger.frame(f"{name}/fold-{i}", lambda: held(i))
@@ -339,13 +347,13 @@ def out_of_fold(
 
 def fold_scores(oof: DataFrame, label: str, fold: str = "fold") -> list[float]:
     """AUC per fold, from one grouped evaluation of all folds."""
-    rows = evaluate(oof, label, "score", "pred", [fold]).select(fold, "roc_auc").orderBy(fold).collect()
+    rows = evaluate(oof, label, "score", by=[fold]).select(fold, "roc_auc").orderBy(fold).collect()
     return [r["roc_auc"] for r in rows]
 
 
 def cross_validate(table: DataFrame, label: str, name: str, params: Mapping | None = None, **kw) -> list[float]:
     params = {**_spec(name).defaults, **(params or {})}
-    held = out_of_fold(table, label, name, params, **kw).persist(StorageLevel.MEMORY_AND_DISK)  # the evaluation reads it more than once
+    held = out_of_fold(table, label, name, params, pred=False, **kw).persist(StorageLevel.MEMORY_AND_DISK)  # the evaluation reads it more than once
     try:
         return fold_scores(held, label, kw.get("fold", "fold"))
     finally:

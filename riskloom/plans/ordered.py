@@ -208,6 +208,26 @@ def _bucket_keys(descending: bool):
     return [F.col(BUCKET).desc() if descending else F.col(BUCKET).asc(), F.col(SUB).asc()]
 
 
+def bucket_totals(df: DataFrame, order: Order, columns: Sequence[str]) -> DataFrame:
+    """Add ``cum_<c>``: the total of ``c`` up to and including each row of its bucket, not of its group.
+
+    For measures that sum up per bucket: of each bucket, the caller aggregates by ``order.by``, BUCKET and SUB, and
+    ``before_buckets`` adds what lies before it. The rows are then read once and meet no table of offsets.
+    """
+    local = Window.partitionBy(*order.by, BUCKET, SUB).orderBy(*_sort_keys(order, False))
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    return order.with_bucket(df).withColumns({f"cum_{c}": F.sum(c).over(upto) for c in columns})
+
+
+def before_buckets(parts: DataFrame, order: Order, columns: Sequence[str]) -> DataFrame:
+    """Add ``before_<c>`` to a table of one row per bucket: the total of ``c`` over the buckets of its group before it."""
+    if order.cuts is None:
+        return parts.withColumns({f"before_{c}": F.lit(0).cast("bigint") for c in columns})
+    # at most one row per uncut group plus the bounded number of cuts
+    before = Window.partitionBy(*order.by).orderBy(*_bucket_keys(False)).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
+
+
 def running_totals(
     df: DataFrame,
     order: Order,

@@ -83,6 +83,22 @@ def test_search_and_folds(planted):
     table.unpersist()
 
 
+@pytest.mark.parametrize("name", ["LogisticRegression", "RandomForest", "GradientBoosting"])
+def test_folds_of_a_search_keep_scores_alone(planted, name, monkeypatch):
+    """A trial ranks scores, so it neither computes nor keeps predictions; the scores are the same."""
+    folded = stratified_folds(planted, "y", ["id"], 2)
+    _, table = models.assemble(folded, "y", folded, ["id", "fold"])
+    params = {"n_estimators": 3, "max_depth": 3}
+    whole, alone = (models.out_of_fold(table, "y", name, params, k=2, keep=["id"], pred=pred) for pred in (True, False))
+    assert alone.columns == ["id", "y", "fold", "score"]
+    assert {r["id"]: r["score"] for r in alone.collect()} == {r["id"]: r["score"] for r in whole.collect()}
+    seen = []
+    monkeypatch.setattr(models, "fold_scores", lambda held, *a: seen.append(held.columns) or [0.5, 0.5])
+    models.cross_validate(table, "y", name, params, k=2)
+    assert seen == [["y", "fold", "score"]]
+    table.unpersist()
+
+
 def test_search_spaces():
     import random
 

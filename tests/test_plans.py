@@ -90,6 +90,28 @@ def test_bucketed_rows_spread_over_tasks(scores):
     assert top <= 450
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_metrics_in_buckets_read_the_rows_once(spark, scores, by):
+    """Metrics are summed per bucket: no second reading for offsets, and the values are those of uncut groups."""
+    from plancheck import plan_text
+
+    from riskloom.operators.evaluate import METRICS, evaluate
+
+    rows = scores.select("g", "y", (F.col("s") / (1 + F.abs("s")) / 2 + 0.5).alias("s"))
+    cut, whole = evaluate(rows, "y", "s", by=by, rows_per_bucket=150), evaluate(rows, "y", "s", by=by)
+    got, expected = ({r["g"] if by else 0: r for r in e.collect()} for e in (cut, whole))
+    for g, r in expected.items():
+        assert [got[g][m] for m in METRICS] == pytest.approx([r[m] for m in METRICS], rel=1e-12)
+        part = rows.filter(F.col("g") == g).toPandas() if by else rows.toPandas()
+        p, q = part.s[part.y == 1].to_numpy(), part.s[part.y == 0].to_numpy()
+        assert got[g]["roc_auc"] == pytest.approx(((p[:, None] > q).sum() + (p[:, None] == q).sum() / 2) / len(p) / len(q))
+        assert got[g]["ks_statistic"] == pytest.approx(100 * max(abs((p <= s).mean() - (q <= s).mean()) for s in part.s.unique()))
+    # of a source that is no kept table, so that each reading shows
+    source = spark.range(3_000).selectExpr("id % 2 AS g", "CAST(id % 3 = 0 AS int) AS y", "id % 997 / 997 AS s")
+    plan = plan_text(evaluate(source, "y", "s", by=by, rows_per_bucket=150))
+    assert plan.split("== Initial Plan ==")[0].count("Range (") == 1
+
+
 _ORDERED = {  # values that a cut by their first bytes, or as doubles, cannot tell apart
     "string": "concat('customer-', lpad(cast(id % 2500 AS string), 8, '0'))",
     "long": "9007199254740992 + id % 2500",
