@@ -233,10 +233,10 @@ def experiment_of_stumps(spark, folder):
     config = J.RunConfig(models=("RandomForest",), trials=2, params={"RandomForest": ONE_TREE}, artifact_dir=fresh_path(spark, "experiments"),
                          spaces={"RandomForest": {"max_depth": {"type": "int", "low": 1, "high": 3}}})
     first = J.run_experiment(rows, "y", ["id"], config, rows, experiment_id="stumps")
+    first.release()
     again = J.run_experiment(rows, "y", ["id"], config, rows, experiment_id="stumps")
     done = sum(again.ledger.done(f"RandomForest/trial-{i}") for i in range(9))
     state = "searched, resumed" if first.ledger.made and not again.ledger.made else "fitted again"
-    first.release()
     board = again.leaderboard.select("model", "cv_auc_mean", "cv_auc_std", "test_auc", F.lit(again.oof.count()).alias("n_held_out"),
                                      F.lit(done).alias("trials"), F.lit(state).alias("state"))
     return _released(again, lambda _: rounded(board))

@@ -80,7 +80,7 @@ def _score_groups(df, label, score, by, pred=None, rows_per_bucket=ROWS_PER_BUCK
     df = checked(df, label, score)
     y = F.col(label) == 1
     totals = {"__p": F.count_if(y), "__q": F.count_if(F.col(label) == 0)}
-    order = plan_order(df, by, score, totals, rows_per_bucket=rows_per_bucket)
+    order = plan_order(df, by, score, totals, rows_per_bucket=rows_per_bucket, by_value=True)
     p = F.col(pred) == 1 if pred else F.col(score) >= 0.5
     groups = df.groupBy(*by, score).agg(
         F.count_if(y).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),

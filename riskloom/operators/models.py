@@ -158,6 +158,20 @@ def _spec(name: str) -> ModelSpec:
 PARALLELISM = 8
 
 
+# Until it ends, a fit of trees keeps each of its rows as objects: 90 bytes were measured for one input, and each more adds 4.
+# Fits go side by side while these take no more a slot than this; of so many rows there are parts enough for one fit to fill the slots.
+TREE_ROW_BYTES, TREE_BYTES_PER_SLOT = 90, 900_000_000
+
+
+def _at_once(table: DataFrame, names: Sequence[str], rows: int, parallelism: int) -> int:
+    """How many fits of these models on so many rows of an assembled table go side by side."""
+    if all(n in MODELS and MODELS[n].build is logistic for n in names):  # these keep packed blocks
+        return parallelism
+    width = table.schema[FEATURES].metadata.get("ml_attr", {}).get("num_attrs", 1)
+    held = max(rows, 1) * (TREE_ROW_BYTES + 4 * width)
+    return max(1, min(parallelism, TREE_BYTES_PER_SLOT * table.sparkSession.sparkContext.defaultParallelism // held))
+
+
 def _side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int, pool: ThreadPoolExecutor | None = None) -> list:
     """Results of driver-side tasks, in order; each starts Spark jobs of its own. A ``pool`` is shared with other callers."""
     if pool is not None:
@@ -298,7 +312,7 @@ def train(
                 return name, e, 0.0
         return run
 
-    for name, model, took in _side_by_side(df.sparkSession, [task(n) for n in models], parallelism):
+    for name, model, took in _side_by_side(df.sparkSession, [task(n) for n in models], _at_once(table, models, rows, parallelism)):
         if isinstance(model, Exception):
             failures[name] = str(model)
         else:
@@ -341,7 +355,7 @@ def out_of_fold(
     def task(i: int) -> Callable:
         return (lambda: held(i)) if ledger is None else lambda: ledger.frame(f"{name}/fold-{i}", lambda: held(i))
 
-    parts = _side_by_side(table.sparkSession, [task(i) for i in range(k)], parallelism, pool)
+    parts = _side_by_side(table.sparkSession, [task(i) for i in range(k)], _at_once(table, [name], rows, parallelism), pool)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -376,7 +390,7 @@ def cross_validate_models(table: DataFrame, label: str, names: Sequence[str] = t
     alike: dict = {}
     for n in names:
         alike.setdefault(_settings(_spec(n).build(_spec(n).defaults, kw["rows"], label, kw["seed"])), []).append(n)
-    with ThreadPoolExecutor(parallelism) as pool, ThreadPoolExecutor(len(alike)) as models:
+    with ThreadPoolExecutor(_at_once(table, names, kw["rows"], parallelism)) as pool, ThreadPoolExecutor(len(alike)) as models:
         of = lambda n: out_of_fold(table, label, n, _spec(n).defaults, pool=pool, **kw)
         held = [models.submit(inheritable_thread_target(spark)(of), same[0]) for same in alike.values()]
         parts = {n: f.result().withColumn("model", F.lit(n)) for same, f in zip(alike.values(), held) for n in same}
@@ -549,7 +563,7 @@ def run_experiment(
     Each trial's scores, each fold's out-of-fold rows and each final model are entries of a ledger below
     ``artifact_dir`` (without it, below the shared folder) as soon as they are there. A run given the
     ``experiment_id`` of one that was killed, with the same rows and settings, fits only what that one had not.
-    Models run side by side; all their fits share one pool of ``parallelism`` threads.
+    Models run side by side; all their fits share one pool of ``parallelism`` threads, or fewer where trees are fitted on many rows.
     """
     config = config or RunConfig()
     spark = train_df.sparkSession
@@ -580,7 +594,7 @@ def run_experiment(
         took = ledger.row(f"{name}/time", lambda: {"seconds": time.monotonic() - start, "at": datetime.now(timezone.utc).isoformat()})
         return params, held, fold_scores(held, label), final.result(), took
 
-    with ThreadPoolExecutor(config.parallelism) as pool, ThreadPoolExecutor(max(1, len(config.models))) as side:
+    with ThreadPoolExecutor(_at_once(table, config.models, rows, config.parallelism)) as pool, ThreadPoolExecutor(max(1, len(config.models))) as side:
         running = {name: side.submit(inheritable_thread_target(spark)(whole), name, pool) for name in config.models}
         for name, future in running.items():
             try:

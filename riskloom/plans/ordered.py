@@ -26,6 +26,7 @@ FAN = 16
 GROUPS_ON_DRIVER = 10_000
 TIE_CUTS = 1_000  # of one heavy value, at most
 SAMPLED = 20  # values drawn for each splitter of a column that has no sketch
+FEW_VALUES = 500  # of a sample of twice as many expected values
 SPLITTER_CHARS = 1_000  # a longer splitter is cut off, which only moves it
 
 BUCKET = "__bucket"
@@ -89,16 +90,19 @@ def _padded(cuts: Sequence, depth: int) -> list[list]:
     return [[]] * (depth - len(levels)) + levels
 
 
-def _place(df: DataFrame, x: Column, cuts: DataFrame, out: str) -> DataFrame:
-    """Number the ranges between cuts, and each cut by itself, so that a heavy value shares its bucket with no other.
-
-    The cuts <= x are counted by descending the levels: FAN comparisons each, however many cuts.
-    """
-    names = [c for c in cuts.columns if c.startswith(_CUTS)]
+def _cuts_at_or_below(df: DataFrame, x: Column, cuts: DataFrame, out: str) -> DataFrame:
+    """Count the cuts <= x by descending the levels: FAN comparisons each, however many cuts."""
     df = df.withColumn(out, F.lit(0))
-    for name in names:  # a column per step, so that no step is computed twice
+    for name in (c for c in cuts.columns if c.startswith(_CUTS)):  # a column per step, so that no step is computed twice
         part = F.filter(F.slice(name, F.col(out) * FAN + 1, FAN), lambda c: c <= x)
         df = df.withColumn(out, F.col(out) * FAN + F.size(part))
+    return df
+
+
+def _place(df: DataFrame, x: Column, cuts: DataFrame, out: str) -> DataFrame:
+    """Number the ranges between cuts, and each cut by itself, so that a heavy value shares its bucket with no other."""
+    names = [c for c in cuts.columns if c.startswith(_CUTS)]
+    df = _cuts_at_or_below(df, x, cuts, out)
     missing = F.col(names[-1]).isNull() | x.isNull()
     on_cut = F.coalesce(F.get(names[-1], F.col(out) - 1) == x, F.lit(False)).cast("int")
     return df.withColumn(out, F.when(missing, 0).otherwise(2 * F.col(out) - on_cut)).drop(*names)
@@ -124,6 +128,17 @@ def _splitters(df: DataFrame, keys: Sequence[str], column: str, fine: int, size:
     return found.select(*keys, F.expr(f"filter(q, (x, i) -> i % {SAMPLED} = {SAMPLED // 2})").alias("q"))
 
 
+def _many_valued(df: DataFrame, by: Sequence[str], column: str, size: int) -> set[tuple]:
+    """The groups that may have more than ``size`` distinct values, by a sample.
+
+    Each value has a row, so of more than ``size`` values at least FEW_VALUES times two are expected among the drawn rows.
+    A group with at most FEW_VALUES there has no more than ``size``, but for a chance of some e^-125. Only groups with more come here.
+    """
+    rate = min(1.0, 2 * FEW_VALUES / size)
+    drawn = df.select(*by, column).filter(F.rand(11) < rate).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("__d"))
+    return {tuple(r[b] for b in by) for r in drawn.filter(F.col("__d") > rate * size / 2).collect()}
+
+
 def plan_order(
     df: DataFrame,
     by: Sequence[str],
@@ -133,8 +148,13 @@ def plan_order(
     tiebreak: str | None = None,
     descending: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    by_value: bool = False,
 ) -> Order:
-    """Count each group of ``df``, and cut those that are too big for one task."""
+    """Count each group of ``df``, and cut those that are too big for one task.
+
+    ``by_value`` says that the rows to be ordered are one for each value of ``column`` in a group, so that a group is as big
+    as its values are many; where a sample shows that they are few, it is not cut.
+    """
     by = list(by)
     spark = df.sparkSession
     aggs = {"__n": F.count(F.lit(1)), **(totals or {})}
@@ -163,7 +183,14 @@ def plan_order(
     if by:
         held = rows if few else grouped.filter(F.col("__n") > size).collect()
         names_of = [tuple(r[b] for b in by) for r in held if r["__n"] > size]
+        if by_value:
+            many = _many_valued(large, by, column, size)
+            names_of = [g for g in names_of if g in many]
+        if not names_of:
+            return order
         large = join_null_safe(large, local_table(spark, names_of, T.StructType([grouped.schema[b] for b in by])), by, "inner", True)
+    elif by_value and not _many_valued(large, by, column, size):
+        return order
     cut_rows, heavy = [], []
     for r in _splitters(large, by, column, fine, size).collect():
         q = [v for v in r["q"] or [] if v == v]
@@ -182,7 +209,7 @@ def plan_order(
     return order
 
 
-def _cut_table(spark, key_fields, rows, depth, kind):
+def _cut_table(spark, key_fields, rows, depth, kind=T.DoubleType()):
     cuts = [T.StructField(n, T.ArrayType(kind)) for n in _level_columns(depth)]
     return local_table(spark, [(*r[:-1], *_padded(r[-1], depth)) for r in rows], T.StructType([*key_fields, *cuts]))
 

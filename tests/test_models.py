@@ -368,3 +368,42 @@ def test_forests_keep_node_ids_while_these_are_small(planted):
     trees = [e.fit(table).toDebugString.split("\n", 1)[1] for e in (kept, kept.copy({kept.cacheNodeIds: False}))]
     assert trees[0] == trees[1]
     table.unpersist()
+
+
+@pytest.mark.parametrize("slot, at_once", [(1, 1), (10**9, 2)])
+def test_fits_of_trees_side_by_side_keep_bounded_rows(planted, tmp_path, monkeypatch, slot, at_once):
+    """A fit of trees keeps its rows in memory: on many rows fits go one at a time, and the board is the same."""
+    import threading
+    import time
+
+    monkeypatch.setattr(models, "TREE_BYTES_PER_SLOT", slot)
+    now, most, lock = set(), [], threading.Lock()
+
+    def build(p, rows, label, seed):
+        made = models.forest(p, rows, label, seed)
+        fit = made.fit
+
+        def watched(part):
+            with lock:
+                now.add(id(made))
+                most.append(len(now))
+            time.sleep(0.3)
+            try:
+                return fit(part)
+            finally:
+                with lock:
+                    now.discard(id(made))
+
+        made.fit = watched
+        return made
+
+    monkeypatch.setitem(models.MODELS, "F", models.ModelSpec(build, {}, {"n_estimators": 1, "max_depth": 2, "bootstrap": False, "max_features": None}))
+    config = models.RunConfig(models=("F",), k=3, trials=1, spaces={"F": {}}, artifact_dir=str(tmp_path), parallelism=2)
+    run = models.run_experiment(planted, "y", ["id"], config, planted)
+    assert len(most) == 7 and max(most) == at_once
+    monkeypatch.undo()
+    plain = models.train(planted.withColumn("split", F.lit("train")), "y", models=("RandomForest",), keep=["id"],
+                         params={"RandomForest": {"n_estimators": 1, "max_depth": 2, "min_samples_split": 2, "bootstrap": False, "max_features": None}})
+    assert run.leaderboard.first()["test_auc"] == plain.metrics.first()["roc_auc"]
+    run.release()
+    plain.release()

@@ -209,6 +209,24 @@ def test_cut_levels(spark):
         assert got == {x: 0 if x is None else sum(c <= x for c in cuts) for x in xs}
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_few_scores_of_many_rows_are_not_cut(spark, monkeypatch, by):
+    """Metrics order distinct scores: a group of many rows and few scores needs no cuts, next to one of many scores that does."""
+    from riskloom.operators.evaluate import evaluate
+    from riskloom.plans import ordered
+
+    wide = (F.col("id") % 4_000) / 4_000 if by else (F.col("id") % 8) / 8
+    df = spark.range(6_000).select("id", (F.hash("id") % 2 == 0).cast("int").alias("y"), F.when(F.col("id") % 3 == 0, "few").otherwise("many").alias("g"), wide.alias("s"))
+    df = df.withColumn("s", F.when(F.col("g") == "few", F.col("id") % 7 / 7).otherwise(F.col("s")))
+    whole = evaluate(df, "y", "s", by=by).drop("confusion").collect()
+    cut, real = [], ordered._splitters
+    monkeypatch.setattr(ordered, "_splitters", lambda large, *a: cut.extend(r["g"] for r in large.select(*by).distinct().collect() if by) or cut.append("cut") or real(large, *a))
+    parts = evaluate(df, "y", "s", by=by, rows_per_bucket=500).drop("confusion").collect()
+    assert cut == (["many", "cut"] if by else [])
+    for a, b in zip(sorted(whole, key=str), sorted(parts, key=str)):
+        assert a.asDict().keys() == b.asDict().keys() and all(v == (w if isinstance(w, str) else pytest.approx(w, rel=1e-12)) for v, w in zip(a, b))
+
+
 def test_settled_tables_go_with_their_run(spark, tmp_path):
     from riskloom.session import exists, run_folder, settle
 
