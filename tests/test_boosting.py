@@ -79,3 +79,21 @@ def test_bins_of_many_values_hold_equal_shares():
     values = np.sort(rng.normal(size=50_000))
     ends = boosting._upper(values, np.ones(50_000), 32)
     assert len(ends) == 31 and np.abs(np.diff(np.searchsorted(values, ends)) - 50_000 / 32).max() <= 1
+
+
+def test_the_registered_experiment_searches(spark, folder, monkeypatch):
+    """All steps of the configured run: 50 trials of 5 folds, unless ten bring nothing, then folds, final fits, test, oot and etrc rows."""
+    from riskloom.catalog import modelling
+
+    class Seen(Exception):
+        pass
+
+    def asked(train_df, label, keys, config, test_df, others):
+        assert config.tuning and config.trials == 50 and config.k == 5 and config.oof and config.seed == 42
+        assert set(config.models) == {"LightGBM", "XGBoost", "LogisticRegression"} and not config.spaces and not config.params
+        assert set(others) == {"oot", "etrc"}
+        raise Seen
+
+    monkeypatch.setattr(modelling.J, "run_experiment", asked)
+    with pytest.raises(Seen):
+        modelling.experiment_run(spark, folder)
