@@ -93,7 +93,7 @@ class Block:
         return Block(part, np.concatenate([b.y for b in blocks]), np.concatenate(wide, axis=1))
 
 
-def _entries(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def entries(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Labels, and (row, feature, value) of all entries other than zero; vectors may be sparse or dense."""
     ys, rows, features, values, n = [], [], [], [], 0
     for batch in batches:
@@ -116,7 +116,7 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray,
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each value of each feature occurs in the partition; of many values, so many that are evenly spaced by rank."""
-    y, _, f, v = _entries(batches)
+    y, _, f, v = entries(batches)
     if not np.isin(y, (0.0, 1.0)).all():
         raise ValueError("labels must be 0 or 1")
     f, v = f[~np.isnan(v)], v[~np.isnan(v)]
@@ -170,7 +170,7 @@ def find_bins(rows: DataFrame, d: int, most: int) -> tuple[Bins, int]:
 
 def _packed(bins: Bins) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, row, f, v = _entries(batches)
+        y, row, f, v = entries(batches)
         b = bins.place(f, v)
         kept = b != bins.zero[f]
         part = TaskContext.get().partitionId()

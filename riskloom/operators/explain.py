@@ -10,14 +10,19 @@ import itertools
 import json
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.hashcuts import row_hash
-from ..session import fresh_path
+from ..session import fresh_path, remove
+from .boosting import entries
 from .models import FEATURES, Training
 from .preprocess import slot_groups
 
@@ -127,6 +132,107 @@ def agnostic(
         _cells(features, [F.col(f"__x{i}") for i in range(d)], [F.col(f"__c{i}") for i in range(d)]).alias("contributions"), F.lit(method).alias("method"))
 
 
+# -- models that are sums ---------------------------------------------------------
+# A mixture of a row and a background row ends in a leaf if each column on the leaf's path, taken from either, passes its tests there. So the mean
+# over the background is a product, and what a leaf adds to a row's contributions follows from which columns of the row pass: no mixture is built.
+
+# Cells of the matrix that a task holds at a time.
+CELLS_AT_ONCE = 4_000_000
+
+
+def _trees(spark: SparkSession, model: Model, forest: bool) -> list[dict]:
+    """Each tree's nodes by id, as MLlib saves them: (value of a leaf, or feature, threshold or left categories, left, right)."""
+    path = fresh_path(spark, "explained-model")
+    try:
+        model.write().save(path)
+        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    finally:
+        remove(spark, path)
+    trees: list[dict] = [{} for _ in range(model.getNumTrees)]
+    for r in rows:
+        if r["leftChild"] < 0:
+            stats = r["impurityStats"]
+            value = stats[1] / sum(stats) if forest else model.treeWeights[r["treeID"]] * r["prediction"]
+            trees[r["treeID"]][r["id"]] = (value,)
+        else:
+            cut = r["split"]["leftCategoriesOrThreshold"]
+            trees[r["treeID"]][r["id"]] = (r["split"]["featureIndex"], cut[0] if r["split"]["numCategories"] < 0 else list(cut), r["leftChild"], r["rightChild"])
+    return trees
+
+
+def _sums_of_trees(trees: list[dict], player: Sequence[int], takes: np.ndarray, weights: np.ndarray, base: np.ndarray) -> Callable:
+    """Of each row the scores of all sets, times ``weights`` (sets x results); a set's score is the mean over the rows of ``base``."""
+    def of(x: np.ndarray) -> np.ndarray:
+        n, both = len(x), np.concatenate([x, base])
+        out = np.zeros((n, weights.shape[1]))
+
+        def leaf(value: float, passed: dict[int, np.ndarray]) -> None:
+            bits = 1 << np.arange(len(passed))
+            pattern = np.zeros(len(both), np.int64)
+            for bit, ok in zip(bits, passed.values()):
+                pattern += bit * ok
+            taken = takes[:, list(passed)] @ bits
+            rest = bits.sum() - taken
+            share = ((pattern[n:] & rest[:, None]) == rest[:, None]).mean(axis=1)
+            seen, at = (np.arange(1 << len(bits)), pattern[:n]) if 1 << len(bits) <= n else np.unique(pattern[:n], return_inverse=True)
+            adds = np.zeros((len(seen), weights.shape[1]))
+            for t, q, w in zip(taken, share, weights):  # one by one: so a row's sums don't depend on the rows beside it
+                adds += ((seen & t) == t)[:, None] * (value * q * w)
+            out[:] += adds[at]
+
+        def walk(tree: dict, node: int, passed: dict[int, np.ndarray]) -> None:
+            if len(tree[node]) == 1:
+                return leaf(tree[node][0], passed)
+            feature, cut, left, right = tree[node]
+            goes = np.isin(both[:, feature], cut) if isinstance(cut, list) else both[:, feature] <= cut
+            g = player[feature]
+            before = passed.get(g, True)
+            walk(tree, left, {**passed, g: goes & before})
+            walk(tree, right, {**passed, g: ~goes & before})
+
+        for tree in trees:
+            walk(tree, 0, {})
+        return out
+
+    return of
+
+
+def _sums_of_slots(coef: np.ndarray, intercept: float, player: Sequence[int], takes: np.ndarray, weights: np.ndarray, base: np.ndarray) -> Callable:
+    """The same for a linear margin: a set's score adds up what its columns give and what the others give in the mean of ``base``."""
+    def given(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), takes.shape[1]))
+        for slot, (g, c) in enumerate(zip(player, coef)):
+            out[:, g] += c * x[:, slot]
+        return out
+
+    mean, gain = given(base).mean(axis=0), takes.T.astype(float) @ weights
+    fixed = intercept * weights.sum(axis=0) + mean @ ((~takes).T.astype(float) @ weights)
+
+    def of(x: np.ndarray) -> np.ndarray:
+        out = np.tile(fixed, (len(x), 1))
+        for own, g in zip(given(x).T, gain):
+            out += own[:, None] * g
+        return out
+
+    return of
+
+
+def _additive(spark: SparkSession, model: Model, output: str, player: Sequence[int], masks: Sequence[Mapping], base: Sequence[Sequence[float]]) -> Callable | None:
+    """Contributions, base and prediction of rows of slots, if what is explained is a sum over leaves or slots; None if not."""
+    kind = type(model).__name__
+    takes = np.array([m["take"] for m in masks], bool)
+    ends = np.array([[m["none"], m["all"]] for m in masks], float)
+    weights, rows = np.c_[np.array([m["w"] for m in masks]), ends], np.array(base)
+    if kind == "RandomForestClassificationModel":  # a probability is the mean of the trees' shares
+        weights = weights / (model.getNumTrees if output == "probability" else 1)
+        return _sums_of_trees(_trees(spark, model, True), player, takes, weights, rows)
+    if output == "margin" and kind == "GBTClassificationModel":
+        return _sums_of_trees(_trees(spark, model, False), player, takes, weights, rows)
+    if output == "margin" and kind == "LogisticRegressionModel":
+        return _sums_of_slots(model.coefficients.toArray(), float(model.intercept), player, takes, weights, rows)
+    return None
+
+
 def explain_model(
     training: Training, name: str, id: Sequence[str], rows: DataFrame | None = None, n_background: int = BACKGROUND_ROWS,
     n_permutations: int = 16, seed: int = 42, method: str = PERMUTATION, output: str = "probability", background_split: str = "train",
@@ -142,7 +248,8 @@ def explain_model(
 
     One row unfolds into sets x background vectors, which the model scores: n_permutations (d + 1) sets at most for d
     columns, see ``coalition_weights``. So many scores a row are dealt over all slots by ``id``, however few partitions hold the rows,
-    then built, scored and summed within the task. ``chunks`` explains so many hash parts of the rows one after the other, each written before the next.
+    then built, scored and summed within the task. Where what is explained is a sum over leaves or slots, as margins and the probability of a forest
+    are, the same means come from these sums, without a vector per set and background row. ``chunks`` explains so many hash parts of the rows one after the other, each written before the next.
     """
     if name not in training.classifiers:
         raise ValueError(f"no fitted model {name!r}; fitted: {sorted(training.classifiers)}")
@@ -173,7 +280,40 @@ def explain_model(
 
     parts = max(4 * spark.sparkContext.defaultParallelism, training.table.rdd.getNumPartitions())
 
+    sums = _additive(spark, model, output, player, masks, base)
+
+    def added(part: DataFrame) -> DataFrame:
+        kept = part.repartition(parts, *id).select(F.col(FEATURES).alias("__v"), F.lit(0.0).alias("__y"), *id)
+        ids = T.StructType([f for f in kept.schema if f.name in id])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, CELLS_AT_ONCE // len(player))
+            for big in batches:
+                for a in range(0, big.num_rows, step):
+                    batch = big.slice(a, step)
+                    _, row, feature, v = entries([batch])
+                    dense = np.zeros((batch.num_rows, len(player)))
+                    dense[row, feature] = v
+                    found, values, first = sums(dense), [], 0
+                    for _, slots in groups:
+                        own = dense[:, first:first + len(slots)]
+                        place = (own == 1).argmax(axis=1)
+                        values.append(own[:, 0] if slots[0].startswith("num__") else np.where((own == 1).any(axis=1), place, np.nan))
+                        first += len(slots)
+                    columns = [pa.array(c, from_pandas=not groups[i][1][0].startswith("num__")) for i, c in enumerate(values)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(f.name) for f in ids], *columns, *[pa.array(c) for c in found.T.copy()]],
+                        [*ids.names, *[f"__v{i}" for i in range(d)], *[f"__c{i}" for i in range(d)], "base_value", "prediction"])
+
+        numbers = [T.StructField(c, T.DoubleType()) for c in [f"__v{i}" for i in range(d)] + [f"__c{i}" for i in range(d)] + ["base_value", "prediction"]]
+        out = kept.mapInArrow(run, T.StructType([*ids, *numbers]))
+        return out.select(
+            *id, "prediction", "base_value", _cells([c for c, _ in groups], [F.col(f"__v{i}") for i in range(d)], [F.col(f"__c{i}") for i in range(d)]).alias("contributions"),
+            F.lit(method).alias("method"))
+
     def of(part: DataFrame) -> DataFrame:
+        if sums is not None:
+            return added(part)
         kept = part.repartition(parts, *id).select(*id, x.alias("__x"))
         mixed = kept.withColumn("__m", F.explode(all_masks)).withColumn("__b", F.explode(all_base)).withColumn("__p", source).withColumn(
             FEATURES, array_to_vector(F.transform("__x", lambda v, i: F.when(F.col("__m.take")[F.col("__p")[i]], v).otherwise(F.col("__b")[i]))))
