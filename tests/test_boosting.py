@@ -28,9 +28,10 @@ def scores(model, rows):
     return dict(model.transform(rows).select("id", vector_to_array("rawPrediction")[1]).collect())
 
 
-@pytest.mark.parametrize("in_one", [True, False])
-def test_same_trees_as_mllib(few_values, in_one, monkeypatch):
+@pytest.mark.parametrize("in_one, parts", [(True, 3), (True, 1), (False, 3)])
+def test_same_trees_as_mllib(few_values, in_one, parts, monkeypatch):
     """Rounds, gains and margins are MLlib's, from one block as from several, also over a cut lineage and levels in several jobs."""
+    few_values = few_values.coalesce(parts)
     settings = {"featuresCol": "features", "labelCol": "y", "maxIter": 6, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 7, "seed": 5}
     if not in_one:
         monkeypatch.setattr(boosting, "ROWS_PER_TASK", 10)
